@@ -131,11 +131,12 @@ def _pearson(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
             both = quoted(i).isNotNull() & quoted(j).isNotNull()
             x = F.when(both, quoted(i).cast("double"))
             y = F.when(both, quoted(j).cast("double"))
-            # A column with itself: 1, or 0 when it never varies.
+            # A column with itself: 1, or 0 when it never varies. `corr` itself fails on
+            # constant columns under ANSI rules, so the quotient is taken here.
             value = (
                 F.when(F.min(x) < F.max(x), F.lit(1.0)).otherwise(F.lit(0.0))
                 if i == j
-                else F.corr(x, y)
+                else ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
             )
             cells.append(
                 F.struct(F.lit(i).alias("column_i"), F.lit(j).alias("column_j"), value.alias("value"))
@@ -330,9 +331,11 @@ def cramers_v(
     moved = ratio(F.greatest(deviation - 0.5, F.lit(0.0)), deviation)
     phi2 = F.when((big_r == 2) & (big_k == 2), phi2 * F.coalesce(moved * moved, F.lit(0.0))).otherwise(phi2)
     if bias_correction:
-        phi2 = F.greatest(phi2 - (big_k - 1) * (big_r - 1) / (n - 1), F.lit(0.0))
-        big_r = big_r - (big_r - 1) * (big_r - 1) / (n - 1)
-        big_k = big_k - (big_k - 1) * (big_k - 1) / (n - 1)
+        phi2 = F.greatest(phi2 - ratio((big_k - 1) * (big_r - 1), n - 1), F.lit(0.0))
+        big_r, big_k = (
+            big_r - ratio((big_r - 1) * (big_r - 1), n - 1),
+            big_k - ratio((big_k - 1) * (big_k - 1), n - 1),
+        )
     smaller = F.least(big_k - 1, big_r - 1)
     value = F.when(smaller > 1e-12, F.sqrt(phi2 / smaller))
     return _mirror(
@@ -394,7 +397,7 @@ def correlation_ratio(
             F.sum(n * F.col("s")).alias("w"),
         )
     )
-    between = F.col("q") - F.col("t") * F.col("t") / F.col("n")
+    between = F.col("q") - ratio(F.col("t") * F.col("t"), F.col("n"))
     total = between + F.col("w")
     eta = F.when(between > 0, F.sqrt(ratio(between, total))).otherwise(F.lit(0.0))
     return sums.select("category", "number", finite_or_zero(eta).alias("value"))

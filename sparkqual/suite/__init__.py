@@ -33,9 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def all_suites() -> list[Suite]:
-    from . import profiles
+    from . import associations, profiles, quality
 
-    return [m.suite for m in (profiles,)]
+    return [m.suite for m in (profiles, associations, quality)]
 
 
 def all_queries() -> dict[str, Query]:
