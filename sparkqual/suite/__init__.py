@@ -33,9 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def all_suites() -> list[Suite]:
-    from . import associations, catalogue, cleaning, consolidation, profiles, quality
+    from . import associations, catalogue, cleaning, consolidation, io, learning, profiles, quality
 
-    return [m.suite for m in (profiles, associations, quality, cleaning, consolidation, catalogue)]
+    return [m.suite for m in (profiles, associations, quality, cleaning, consolidation, catalogue, io, learning)]
 
 
 def all_queries() -> dict[str, Query]:
