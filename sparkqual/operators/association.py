@@ -22,6 +22,7 @@ PAIR = ["column_i", "column_j"]
 MISSING = ("replace", "drop", "drop_samples", "drop_features", "skip")
 # Column pairs counted per scan.
 PAIR_BATCH = 60
+PEARSON_BATCH = 15
 
 
 def handle_missing(
@@ -124,24 +125,46 @@ def correlation(
 
 
 def _pearson(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Plain sums of values centred on their column mean.
+
+    A first scan finds the means and which columns are complete. Complete columns share
+    their sums over all pairs, leaving one product sum per pair.
+    """
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    number = {c: F.nanvl(quoted(c).cast("double"), F.lit(None).cast("double")) for c in names}
+    facts = describe_columns(
+        df,
+        {c: {"mean": F.avg(number[c]), "gaps": F.count_if(number[c].isNull()),
+             "flat": F.min(number[c]) >= F.max(number[c])} for c in names},
+    ).collect()
+    known = {r["column"]: r for r in facts}
+    centred = df.select(
+        *[(number[c] - F.lit(known[c]["mean"])).alias(f"_x{i}") for i, c in enumerate(names)]
+    )
+    x = {c: F.col(f"_x{i}") for i, c in enumerate(names)}
+
+    def beside(c: str, other: str) -> Column:
+        return F.when(x[other].isNotNull(), x[c]) if known[other]["gaps"] else x[c]
+
+    def value(i: str, j: str) -> Column:
+        flat_i, flat_j = (known[c]["flat"] is not False for c in (i, j))
+        if i == j or flat_i or flat_j:
+            return F.lit(0.0 if flat_i or flat_j else 1.0)
+        a, b, n = beside(i, j), beside(j, i), F.count(x[i] * x[j])
+        covariance = F.sum(x[i] * x[j]) - ratio(F.sum(a) * F.sum(b), n)
+        spread_i = F.sum(a * a) - ratio(F.sum(a) * F.sum(a), n)
+        spread_j = F.sum(b * b) - ratio(F.sum(b) * F.sum(b), n)
+        return ratio(covariance, F.sqrt(spread_i) * F.sqrt(spread_j))
+
     frames = []
-    for start in range(0, len(pairs), 15):
-        cells = []
-        for i, j in pairs[start : start + 15]:
-            both = quoted(i).isNotNull() & quoted(j).isNotNull()
-            x = F.when(both, quoted(i).cast("double"))
-            y = F.when(both, quoted(j).cast("double"))
-            # A column with itself: 1, or 0 when it never varies. `corr` itself fails on
-            # constant columns under ANSI rules, so the quotient is taken here.
-            value = (
-                F.when(F.min(x) < F.max(x), F.lit(1.0)).otherwise(F.lit(0.0))
-                if i == j
-                else ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-            )
-            cells.append(
-                F.struct(F.lit(i).alias("column_i"), F.lit(j).alias("column_j"), value.alias("value"))
-            )
-        frames.append(df.agg(F.array(*cells).alias("_m")).select(F.inline("_m")))
+    for start in range(0, len(pairs), PEARSON_BATCH):
+        cells = [
+            F.struct(F.lit(i).alias("column_i"), F.lit(j).alias("column_j"), value(i, j).alias("value"))
+            for i, j in pairs[start : start + PEARSON_BATCH]
+        ]
+        frames.append(
+            centred.agg(F.count(F.lit(1)).alias("_n"), F.array(*cells).alias("_m")).select(F.inline("_m"))
+        )
     return union_all(frames)
 
 

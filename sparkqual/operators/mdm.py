@@ -29,6 +29,10 @@ STANDARD_COLUMNS = (
 )
 
 
+# Combinations counted exactly in one pass: each one multiplies the rows that are shuffled.
+EXACT_BATCH = 8
+
+
 def add_prefix(df: DataFrame, prefix: str) -> DataFrame:
     """F17"""
     return df.withColumnsRenamed({c: prefix + c for c in df.columns})
@@ -243,10 +247,10 @@ def _unique_combinations(
         sketch = df.agg(*[F.approx_count_distinct(rows[int(i)], 0.02).alias(i) for i in group]).first()
         likely += [int(i) for i in group if sketch[i] >= 0.9 * n]
     unique = set()
-    for i in likely:
-        # One distinct count per pass: several would multiply the rows that are shuffled.
-        if df.select(rows[i].alias("k")).agg(F.count_distinct("k")).first()[0] == n:
-            unique.add(tuple(combos[i]))
+    for start in range(0, len(likely), EXACT_BATCH):
+        group = likely[start : start + EXACT_BATCH]
+        exact = df.agg(*[F.count_distinct(rows[i]).alias(str(i)) for i in group]).first()
+        unique |= {tuple(combos[i]) for i in group if exact[str(i)] == n}
     return unique
 
 

@@ -70,22 +70,18 @@ def mask_personal_data(
     """Every cell as text, personal data replaced by `***`.
 
     A column in which any value matches a trigger class is masked by all classes in order;
-    gender words are masked in every text column. What triggers a column is found by one
-    aggregate that enters the masking scan as a scalar sub-query. Nulls stay null.
+    gender words are masked in every text column. Whether a column is masked is a scalar
+    sub-query that reads this column only and stops at the first match of each task. Nulls
+    stay null.
     """
     names = list(columns or kinds.flat_columns(df))
     cells = {c: _without_gender(quoted(c), df.schema[c].dataType) for c in names}
-    found = {
-        c: functools.reduce(
-            lambda a, b: a | b, [cells[c].rlike(_flavoured(patterns[k], unicode)) for k in triggers]
-        )
-        for c in names
-    }
-    flags = df.agg(
-        F.struct(
-            *[F.coalesce(F.max(found[c]), F.lit(False)).alias(f"f{i}") for i, c in enumerate(names)]
-        ).alias("flags")
-    ).scalar()
+
+    def triggered(c: str) -> Column:
+        tests = [cells[c].rlike(_flavoured(patterns[k], unicode)) for k in triggers]
+        hit = functools.reduce(lambda a, b: a | b, tests)
+        return df.filter(hit).limit(1).select(F.lit(True)).scalar()
+
     out = []
     for f in df.schema:
         if f.name not in names:
@@ -94,9 +90,8 @@ def mask_personal_data(
         masked = cells[f.name]
         for p in patterns.values():
             masked = F.regexp_replace(masked, _flavoured(p, unicode), F.lit(MASK))
-        triggered = F.col("_flags").getField(f"f{names.index(f.name)}")
-        out.append(F.when(triggered, masked).otherwise(cells[f.name]).alias(f.name))
-    return df.withColumn("_flags", flags).select(*out)
+        out.append(F.when(triggered(f.name), masked).otherwise(cells[f.name]).alias(f.name))
+    return df.select(*out)
 
 
 def anonymise(

@@ -10,7 +10,7 @@ from ..functions import kinds, text
 from ..functions.values import half_even, is_missing, percent, to_number
 from ..plans.durable import durable
 from ..plans.longform import describe_columns, quoted, union_all, value_counts
-from ..plans.ranks import pick_quantiles, ranked_numbers, running_totals
+from ..plans.ranks import exact_quantiles, quantiles
 
 
 def _as_number(df: DataFrame, name: str) -> Column:
@@ -123,10 +123,7 @@ def scalar_profile(
     frames = []
     if numeric:
         frames.append(
-            pick_quantiles(
-                ranked_numbers(df, numeric), ["column"], "value", [0.5],
-                F.max("total_one").alias("distinct"),
-            ).withColumnRenamed("p0", "median")
+            exact_quantiles(df, numeric, [0.5]).withColumnRenamed("p0", "median")
         )
     if others:
         frames.append(
@@ -144,9 +141,9 @@ def length_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     """(column, min, max, mean and exact median of text lengths) over non-null rows."""
     names = list(columns or kinds.flat_columns(df))
     lengths = df.select(*[text.text_length(quoted(c)).alias(c) for c in names])
-    middle = pick_quantiles(
-        ranked_numbers(lengths, names), ["column"], "value", [0.5]
-    ).withColumnRenamed("p0", "median_length")
+    middle = exact_quantiles(lengths, names, [0.5]).select(
+        "column", F.col("p0").alias("median_length")
+    )
     span = describe_columns(
         lengths,
         {
@@ -190,9 +187,9 @@ def text_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
         .groupBy("column", F.length("value").cast("double").alias("value"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    middle = pick_quantiles(
-        running_totals(lengths, ["column"], "value", ["n"]), ["column"], "value", [0.5]
-    ).withColumnRenamed("p0", "median_length")
+    middle = quantiles(lengths, ["column"], "value", [0.5]).select(
+        "column", F.col("p0").alias("median_length")
+    )
     classes = ("alphabetic", "numeric", "alphanumeric")
     most = F.greatest(*[F.col(k) for k in classes])
     shares = [F.col(f"{k}_pct") for k in classes]

@@ -27,7 +27,7 @@ def value_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             for c in columns
         },
     )
-    middle = exact_quantiles(numbers, list(columns), [0.5]).withColumnRenamed("p0", "median")
+    middle = exact_quantiles(numbers, list(columns), [0.5]).select("column", F.col("p0").alias("median"))
     return moments.join(middle, "column")
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Expressions per aggregate: small enough for the JIT to compile the generated method. Narrow
 # batches read disjoint columns, so they cost no extra I/O on columnar files.
 AGG_WIDTH = 30
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
 
 def quoted(name: str) -> Column:
     """Column by its literal name, dots and blanks included."""
@@ -69,10 +71,40 @@ def to_long(
     )
 
 
-def value_counts(df: DataFrame, columns: Sequence[str], cast: str = "string") -> DataFrame:
-    """(column, value, n) for every value of every column, nulls included.
+def native_counts(df: DataFrame, columns: Sequence[str]) -> list[tuple[DataFrame, T.DataType]]:
+    """(column, value, n) tables, one per type family, with values in their own type.
 
-    Partial aggregation collapses frequent values before the shuffle, so a value that
-    fills a third of a column costs one row per map task.
+    Grouping whole numbers, fractions and times as such is cheaper than grouping their text,
+    and the families read disjoint columns. Partial aggregation collapses frequent values
+    before the shuffle, so a value that fills a third of a column costs one row per task.
     """
-    return to_long(df, columns, cast).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    families: dict[str, tuple[T.DataType, list[str]]] = {}
+    for c in columns:
+        kind = df.schema[c].dataType
+        if isinstance(kind, _WHOLE):
+            kind = T.LongType()
+        elif isinstance(kind, T.FloatType):
+            kind = T.DoubleType()
+        elif not isinstance(kind, (T.DoubleType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+            kind = T.StringType()
+        families.setdefault(kind.simpleString(), (kind, []))[1].append(c)
+    return [
+        (
+            to_long(df, names, kind.simpleString())
+            .groupBy("column", "value")
+            .agg(F.count(F.lit(1)).alias("n")),
+            kind,
+        )
+        for kind, names in families.values()
+    ]
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n) for every value of every column as text, nulls included."""
+    return union_all(
+        [
+            counts if isinstance(kind, T.StringType)
+            else counts.withColumn("value", F.col("value").cast("string"))
+            for counts, kind in native_counts(df, columns)
+        ]
+    )

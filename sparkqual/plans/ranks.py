@@ -7,39 +7,46 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .durable import durable
-from .longform import to_long, union_all, value_counts
+from .longform import native_counts, union_all, value_counts
 
 
-def running_totals(
+def _ranged(
     counts: DataFrame, keys: Sequence[str], order: str, weights: Sequence[str]
-) -> DataFrame:
-    """Add `before_<w>` (sum of a weight over smaller `order` values of the same keys) and
-    `total_<w>` (its sum over the keys).
+) -> tuple[DataFrame, DataFrame]:
+    """Rows in ranges of (keys, order), and the totals of every range.
 
-    Rows are range partitioned and written once, so the part a row belongs to is fixed;
-    totals of whole parts are summed over at most one row per part, and only rows inside
-    one part are ordered by a window. No task ever holds all rows of a key.
+    Rows are range partitioned and written once, so the part a row belongs to is fixed. The
+    second table has one row per part and key: `_part_<w>`, `_offset_<w>` (earlier parts of
+    the key) and `total_<w>` (the whole key).
     """
     parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = durable(
         counts.repartitionByRange(parts, *keys, order).withColumn("_part", F.spark_partition_id())
     )
-    part_sums = ranged.groupBy(*keys, "_part").agg(*[F.sum(w).alias(w) for w in weights])
+    sums = ranged.groupBy(*keys, "_part").agg(*[F.sum(w).alias(f"_part_{w}") for w in weights])
     whole = Window.partitionBy(*keys)
     earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = part_sums.select(
+    totals = sums.select(
         *[F.col(k).alias(f"_k_{k}") for k in (*keys, "_part")],
-        *[F.coalesce(F.sum(w).over(earlier), F.lit(0)).alias(f"_offset_{w}") for w in weights],
-        *[F.sum(w).over(whole).alias(f"total_{w}") for w in weights],
+        *[F.col(f"_part_{w}") for w in weights],
+        *[F.coalesce(F.sum(f"_part_{w}").over(earlier), F.lit(0)).alias(f"_offset_{w}") for w in weights],
+        *[F.sum(f"_part_{w}").over(whole).alias(f"total_{w}") for w in weights],
     )
+    return ranged, totals
+
+
+def _totalled(
+    ranged: DataFrame, totals: DataFrame, keys: Sequence[str], order: str, weights: Sequence[str]
+) -> DataFrame:
+    """Rows of the parts in `totals` with `before_<w>` and `total_<w>`."""
     same: Column = F.col("_part") == F.col("_k__part")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     inside = (
         Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    return ranged.join(offsets, same).select(
-        *counts.columns,
+    return ranged.join(totals, same).select(
+        *[c for c in ranged.columns if c != "_part"],
         *[
             (F.col(f"_offset_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(f"before_{w}")
             for w in weights
@@ -48,70 +55,75 @@ def running_totals(
     )
 
 
-def _position(p: float) -> Column:
-    return F.lit(float(p)) * (F.col("total_n") - 1)
+def running_totals(
+    counts: DataFrame, keys: Sequence[str], order: str, weights: Sequence[str]
+) -> DataFrame:
+    """Add `before_<w>` (sum of a weight over smaller `order` values of the same keys) and
+    `total_<w>` (its sum over the keys). `counts` has one row per (keys, order).
+
+    Totals of whole parts are summed over at most one row per part, and only rows inside one
+    part are ordered by a window. No task ever holds all rows of a key.
+    """
+    ranged, totals = _ranged(counts, keys, order, weights)
+    return _totalled(ranged, totals, keys, order, weights)
 
 
-def pick_quantiles(
-    ranked: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], *extra: Column
+def quantiles(
+    counts: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: Sequence[float],
+    weights: Sequence[str] = (),
 ) -> DataFrame:
-    """(keys, p0, p1, ..., extra) linear-interpolated quantiles of `running_totals` output.
+    """(keys, total_n, total_<w>, p0, p1, ...): linear-interpolated quantiles of (value, n).
 
-    Only the rows that hold a wanted position reach the aggregate; `extra` aggregates see
-    those rows too, so they may use the `total_` columns.
+    Part totals tell which parts hold a wanted position; only those are read and ordered.
     """
-    end = F.col("before_n") + F.col("n")
-    wanted, aggs, out = F.lit(False), [], []
+    weights = ["n", *weights]
+    ranged, totals = _ranged(counts, keys, value, weights)
+
+    def position(p: float) -> Column:
+        return F.lit(float(p)) * (F.col("total_n") - 1)
+
+    def holds(start: Column, length: Column) -> Column:
+        hit = F.lit(False)
+        for p in probs:
+            hit = hit | ((start <= F.ceil(position(p))) & (F.floor(position(p)) < start + length))
+        return hit
+
+    parts = totals.filter(holds(F.col("_offset_n"), F.col("_part_n")))
+    rows = _totalled(ranged, parts, keys, value, weights)
+    rows = rows.filter(holds(F.col("before_n"), F.col("n")))
+    aggs, out = [F.max(f"total_{w}").alias(f"total_{w}") for w in weights], []
     for i, p in enumerate(probs):
-        low, high = F.floor(_position(p)), F.ceil(_position(p))
-        wanted = wanted | ((F.col("before_n") <= high) & (low < end))
-        for side, index in (("lo", low), ("hi", high)):
-            here = (F.col("before_n") <= index) & (index < end)
+        for side, index in (("lo", F.floor(position(p))), ("hi", F.ceil(position(p)))):
+            here = (F.col("before_n") <= index) & (index < F.col("before_n") + F.col("n"))
             aggs.append(F.max(F.when(here, F.col(value))).alias(f"_{side}{i}"))
-        part = F.max(_position(p) - low).alias(f"_frac{i}")
-        aggs.append(part)
-        out.append(
-            (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_frac{i}")).alias(
-                f"p{i}"
-            )
-        )
-    picked = ranked.filter(wanted).groupBy(*keys).agg(*aggs, *extra)
-    kept = [c for c in picked.columns if not c.startswith("_")]
-    return picked.select(*kept, *out)
+        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        out.append((low + (high - low) * (position(p) - F.floor(position(p)))).alias(f"p{i}"))
+    picked = rows.groupBy(*keys).agg(*aggs)
+    return picked.select(*keys, *[f"total_{w}" for w in weights], *out)
 
 
 def numeric_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value DOUBLE, n), one row per distinct number; nulls and NaN left out.
 
-    Whole numbers are grouped as BIGINT, so large ids stay distinct.
+    Whole numbers are grouped as such, so large ids stay distinct.
     """
-    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-    ints = [c for c in columns if isinstance(df.schema[c].dataType, whole)]
-    reals = [c for c in columns if c not in ints]
     frames = []
-    for names, kind in ((ints, "bigint"), (reals, "double")):
-        if names:
-            long = to_long(df, names, kind).filter(F.col("value").isNotNull())
-            if kind == "double":
-                long = long.filter(~F.isnan("value"))
-            frames.append(
-                long.groupBy("column", "value")
-                .agg(F.count(F.lit(1)).alias("n"))
-                .withColumn("value", F.col("value").cast("double"))
-            )
+    for counts, kind in native_counts(df, columns):
+        kept = counts.filter(F.col("value").isNotNull())
+        if isinstance(kind, T.DoubleType):
+            kept = kept.filter(~F.isnan("value"))
+        frames.append(kept.withColumn("value", F.col("value").cast("double")))
     return union_all(frames)
 
 
-def ranked_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, value, n, one, before_*, total_*): `total_one` is the exact distinct count."""
-    counts = numeric_counts(df, columns).withColumn("one", F.lit(1).cast("bigint"))
-    return running_totals(counts, ["column"], "value", ["n", "one"])
-
-
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """(column, p0, p1, ...) exact quantiles of numeric columns, nulls and NaN left out."""
-    ranked = running_totals(numeric_counts(df, columns), ["column"], "value", ["n"])
-    return pick_quantiles(ranked, ["column"], "value", probs)
+    """(column, distinct, p0, p1, ...) of numeric columns, nulls and NaN left out; exact."""
+    counts = numeric_counts(df, columns).withColumn("one", F.lit(1).cast("bigint"))
+    found = quantiles(counts, ["column"], "value", probs, ["one"])
+    return found.drop("total_n").withColumnRenamed("total_one", "distinct")
 
 
 def dense_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
