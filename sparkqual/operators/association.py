@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import kinds
 from ..functions.values import finite_or_zero, ratio
 from ..plans.durable import durable
-from ..plans.longform import describe_columns, quoted, union_all
+from ..plans.longform import batches, describe_columns, quoted, union_all
 from ..plans.ranks import running_totals
 from ..plans.skew import join_unique
 
@@ -22,7 +22,6 @@ PAIR = ["column_i", "column_j"]
 MISSING = ("replace", "drop", "drop_samples", "drop_features", "skip")
 # Column pairs counted per scan.
 PAIR_BATCH = 60
-PEARSON_BATCH = 15
 
 
 def handle_missing(
@@ -62,17 +61,20 @@ def pair_cells(
         group = pairs[start : start + PAIR_BATCH]
         cells = [
             F.struct(
-                F.lit(i).alias("column_i"),
-                F.lit(j).alias("column_j"),
-                quoted(i).cast(cast).alias("x"),
-                quoted(j).cast(cast).alias("y"),
+                F.lit(at).alias("_at"), quoted(i).cast(cast).alias("x"), quoted(j).cast(cast).alias("y")
             )
-            for i, j in group
+            for at, (i, j) in enumerate(group, 1)
         ]
         long = df.select(F.inline(F.array(*cells)))
         if drop_nulls:
             long = long.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-        frames.append(long.groupBy(*PAIR, "x", "y").agg(F.count(F.lit(1)).alias("n")))
+        # Pairs are grouped by their position and named afterwards.
+        counts = long.groupBy("_at", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+        names = [
+            F.element_at(F.array(*[F.lit(p[side]) for p in group]), F.col("_at")).alias(PAIR[side])
+            for side in (0, 1)
+        ]
+        frames.append(counts.select(*names, "x", "y", "n"))
     return union_all(frames)
 
 
@@ -157,10 +159,10 @@ def _pearson(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
         return ratio(covariance, F.sqrt(spread_i) * F.sqrt(spread_j))
 
     frames = []
-    for start in range(0, len(pairs), PEARSON_BATCH):
+    for group in batches(df, pairs, 2):
         cells = [
             F.struct(F.lit(i).alias("column_i"), F.lit(j).alias("column_j"), value(i, j).alias("value"))
-            for i, j in pairs[start : start + PEARSON_BATCH]
+            for i, j in group
         ]
         frames.append(
             centred.agg(F.count(F.lit(1)).alias("_n"), F.array(*cells).alias("_m")).select(F.inline("_m"))

@@ -106,16 +106,6 @@ def standardise(
     return out
 
 
-def one_per_key(source: DataFrame, key: str) -> DataFrame:
-    """One record per match key: per column the lowest non-null value.
-
-    Master records are unique per key; should a source repeat one, its copies are reduced
-    by partial aggregation before any shuffle instead of being paired with each other.
-    """
-    rest = [c for c in source.columns if c != key]
-    return source.groupBy(quoted(key)).agg(*[F.min(quoted(c)).alias(c) for c in rest])
-
-
 def _survivor(x: Column, y: Column, rules: Sequence[Mapping]) -> Column:
     """ANY: first non-null, or one side; DIFF: a side where both exist and differ."""
     out = F.coalesce(x, y)
@@ -130,6 +120,26 @@ def _survivor(x: Column, y: Column, rules: Sequence[Mapping]) -> Column:
     return out
 
 
+def _side_by_side(left: DataFrame, right: DataFrame, key: str, suffixes: Sequence[str]) -> DataFrame:
+    """One row per key of either table, with both tables' other columns.
+
+    A union and one aggregation: every row is shuffled once, and null keys meet like any
+    other. Master records are unique per key; should a source repeat one, its copies are
+    reduced (per column the lowest non-null value) instead of being paired with each other.
+    """
+    union = left.select(
+        quoted(key), F.struct(*[quoted(c) for c in left.columns if c != key]).alias("_l"), F.lit(None).alias("_r")
+    ).unionByName(
+        right.select(
+            quoted(key), F.lit(None).alias("_l"), F.struct(*[quoted(c) for c in right.columns if c != key]).alias("_r")
+        )
+    )
+    return union.groupBy(quoted(key)).agg(
+        *[F.min(F.col("_l").getField(c)).alias(c + suffixes[0]) for c in left.columns if c != key],
+        *[F.min(F.col("_r").getField(c)).alias(c + suffixes[1]) for c in right.columns if c != key],
+    )
+
+
 def golden_copy(
     s1: DataFrame,
     s2: DataFrame,
@@ -143,11 +153,9 @@ def golden_copy(
     """
     by_column = {r["column"]: r["rules"] for r in rules}
     shared = [c for c in s1.columns if c != key and c in s2.columns]
-    left = one_per_key(s1, key).withColumnsRenamed({c: f"{c}_x" for c in s1.columns})
-    right = one_per_key(s2, key).withColumnsRenamed({c: f"{c}_y" for c in s2.columns})
-    joined = left.join(right, quoted(f"{key}_x").eqNullSafe(quoted(f"{key}_y")), "full_outer")
-    merged = joined.select(
-        F.coalesce(quoted(f"{key}_x"), quoted(f"{key}_y")).alias(key),
+    both = _side_by_side(s1, s2, key, ("_x", "_y"))
+    merged = both.select(
+        quoted(key),
         *[_survivor(quoted(f"{c}_x"), quoted(f"{c}_y"), by_column.get(c, ())).alias(c) for c in shared],
         *[quoted(f"{c}_x").alias(c) for c in s1.columns if c != key and c not in shared],
         *[quoted(f"{c}_y").alias(c) for c in s2.columns if c != key and c not in shared],
@@ -184,22 +192,21 @@ def layer_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """(key, column, before, after): cells that differ between two layers, records that only
     one of them has included (L18). Each layer has one record per key."""
     shared = [c for c in before.columns if c != key and c in after.columns]
-    left = before.select(quoted(key).alias("_kx"), *[quoted(c).cast("string").alias(f"{c}_x") for c in shared])
-    right = after.select(quoted(key).alias("_ky"), *[quoted(c).cast("string").alias(f"{c}_y") for c in shared])
+    both = _side_by_side(before.select(quoted(key), *[quoted(c) for c in shared]),
+                         after.select(quoted(key), *[quoted(c) for c in shared]), key, ("_x", "_y"))
     cells = [
         F.when(
             ~quoted(f"{c}_x").eqNullSafe(quoted(f"{c}_y")),
             F.struct(
                 F.lit(c).alias("column"),
-                quoted(f"{c}_x").alias("before"),
-                quoted(f"{c}_y").alias("after"),
+                quoted(f"{c}_x").cast("string").alias("before"),
+                quoted(f"{c}_y").cast("string").alias("after"),
             ),
         )
         for c in shared
     ]
     differing = F.filter(F.array(*cells), lambda x: x.isNotNull())
-    joined = left.join(right, F.col("_kx").eqNullSafe(F.col("_ky")), "full_outer")
-    return joined.select(F.coalesce("_kx", "_ky").alias(key), F.inline(differing))
+    return both.select(quoted(key), F.inline(differing))
 
 
 def candidate_keys(
@@ -243,9 +250,9 @@ def _unique_combinations(
         return set()
     rows = [F.struct(*[quoted(c) for c in combo]) for combo in combos]
     likely: list[int] = []
-    for group in batches([str(i) for i in range(len(combos))], 1):
-        sketch = df.agg(*[F.approx_count_distinct(rows[int(i)], 0.02).alias(i) for i in group]).first()
-        likely += [int(i) for i in group if sketch[i] >= 0.9 * n]
+    for group in batches(df, range(len(combos)), 3):
+        sketch = df.agg(*[F.approx_count_distinct(rows[i], 0.02).alias(str(i)) for i in group]).first()
+        likely += [i for i in group if sketch[str(i)] >= 0.9 * n]
     unique = set()
     for start in range(0, len(likely), EXACT_BATCH):
         group = likely[start : start + EXACT_BATCH]

@@ -76,7 +76,7 @@ def main(argv):
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8",
-                          "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+                          "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false", "sparkqual.aggWidth": "30"})
     spark.sparkContext.setLogLevel("ERROR")
     con, sql = oracle(sf_dir), oracle_sql()
     names = argv[1:] or list(queries())
