@@ -5,11 +5,12 @@ from __future__ import annotations
 import itertools
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.formula import to_sql
 from ..functions.text import strip
 from ..plans.longform import batches, quoted
+from ..sources import readers, writers
 
 # The standard layer's column names.
 STANDARD_COLUMNS = (
@@ -267,3 +268,10 @@ def candidate_key_table(df: DataFrame, **options) -> DataFrame:
     return df.sparkSession.createDataFrame(
         list(enumerate(keys, 1)), "position int, columns array<string>"
     )
+
+
+def standardise_file(
+    spark: SparkSession, source: str, target: str, ruleset: Sequence[Mapping], overwrite: bool = False
+) -> None:
+    """Read a file, apply a rule set, write the result."""
+    writers.write_csv(standardise(readers.read_path(spark, source), ruleset), target, overwrite)
