@@ -371,7 +371,8 @@ def outlier_shares_sample(spark, sf_dir):
     "prediction_targets",
     """SELECT * FROM (""" + " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(DISTINCT {c}) AS "distinct" FROM lineitem"""
-        for c in ("l_orderkey", "l_linenumber", "l_quantity", "l_tax", "l_discount", "l_returnflag", "l_linestatus")
+        for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     ) + """) WHERE "distinct" <= 10""",
 )
 def prediction_targets(spark, sf_dir):
