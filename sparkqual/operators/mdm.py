@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -220,18 +221,29 @@ def candidate_keys(
     """The first `limit` column combinations, smallest first, whose rows are all distinct.
 
     Combinations of one size are counted together. A combination that contains a key is a
-    key without being counted (`minimal=True` leaves it out), and a sketch rules out those
-    far from unique, so exact counts are left for the likely ones.
+    key without being counted (`minimal=True` leaves it out). Columns with too few values
+    between them are ruled out without a scan, others far from unique by a sketch, so exact
+    counts are left for the likely ones.
     """
     names = list(columns or df.columns)
-    n = df.count()
+    sketch = df.agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.approx_count_distinct(quoted(c), 0.02).alias(f"_d{i}") for i, c in enumerate(names)],
+    ).first()
+    n = sketch["_n"]
+    # Null counts as a value of its own; a tenth more than the sketch says is allowed for.
+    values = {c: 1 + 1.1 * sketch[f"_d{i}"] for i, c in enumerate(names)}
     keys: list[list[str]] = []
     found: list[set[str]] = []
     for size in range(1, (max_size or len(names)) + 1):
         combos = [list(c) for c in itertools.combinations(names, size)]
         implied = [any(k <= set(c) for k in found) for c in combos]
-        open_combos = [c for c, known in zip(combos, implied) if not known]
-        unique = _unique_combinations(df, open_combos, n)
+        possible = [
+            c
+            for c, known in zip(combos, implied)
+            if not known and math.prod(values[name] for name in c) >= n
+        ]
+        unique = _unique_combinations(df, possible, n)
         for combo, known in zip(combos, implied):
             if known and minimal:
                 continue
@@ -247,6 +259,7 @@ def candidate_keys(
 def _unique_combinations(
     df: DataFrame, combos: Sequence[Sequence[str]], n: int
 ) -> set[tuple[str, ...]]:
+    """Which combinations have `n` distinct rows: a sketch first, then an exact count."""
     if not combos:
         return set()
     rows = [F.struct(*[quoted(c) for c in combo]) for combo in combos]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import kinds, rules as rl
 from ..functions.values import half_even, is_missing, percent
 from ..plans.longform import describe_columns, quoted, value_counts
-from ..plans.skew import join_unique
+from ..plans.skew import fits_broadcast, join_unique
 
 DIMENSIONS = ("Completeness", "Uniqueness", "Validity", "Integrity", "Accuracy")
 
@@ -112,21 +112,29 @@ def with_membership(
 ) -> DataFrame:
     """Add boolean `name`: the value occurs in the reference column. Null is no member.
 
-    Values are looked up once each; a value that fills a third of the rows meets its answer
-    in many tasks.
+    A reference that was counted and found small is broadcast, and the rows stay where they
+    are. Otherwise values are looked up once each, and a value that fills a third of the
+    rows meets its answer in many tasks.
     """
     rows = df.withColumn("_value", quoted(column).cast("string"))
+    known = _known_values(reference, ref_column)
+    if fits_broadcast(known, "_ref"):
+        joined = rows.join(F.broadcast(known), F.col("_value") == F.col("_ref"), "left")
+        return joined.withColumn(name, F.col("_ref").isNotNull()).drop("_value", "_ref")
     looked_up = (
         rows.groupBy("_value")
         .agg(F.count(F.lit(1)).alias("_rows"))
-        .join(_known_values(reference, ref_column), F.col("_value") == F.col("_ref"), "left")
+        .join(known, F.col("_value") == F.col("_ref"), "left")
         .select("_value", F.col("_ref").isNotNull().alias(name), "_rows")
     )
     return join_unique(rows, looked_up, ["_value"], "left", "_rows").drop("_value", "_rows")
 
 
 def reference_scores(df: DataFrame, column: str, reference: DataFrame, ref_column: str) -> DataFrame:
-    """(column, checked, members, integrity): percent of values known to the reference."""
+    """(column, checked, members, integrity): percent of values known to the reference.
+
+    Each value is looked up once and weighted by its rows, so no value is too frequent.
+    """
     counted = df.groupBy(quoted(column).cast("string").alias("_value")).agg(
         F.count(F.lit(1)).alias("_rows")
     )

@@ -14,6 +14,21 @@ HOT_ROWS = 1_000_000
 SALTS = 64
 
 
+# A table is broadcast when it was counted and found below both limits.
+BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def fits_broadcast(df: DataFrame, column: str) -> bool:
+    """Whether a one-column table of texts is small, by counting it up to the row limit."""
+    size = (
+        df.limit(BROADCAST_ROWS + 1)
+        .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(column)).alias("bytes"))
+        .first()
+    )
+    return size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
+
+
 def _key_hash(columns: Sequence[Column]) -> Column:
     return F.xxhash64(*columns)
 

@@ -325,3 +325,15 @@ def test_report_for_one_term(spark):
     df = spark.createDataFrame([(1.0,), (None,), (5.0,)], "p double")
     got = {r["item"]: r["value"] for r in reports.report(df, {"Price": "p"}, {"Price": ["ValueStatistics"]}).collect()}
     assert got == {"average": 2.0, "mean": 2.0, "median": 1.0, "minimum": 0.0, "maximum": 5.0}
+
+
+def test_membership_is_the_same_with_and_without_broadcast(spark, monkeypatch):
+    from sparkqual.operators import quality as q
+
+    df = spark.createDataFrame([("hot",)] * 50 + [("a",), ("b",), (None,)], "v string").repartition(5)
+    ref = spark.createDataFrame([("hot",), ("b",), ("b",), (None,)], "r string")
+    small = rows(q.with_membership(df, "v", ref, "r", "known"))
+    monkeypatch.setattr(q, "fits_broadcast", lambda *_: False)
+    assert rows(q.with_membership(df, "v", ref, "r", "known")) == small
+    assert (None, False) in small and ("a", False) in small and ("hot", True) in small
+    assert q.reference_scores(df, "v", ref, "r").first()["members"] == 51
