@@ -38,7 +38,7 @@ HEADLINES = (
     "impute_median",
     "dedup_first",
     "dup_members_lines",
-    "mask_pii",
+    "mask_pii_unicode",
     "golden_two",
     "golden_n",
     "classify_columns",

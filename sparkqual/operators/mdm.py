@@ -33,6 +33,8 @@ STANDARD_COLUMNS = (
 
 # Combinations counted exactly in one pass: each one multiplies the rows that are shuffled.
 EXACT_BATCH = 8
+# Relative standard error of the distinct-count sketch at its default size.
+SKETCH_ERROR = 0.05
 
 
 def add_prefix(df: DataFrame, prefix: str) -> DataFrame:
@@ -228,11 +230,11 @@ def candidate_keys(
     names = list(columns or df.columns)
     sketch = df.agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.approx_count_distinct(quoted(c), 0.02).alias(f"_d{i}") for i, c in enumerate(names)],
+        *[F.approx_count_distinct(quoted(c)).alias(f"_d{i}") for i, c in enumerate(names)],
     ).first()
     n = sketch["_n"]
-    # Null counts as a value of its own; a tenth more than the sketch says is allowed for.
-    values = {c: 1 + 1.1 * sketch[f"_d{i}"] for i, c in enumerate(names)}
+    # Null counts as a value of its own; seven standard errors of the sketch are allowed for.
+    values = {c: 1 + (1 + 7 * SKETCH_ERROR) * sketch[f"_d{i}"] for i, c in enumerate(names)}
     keys: list[list[str]] = []
     found: list[set[str]] = []
     for size in range(1, (max_size or len(names)) + 1):
@@ -265,8 +267,8 @@ def _unique_combinations(
     rows = [F.struct(*[quoted(c) for c in combo]) for combo in combos]
     likely: list[int] = []
     for group in batches(df, range(len(combos)), 3):
-        sketch = df.agg(*[F.approx_count_distinct(rows[i], 0.02).alias(str(i)) for i in group]).first()
-        likely += [i for i in group if sketch[str(i)] >= 0.9 * n]
+        sketch = df.agg(*[F.approx_count_distinct(rows[i]).alias(str(i)) for i in group]).first()
+        likely += [i for i in group if sketch[str(i)] >= (1 - 7 * SKETCH_ERROR) * n]
     unique = set()
     for start in range(0, len(likely), EXACT_BATCH):
         group = likely[start : start + EXACT_BATCH]

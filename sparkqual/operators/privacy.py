@@ -24,6 +24,8 @@ PATTERNS = {
     "number": r"(\d+(?:\.\d+)?(?:,\s*\d+(?:\.\d+)?)*?)",
 }
 GENDER_WORDS = ("male", "female", "lesbian", "gay", "transgender", "non-binary")
+# A text every match of a class holds: values without it are not searched.
+HELD = {"email": "@"}
 # Classes whose presence makes a column a masked one.
 TRIGGERS = ("email", "address", "age", "phone", "name")
 MASK = "***"
@@ -38,6 +40,21 @@ def _flavoured(pattern: str, unicode: bool) -> str:
     return "(?U)" + pattern if unicode else pattern.replace(r"\b", _ASCII_BOUNDARY)
 
 
+def _held(cell: Column, name: str, pattern: str) -> Column | None:
+    """A cheap test that every match implies, for the patterns it is known for."""
+    return F.contains(cell, F.lit(HELD[name])) if name in HELD and pattern == PATTERNS[name] else None
+
+
+def _matches(cell: Column, name: str, pattern: str, unicode: bool) -> Column:
+    hit, held = cell.rlike(_flavoured(pattern, unicode)), _held(cell, name, pattern)
+    return hit if held is None else held & hit
+
+
+def _masked(cell: Column, name: str, pattern: str, unicode: bool) -> Column:
+    out, held = F.regexp_replace(cell, _flavoured(pattern, unicode), F.lit(MASK)), _held(cell, name, pattern)
+    return out if held is None else F.when(held, out).otherwise(cell)
+
+
 def _without_gender(c: Column, kind: T.DataType) -> Column:
     if not isinstance(kind, T.StringType):
         return c.cast("string")
@@ -55,7 +72,7 @@ def detect_personal_data(
     stats = {}
     for c in names:
         cell = _without_gender(quoted(c), df.schema[c].dataType)
-        stats[c] = {k: F.count_if(cell.rlike(_flavoured(p, unicode))) for k, p in patterns.items()}
+        stats[c] = {k: F.count_if(_matches(cell, k, p, unicode)) for k, p in patterns.items()}
     wide = describe_columns(df, stats)
     return wide.unpivot(["column"], list(patterns), "class", "hits")
 
@@ -75,23 +92,29 @@ def mask_personal_data(
     stay null.
     """
     names = list(columns or kinds.flat_columns(df))
-    cells = {c: _without_gender(quoted(c), df.schema[c].dataType) for c in names}
+    # A projection of its own: each cell is rid of gender words once, then used repeatedly.
+    cells = df.select(
+        *[
+            (_without_gender(quoted(f.name), f.dataType) if f.name in names else quoted(f.name)).alias(f.name)
+            for f in df.schema
+        ]
+    )
 
     def triggered(c: str) -> Column:
-        tests = [cells[c].rlike(_flavoured(patterns[k], unicode)) for k in triggers]
+        tests = [_matches(quoted(c), k, patterns[k], unicode) for k in triggers]
         hit = functools.reduce(lambda a, b: a | b, tests)
-        return df.filter(hit).limit(1).select(F.lit(True)).scalar()
+        return cells.filter(hit).limit(1).select(F.lit(True)).scalar()
 
     out = []
-    for f in df.schema:
-        if f.name not in names:
-            out.append(quoted(f.name))
-            continue
-        masked = cells[f.name]
-        for p in patterns.values():
-            masked = F.regexp_replace(masked, _flavoured(p, unicode), F.lit(MASK))
-        out.append(F.when(triggered(f.name), masked).otherwise(cells[f.name]).alias(f.name))
-    return df.select(*out)
+    for c in df.columns:
+        cell = quoted(c)
+        if c in names:
+            masked = cell
+            for name, pattern in patterns.items():
+                masked = _masked(masked, name, pattern, unicode)
+            cell = F.when(triggered(c), masked).otherwise(cell)
+        out.append(cell.alias(c))
+    return cells.select(*out)
 
 
 def anonymise(

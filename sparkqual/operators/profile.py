@@ -75,12 +75,16 @@ def distinct_estimates(df: DataFrame, columns: Sequence[str] | None = None) -> D
 
 
 def scalar_profile(
-    df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True
+    df: DataFrame,
+    columns: Sequence[str] | None = None,
+    exact: bool = True,
+    accuracy: int = 1000,
 ) -> DataFrame:
     """One row per column with counts, range, moments and text lengths.
 
     The moments of all columns come from one scan. `exact=True` adds a frequency pass for
-    the distinct count and the median; `exact=False` stays with one scan and sketches.
+    the distinct count and the median; `exact=False` stays with one scan and sketches, the
+    median then lies within 1 / `accuracy` of the middle rank.
     """
     names = list(columns or kinds.flat_columns(df))
     # Numbers and lengths are computed once per row, not once per aggregate.
@@ -106,7 +110,7 @@ def scalar_profile(
         }
         if not exact:
             stats[c]["distinct"] = F.approx_count_distinct(quoted(c))
-            stats[c]["median"] = F.percentile_approx(number, 0.5, 10000).cast("double")
+            stats[c]["median"] = F.percentile_approx(number, 0.5, accuracy).cast("double")
     # Text minima rule out hash aggregation, so text columns get batches of their own.
     words = [c for c in names if isinstance(df.schema[c].dataType, T.StringType)]
     moments = union_all(

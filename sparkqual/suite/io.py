@@ -103,7 +103,7 @@ def io_time_coercion(spark, sf_dir):
         """CASE o_orderstatus WHEN 'O' THEN date_format(o_orderdate, 'dd/MM/yyyy') WHEN 'F' THEN date_format(o_orderdate, 'dd-MM-yyyy')
            ELSE 'unknown' END AS Date""",
     )
-    return readers.coerce_times(texts)
+    return readers.coerce_times(texts).withColumn("Date", F.col("Date").cast("timestamp_ntz"))
 
 
 @suite.add("io_empty_columns", """SELECT 'nothing' AS "column" FROM (SELECT count(*) FROM orders)""")
