@@ -258,3 +258,18 @@ def report_proposals(spark, sf_dir):
     )
     terms = spark.createDataFrame([("Volume", "Sales"), ("Returns", "Sales")], "BusinessTerm string, DataDomain string")
     return reports.proposals_for_terms(lines, known, terms)
+
+
+@suite.add(
+    "lineage_append",
+    f"""SELECT action, count(*) AS events, max(len(available_columns)) AS columns FROM (
+      SELECT action, available_columns FROM {_EVENTS}
+      UNION ALL SELECT 'report built', ['o_orderkey', 'o_custkey', 'o_orderstatus'] FROM (SELECT count(*) FROM orders)) GROUP BY 1""",
+)
+def lineage_append(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    event = catalog.lineage_event(orders, "reports", "report built", source_id="S1")
+    log = _lineage(spark, sf_dir).select("action", "available_columns").unionByName(event.select("action", "available_columns"))
+    return log.groupBy("action").agg(
+        F.count(F.lit(1)).alias("events"), F.max(F.size("available_columns")).cast("bigint").alias("columns")
+    )

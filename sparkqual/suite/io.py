@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import quality
+from ..operators import mdm, quality
 from ..plans.durable import checkpoint_root
 from ..sources import readers, validate, writers
 from ..streaming import arrivals, windowed
@@ -213,3 +213,24 @@ def stream_windowed_quality(spark, sf_dir):
     )
     query.awaitTermination()
     return rounded(spark.read.parquet(target))
+
+
+@suite.add("io_standardise_file", "SELECT s_suppkey, upper(s_name) AS s_name FROM supplier")
+def io_standardise_file(spark, sf_dir):
+    source, target = _fresh(spark) + ".csv", _fresh(spark) + ".csv"
+    writers.write_csv(table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("  "), F.col("s_name")).alias("s_name")), source)
+    rules = [{"column": "s_name", "rules": [{"rule": "Format", "operator": "trim"}, {"rule": "Format", "operator": "toUpperCase"}]}]
+    mdm.standardise_file(spark, source, target, rules)
+    return rounded(readers.read_path(spark, target))
+
+
+@suite.add(
+    "io_upload_checks",
+    """SELECT count(*) AS rows, ['column 2 has no name', 'column nothing is empty'] AS problems FROM supplier""",
+)
+def io_upload_checks(spark, sf_dir):
+    upload = table(spark, sf_dir, "supplier").select(
+        "s_suppkey", F.col("s_name").alias("_c1"), F.lit(None).cast("string").alias("nothing")
+    )
+    problems = validate.upload_problems(upload)
+    return upload.agg(F.count(F.lit(1)).alias("rows"), F.array(*[F.lit(p) for p in problems]).alias("problems"))

@@ -447,3 +447,67 @@ def value_functions(spark, sf_dir):
         F.round(F.sqrt("value"), 6).alias("root_value"),
         vx.shown(F.expr("nullif(event_type, 'click')")).alias("shown"),
     )
+
+
+@suite.add("frequency_ordered", _ORDER_FREQ)
+def frequency_ordered(spark, sf_dir):
+    return frequency.by_frequency(frequency.value_frequency(dirty_orders(spark, sf_dir), _FREQ_COLUMNS))
+
+
+@suite.add(
+    "reference_and_time_functions",
+    """SELECT o_orderkey, 'ref' AS ref, CAST(o_custkey AS VARCHAR) AS id, 'c-' || o_orderpriority AS "column",
+    CAST(o_orderdate AS TIMESTAMP) AS instant, CASE WHEN o_totalprice < 100000 THEN 0.0 ELSE o_totalprice END AS finite,
+    o_orderstatus IN ('F', 'P') AS overlap, CASE WHEN o_custkey = 7 THEN NULL ELSE o_totalprice / (o_custkey - 7) END AS quotient
+    FROM orders""",
+)
+def reference_and_time_functions(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    reference = F.concat_ws("-", F.lit("ref"), F.col("o_custkey"), F.lit("c"), F.col("o_orderpriority"))
+    instant = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    price = F.expr("CASE WHEN o_totalprice < 50000 THEN double('inf') WHEN o_totalprice < 100000 THEN double('nan') ELSE o_totalprice END")
+    return orders.select(
+        "o_orderkey",
+        tx.split_reference(reference).alias("r"),
+        vx.parse_instant(instant).cast("timestamp_ntz").alias("instant"),
+        vx.finite_or_zero(price).alias("finite"),
+        vx.overlaps(F.array("o_orderstatus"), ["F", "P"]).alias("overlap"),
+        vx.ratio(F.col("o_totalprice"), F.col("o_custkey") - 7).alias("quotient"),
+    ).select("o_orderkey", "r.*", "instant", "finite", "overlap", "quotient")
+
+
+_DOCUMENT_COLUMNS = {"c_custkey": "Numeric", "c_name": "Alphanumeric", "c_nationkey": "Numeric", "c_mktsegment": "Alphanumeric"}
+
+
+@suite.add(
+    "profile_document",
+    " UNION ALL ".join(
+        f"""SELECT 'columns' AS part, "column", 'distinct' AS item, CAST("distinct" AS DOUBLE) AS "value" FROM ({_scalar_sql(c, k, 'customer')})"""
+        for c, k in _DOCUMENT_COLUMNS.items()
+    )
+    + " UNION ALL "
+    + " UNION ALL ".join(
+        f"""SELECT 'masks', '{c}', {_MASK_SQL.format(c=c)}, CAST(count(*) AS DOUBLE) FROM customer GROUP BY ALL"""
+        for c in ("c_name", "c_mktsegment")
+    )
+    + """ UNION ALL SELECT 'correlations', 'c_custkey', 'c_nationkey', round(corr(c_custkey, c_nationkey), 6) FROM customer
+    UNION ALL SELECT 'table', 'rows', 'row_count', CAST(count(*) AS DOUBLE) FROM customer""",
+)
+def profile_document(spark, sf_dir):
+    """Parts of the whole document in one long table."""
+    parts = profile.profile_document(table(spark, sf_dir, "customer").select(*_DOCUMENT_COLUMNS))
+
+    def part(name, column, item, value):
+        return parts[name].select(
+            F.lit(name).alias("part"), column.alias("column"), item.alias("item"), value.cast("double").alias("value")
+        )
+
+    c = F.col
+    pair = (c("column_i") == "c_custkey") & (c("column_j") == "c_nationkey")
+    parts["correlations"] = parts["correlations"].filter(pair)
+    return rounded(
+        part("columns", c("column"), F.lit("distinct"), c("distinct"))
+        .unionByName(part("masks", c("column"), c("mask"), c("n")))
+        .unionByName(part("correlations", c("column_i"), c("column_j"), c("value")))
+        .unionByName(part("table", F.lit("rows"), F.lit("row_count"), c("row_count")))
+    )

@@ -448,3 +448,22 @@ _REPORTED = (("l_linenumber", "whole", ("ValueStatistics", "LengthStatistics", "
 @suite.add("suggest_report_rules", " UNION ALL ".join(_report_sql(c, "lineitem", k, s) for c, k, s in _REPORTED))
 def suggest_report_rules(spark, sf_dir):
     return suggest.report_rules(table(spark, sf_dir, "lineitem"), [c for c, _, _ in _REPORTED])
+
+
+_AUDIENCE = """(SELECT c_name AS "user", [c_mktsegment, CASE WHEN c_acctbal < 0 THEN 'Analysts' ELSE 'Managers' END] AS categories FROM customer)"""
+
+
+@suite.add(
+    "alert_recipients",
+    f"""SELECT DISTINCT key_column, category, passed, "user" FROM (
+      SELECT key_column, category, bool_and(score >= minimum) AS passed
+      FROM ({_LAUNCH_SQL}) JOIN (VALUES {', '.join(str(t) for t in _TOLERANCES)}) t(category, dim, minimum) ON dim = dimension
+      GROUP BY key_column, category) JOIN (SELECT "user", unnest(categories) AS category FROM {_AUDIENCE}) USING (category)""",
+)
+def alert_recipients(spark, sf_dir):
+    limits = spark.createDataFrame(_TOLERANCES, "category string, dimension string, minimum double")
+    alerts = quality.tolerance_alerts(quality.launch_scores(_card(spark, sf_dir)), limits, ["key_column"])
+    users = table(spark, sf_dir, "customer").selectExpr(
+        "c_name AS user", "array(c_mktsegment, CASE WHEN c_acctbal < 0 THEN 'Analysts' ELSE 'Managers' END) AS categories"
+    )
+    return quality.alert_recipients(alerts, users).select("key_column", "category", "passed", "user")
