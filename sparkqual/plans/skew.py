@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# At most this many keys are treated as hot; their hashes are broadcast (8 bytes each).
-HOT_KEYS = 1000
-# A key is hot from this many rows on; smaller keys fit one task.
+# At most this many keys are treated as hot; their hashes and parts are broadcast (12 bytes
+# each). Any other key then holds less than a ten-thousandth of the rows.
+HOT_KEYS = 10_000
+# A key is hot from this many rows on, and is split into parts of about as many.
 HOT_ROWS = 1_000_000
-# Parts a hot key is split into.
-SALTS = 64
+# Parts of one key at most.
+MAX_PARTS = 10_000
 
 
 # A table is broadcast when it was counted and found below both limits.
@@ -34,17 +35,19 @@ def _key_hash(columns: Sequence[Column]) -> Column:
 
 
 def hot_hashes(keyed: DataFrame, on: Sequence[str], count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Hashes of the most frequent keys: never more than `HOT_KEYS` rows.
+    """(_hash, _parts) of the most frequent keys: never more than `HOT_KEYS` rows.
 
     The list only decides how work is spread. A key missing from it, or one sharing a hash
     with a hot key, is still joined correctly.
     """
+    parts = F.least(F.ceil(F.col(count) / hot_rows), F.lit(MAX_PARTS)).cast("int")
     return (
         keyed.filter(F.col(count) >= hot_rows)
         .orderBy(F.col(count).desc())
         .limit(HOT_KEYS)
-        .select(_key_hash([F.col(k) for k in on]).alias("_hash"))
-        .distinct()
+        .select(_key_hash([F.col(k) for k in on]).alias("_hash"), parts.alias("_parts"))
+        .groupBy("_hash")
+        .agg(F.max("_parts").alias("_parts"))
     )
 
 
@@ -58,30 +61,28 @@ def join_unique(
 ) -> DataFrame:
     """Join `rows` to `keyed` (one row per key, `count` = its rows in `rows`), nulls equal.
 
-    Hot keys of `rows` are split over `SALTS` parts by the task that read them, which a
-    re-run task repeats exactly; the single matching row of `keyed` is copied to every part.
+    A hot key's rows are split into parts by the task that read them, which a re-run task
+    repeats exactly; the single matching row of `keyed` is copied to every part. All copies
+    together are about one per `hot_rows` rows.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
     hot = F.broadcast(hot_hashes(keyed, on, count, hot_rows))
-    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS)).cast("int")
+    parts = F.coalesce("_parts", F.lit(1))
     left = (
         rows.withColumn("_hash", _key_hash([F.col(k) for k in on]))
-        .join(hot.withColumn("_hot", F.lit(True)), "_hash", "left")
-        .withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0)))
-        .drop("_hash", "_hot")
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(
-        F.array(F.lit(0))
+        .join(hot, "_hash", "left")
+        .withColumn("_part", F.pmod(F.spark_partition_id(), parts))
+        .drop("_hash", "_parts")
     )
     right = (
         keyed.withColumn("_hash", _key_hash([F.col(k) for k in on]))
-        .join(hot.withColumn("_hot", F.lit(True)), "_hash", "left")
-        .withColumn("_salt_r", F.explode(copies))
-        .drop("_hash", "_hot")
+        .join(hot, "_hash", "left")
+        .withColumn("_part_r", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .drop("_hash", "_parts")
         .withColumnsRenamed({k: f"_k_{k}" for k in on})
     )
-    cond = F.col("_salt") == F.col("_salt_r")
+    cond = F.col("_part") == F.col("_part_r")
     for k in on:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return left.join(right, cond, how).drop("_salt", "_salt_r", *[f"_k_{k}" for k in on])
+    return left.join(right, cond, how).drop("_part", "_part_r", *[f"_k_{k}" for k in on])

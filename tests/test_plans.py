@@ -57,7 +57,7 @@ def test_join_unique_equals_plain_join_under_hot_keys(spark, how):
 
 
 def test_hot_list_is_bounded(spark):
-    keyed = spark.range(5000).select("id", F.lit(10).alias("n"))
+    keyed = spark.range(3 * skew.HOT_KEYS).select("id", F.lit(10).alias("n"))
     assert skew.hot_hashes(keyed, ["id"], "n", hot_rows=1).count() <= skew.HOT_KEYS
 
 
