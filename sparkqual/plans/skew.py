@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 # each). Any other key then holds less than a ten-thousandth of the rows.
 HOT_KEYS = 10_000
 # A key is hot from this many rows on, and is split into parts of about as many.
-HOT_ROWS = 1_000_000
+HOT_ROWS = 250_000
 # Parts of one key at most.
 MAX_PARTS = 10_000
 
