@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkqual.llm import packing, urls
-from sparkqual.llm.tables import table
+from sparkqual.llm import language, packing, secrets, urls
+from sparkqual.llm.tables import held_out, table
 
 # Fixed values of the query: rules as (verdict, host and path).
 URL_RULES = [
@@ -27,6 +27,30 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return secrets.scan(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.detect(docs, language.train(docs.filter(~held_out())))
+    return found.select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans")
+    )
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     listed = pages.filter(F.col("html").rlike(LISTING_WORDS)).select("url")
@@ -61,6 +85,8 @@ from named
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
+    "op2_secrets": op2_secrets,
+    "op7_language": op7_language,
     "op9_url_filter": op9_url_filter,
 }
 _SQL = {"op9_url_filter": OP9_SQL}
