@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkqual.llm import language, packing, secrets, urls
+from sparkqual.llm import language, neighbours, packing, secrets, toxicity, urls
 from sparkqual.llm.tables import held_out, table
 
 # Fixed values of the query: rules as (verdict, host and path).
@@ -43,6 +43,18 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(~held_out()))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.detect(docs, language.train(docs.filter(~held_out())))
@@ -86,6 +98,8 @@ from named
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_secrets": op2_secrets,
+    "op5_neighbours": op5_neighbours,
+    "op6_toxicity": op6_toxicity,
     "op7_language": op7_language,
     "op9_url_filter": op9_url_filter,
 }
