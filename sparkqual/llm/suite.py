@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkqual.llm import language, neighbours, packing, secrets, toxicity, urls
+from sparkqual.llm import language, neighbours, ngram_join, packing, secrets, toxicity, urls
 from sparkqual.llm.tables import held_out, table
 
 # Fixed values of the query: rules as (verdict, host and path).
@@ -43,6 +43,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
@@ -98,6 +102,7 @@ from named
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_secrets": op2_secrets,
+    "op4_ngram_join": op4_ngram_join,
     "op5_neighbours": op5_neighbours,
     "op6_toxicity": op6_toxicity,
     "op7_language": op7_language,
