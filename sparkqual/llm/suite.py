@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkqual.llm import language, neighbours, ngram_join, packing, secrets, toxicity, urls
+from sparkqual.llm import decontaminate, language, neighbours, ngram_join, packing, secrets, toxicity, urls
 from sparkqual.llm.tables import held_out, table
 
 # Fixed values of the query: rules as (verdict, host and path).
@@ -73,6 +73,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, listed, URL_RULES).drop("url")
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs, benchmark).drop("doc_key")
+
+
 OP9_SQL = r"""
 with parts as (
   select page_id, html,
@@ -107,6 +112,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_language": op7_language,
     "op9_url_filter": op9_url_filter,
+    "op10_decontaminate": op10_decontaminate,
 }
 _SQL = {"op9_url_filter": OP9_SQL}
 
