@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkqual.llm import decontaminate, language, neighbours, ngram_join, packing, secrets, substrings, toxicity, urls
+from sparkqual.llm import decontaminate, language, neighbours, ngram_join, packing, secrets, substrings, token_files, toxicity, urls
 from sparkqual.llm.tables import held_out, table
 
 # Fixed values of the query: rules as (verdict, host and path).
@@ -43,6 +43,17 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.new_folder(spark)
+    token_files.write(table(spark, sf_dir, "documents"), path)
+    return token_files.read(spark, path).select(
+        "doc_id",
+        "start",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.crc32("ids").alias("ids_crc32"),
+    )
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
@@ -112,6 +123,7 @@ from named
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_secrets": op2_secrets,
+    "op3_token_files": op3_token_files,
     "op4_ngram_join": op4_ngram_join,
     "op5_neighbours": op5_neighbours,
     "op6_toxicity": op6_toxicity,
