@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkqual.llm import decontaminate, language, ngram_join, packing, secrets
-from sparkqual.llm.tables import held_out, table
+from sparkqual.llm.tables import free_name, held_out, table
 from sparkqual.plans.durable import durable
 
 # A document is kept if this share of its letters is in one language.
@@ -33,36 +33,36 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Scores are learned from the labelled documents that are not held out.
     """
     model = language.train(docs.filter(~held_out()))
-    keyed = docs.withColumn("_key", _key())
-    judged = language.detect(keyed.select(F.col("_key").alias("doc_id"), "text"), model)
+    name = free_name(docs, "_key")
+    keyed = docs.withColumn(name, _key())
+    judged = language.detect(keyed.select(F.col(name).alias("doc_id"), "text"), model)
     rejected = judged.filter((F.col("lang_pred") == "und") | (F.col("score") < LANGUAGE_SHARE))
-    gone = durable(rejected.select(F.col("doc_id").alias("_key")).distinct())
-    return _without(keyed, gone).select(*docs.columns)
+    gone = durable(rejected.select(F.col("doc_id").alias(name)).distinct())
+    return _without(keyed, gone, name).select(*docs.columns)
 
 
-def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+def _without(keyed: DataFrame, gone: DataFrame, name: str) -> DataFrame:
     if gone.count() <= BROADCAST_KEYS:
         gone = F.broadcast(gone)
-    return keyed.join(gone, "_key", "left_anti")
+    return keyed.join(gone, name, "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates.
 
     Rows with a null id take no part and stay; of rows with the kept id, all with that id stay but
-    repeated ones, which count once.
+    repeated texts, which count once.
     """
     found = ngram_join.ngram_join(docs, SHINGLE, SIMILAR)
-    gone = durable(
-        found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_key")).distinct()
-    )
-    named = docs.filter("doc_id is not null").withColumn("_key", F.col("doc_id").cast("long"))
-    ids = named.groupBy("_key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
-    twice = durable(ids.select("_key"))
-    kept = _without(named, gone)
+    name, text = free_name(docs, "_key"), free_name(docs, "_text")
+    gone = durable(found.filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct())
+    named = docs.filter("doc_id is not null").withColumn(name, F.col("doc_id").cast("long"))
+    ids = named.groupBy(name).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    twice = durable(ids.select(name))
+    kept = _without(named, gone, name)
     if not twice.isEmpty():
-        some = kept.join(twice, "_key", "left_semi").withColumn("_text", F.xxhash64(F.coalesce("text", F.lit(""))))
-        kept = _without(kept, twice).unionByName(some.dropDuplicates(["_key", "_text"]).drop("_text"))
+        some = kept.join(twice, name, "left_semi").withColumn(text, F.xxhash64(F.coalesce("text", F.lit(""))))
+        kept = _without(kept, twice, name).unionByName(some.dropDuplicates([name, text]).drop(text))
     return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sparkqual.llm.tables import texts
+from sparkqual.llm.tables import free_name, texts
 from sparkqual.plans.durable import durable
 
 # Words of a shingle.
@@ -223,5 +223,6 @@ def key() -> Column:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """`docs` without the documents that `contaminated` lists; all columns stay."""
-    leaks = _small(durable(contaminated(docs, benchmark, **options).select("doc_key").distinct()))
-    return docs.withColumn("doc_key", key()).join(leaks, "doc_key", "left_anti").select(*docs.columns)
+    name = free_name(docs, "doc_key")
+    leaks = durable(contaminated(docs, benchmark, **options).select(F.col("doc_key").alias(name)).distinct())
+    return docs.withColumn(name, key()).join(_small(leaks), name, "left_anti").select(*docs.columns)

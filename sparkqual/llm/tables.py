@@ -19,3 +19,11 @@ def texts(docs: DataFrame) -> DataFrame:
 def held_out(doc_id: str = "doc_id") -> Column:
     """Whether a document is kept from training: crc32 of its id as text is 0 modulo 5."""
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, with underscores added until no column of `df` is called so (in either case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
