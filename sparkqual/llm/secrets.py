@@ -2,7 +2,7 @@
 
 Both models are first-order Markov chains over the characters of tokens. One is trained on
 strings labelled random (values the patterns found), one on ordinary words and identifiers (all
-other text). A long token whose log-likelihood ratio is above a threshold is a secret too.
+other text but long tokens). A long token whose log-likelihood ratio is above a threshold is a secret too.
 """
 
 from __future__ import annotations
@@ -23,8 +23,9 @@ STATES = len(ALPHABET) + 1
 # Shortest token the models judge, and the log-likelihood ratio (nats) from which it is a secret.
 MIN_TOKEN = 16
 THRESHOLD = 12.0
-# Every pair of characters counts as seen this often by either model.
-PRIOR = 0.5
+# Every character counts as seen this often by either model, and a character's successors are
+# smoothed with this many that follow the model's shares of all characters.
+PRIOR, SMOOTHING = 0.5, 20.0
 
 _STATE = np.zeros(256, np.int64)
 _STATE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, STATES)
@@ -77,7 +78,8 @@ def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     values.append(text[value:end])
                     at = max(at, end)
                 rest.append(text[at:] if at else text)
-            ordinary += _pairs("\n".join(rest))
+            # Long tokens are what is to be judged, so they are no samples of ordinary ones.
+            ordinary += _pairs(_TOKEN.sub(" ", "\n".join(rest)))
             if values:
                 random += _pairs("\n".join(values))
     seen = np.flatnonzero(random + ordinary)
@@ -91,8 +93,8 @@ def train(docs: DataFrame, prior: float = PRIOR) -> np.ndarray:
     """Log-likelihood ratio random : ordinary for each state after each other.
 
     Counts come from all documents, summed by task and then by pair; at most STATES^2 rows reach
-    the driver. Pairs of the same case or class share no counts; without any labelled string the
-    random model is uniform.
+    the driver. Rare pairs fall back on how frequent the second character is; without any labelled
+    string the random model is uniform.
     """
     counted = (
         docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -103,11 +105,12 @@ def train(docs: DataFrame, prior: float = PRIOR) -> np.ndarray:
     )
     logs = []
     for kind in ("random", "ordinary"):
-        n = np.full(STATES * STATES, prior)
+        n = np.zeros(STATES * STATES)
         for row in counted:
             n[row["pair"]] += row[kind]
         n = n.reshape(STATES, STATES)[:, 1:]  # a token's end tells nothing
-        logs.append(np.log(n / n.sum(axis=1, keepdims=True)))
+        share = (n.sum(axis=0) + prior) / (n.sum() + prior * n.shape[1])
+        logs.append(np.log((n + SMOOTHING * share) / (n.sum(axis=1, keepdims=True) + SMOOTHING)))
     ratio = np.zeros((STATES, STATES))
     ratio[:, 1:] = logs[0] - logs[1]
     return ratio
