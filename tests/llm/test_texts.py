@@ -1,0 +1,278 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings, strategies as st
+
+from sparkqual.llm import decontaminate, language, neighbours, secrets, toxicity, urls
+
+ASSIGN = re.compile(
+    r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII
+)
+
+
+def plain_spans(text):
+    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    found += [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(found, key=lambda s: (s[1], secrets.KINDS.index(s[0])))
+
+
+SECRETS = [
+    'password = "abcdefghijkl"', "token=secret=abcdefghijklmnop", "API_KEY: 'short'", "apikey:0123456789abcdef0",
+    "AKIA" + "Z9" * 7, "AKIA" + "Z9" * 6, "deadbeef" * 2, "deadbeef" * 2 + "g", "0" * 500, "é passwd=ABCDEFGHIJKL. é",
+    "secret : abcdefghijkl", "secret\t= abcdefghijkl", "tOkEn=" + "a" * 12, "password==abcdefghijkl", None, "", "ſecret=abcdefghijkl",
+]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["token", "secret", "=", ":", " ", "'", "abcdef", "0123456789", "AKIA", "AB12", "é", "."]), max_size=14))
+def test_base_spans(parts):
+    text = "".join(parts)
+    assert [s[:3] for s in secrets.base_spans(text)] == plain_spans(text)
+
+
+def test_scan(docs_of, prose):
+    rng = random.Random(1)
+    strange = "".join(rng.choices(secrets.ALPHABET[:62], k=40))
+    values = ["token=" + "".join(rng.choices(secrets.ALPHABET[:62], k=32)) for _ in range(60)]
+    rows = list(enumerate([*SECRETS, *values, f"see {strange} there", prose(3000, 1), "internationalisation_of_identifiers"]))
+    docs = docs_of([*rows, (None, "token=abcdefghijklmnop"), (0, SECRETS[0])])
+    found = secrets.scan(docs).collect()
+    assert len(found) == len(rows) + 2
+    by_id = {r[0]: [tuple(s) for s in r[1]] for r in found}
+    for doc, text in rows:
+        assert [s for s in by_id[doc] if s[0] != "markov"] == plain_spans(text or "")
+    at = len(rows) - 3
+    assert by_id[at] == [("markov", 4, 44)]
+    assert by_id[at + 1] == by_id[at + 2] == []
+    redacted = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
+    assert redacted[at]["text"] == "see [secret] there" and redacted[at]["n_chars"] == 18
+    assert redacted[0]["text"] == "[secret]\"" and redacted[14]["text"] is None
+    assert redacted[at + 1]["text"] == rows[at + 1][1]
+    assert set(redacted[0].asDict()) == set(docs.columns)
+    assert secrets.scan(docs.filter("false")).count() == 0
+
+
+def best_path(scores, switch):
+    """Best labelling by trying all."""
+    best, path = -1e18, None
+    n, k = scores.shape
+    for code in range(k**n):
+        labels = [code // k**i % k for i in range(n)]
+        value = sum(scores[i, x] for i, x in enumerate(labels)) - switch * sum(a != b for a, b in zip(labels, labels[1:], strict=False))
+        if value > best + 1e-9:
+            best, path = value, labels
+    return best, path
+
+
+def test_viterbi():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        lengths = rng.integers(0, 6, 5)
+        scores = (-rng.integers(0, 9, (int(lengths.sum()), 3))).astype(np.float32)
+        path = language.viterbi(scores, lengths, 3.0)
+        at = 0
+        for n in lengths.tolist():
+            own, labels = scores[at : at + n], path[at : at + n].tolist()
+            value = sum(own[i, x] for i, x in enumerate(labels)) - 3 * sum(a != b for a, b in zip(labels, labels[1:], strict=False))
+            assert n == 0 or abs(value - best_path(own, 3.0)[0]) < 1e-4
+            at += n
+
+
+ENGLISH = "the weather was thought to be rather harsh with nothing else worth mentioning while they were walking there"
+GERMAN = "das wetter wurde als ziemlich schlecht empfunden und nichts weiter schien erwähnenswert zwischen den bäumen"
+RUSSIAN = "погода была довольно плохая и больше ничего не стоило упоминать когда они шли туда"
+
+
+def shuffled(text, seed, n=40):
+    rng = random.Random(seed)
+    return " ".join(rng.choices(text.split(), k=n))
+
+
+def test_languages(spark, docs_of):
+    rows = [(k, shuffled(t, k), lang) for k, (t, lang) in enumerate([(ENGLISH, "en"), (GERMAN, "de"), (RUSSIAN, "ru")] * 15)]
+    labelled = spark.createDataFrame(
+        [*rows, (100, None, "en"), (101, "no label", None), (102, "12 34", "de")], "doc_id long, text string, lang string"
+    )
+    model = language.train(labelled)
+    assert model.langs == ["de", "en", "ru"]
+    mixed = shuffled(ENGLISH, 90) + ". " + shuffled(GERMAN, 91, 60) + "!"
+    asked = [(1, shuffled(ENGLISH, 70)), (2, shuffled(GERMAN, 71).upper()), (3, shuffled(RUSSIAN, 72)), (4, mixed), (5, None),
+             (6, " 12 -- "), (7, ""), (8, "日本語の文章"), (None, shuffled(GERMAN, 73)), (1, shuffled(ENGLISH, 70)),
+             (9, shuffled(GERMAN, 74, 20000))]
+    found = language.detect(docs_of(asked), model).collect()
+    assert len(found) == len(asked)
+    by_id = {r["doc_id"]: r for r in found}
+    assert [by_id[k]["lang_pred"] for k in (1, 2, 3, 4, 5, 6, 7, None, 9)] == ["en", "de", "ru", "de", "und", "und", "und", "de", "de"]
+    assert all(0 <= r["score"] <= 1 for r in found) and by_id[1]["score"] == 1 and by_id[5]["score"] == 0
+    assert [(mixed[s["start"] : s["end"]], s["lang"]) for s in by_id[4]["spans"]] == [
+        (shuffled(ENGLISH, 90), "en"), (shuffled(GERMAN, 91, 60), "de"),
+    ]
+    assert by_id[8]["lang_pred"] in model.langs
+    nothing = language.train(labelled.filter("false"))
+    assert {r["lang_pred"] for r in language.detect(docs_of(asked), nothing).collect()} == {"und"}
+    assert language.detect(docs_of([]), model).count() == 0
+
+
+def test_toxicity(spark, docs_of, prose):
+    rng = random.Random(3)
+
+    def text(k, toxic):
+        group = rng.choice(["muslims", "women", "immigrants"] if toxic else ["christians", "men", "natives"])
+        words = prose(25, k).split() + [rng.choice(["vile", "scum", "filth"])] * toxic + [group]
+        rng.shuffle(words)
+        return " ".join(words)
+
+    rows = [(k, text(k, k % 3 == 0)) for k in range(300)]
+    labels = spark.createDataFrame(
+        [(k, int(k % 3 == 0), 1) for k in range(300)] + [(3, 1, 0), (None, 1, 1), (999, None, 1)],
+        "doc_id long, toxic int, quality int",
+    )
+    fair = toxicity.train(docs_of(rows), labels)
+    asked = docs_of([(1, prose(20, 901) + " vile filth"), (2, prose(20, 902) + " women"), (3, prose(20, 902) + " men"),
+                     (4, None), (5, ""), (None, "scum"), (6, prose(20000, 903)), (6, prose(20000, 903))])
+    found = [tuple(r) for r in toxicity.score(asked, fair).collect()]
+    assert len(found) == 8 and all(0 <= s <= 1 for _, s in found)
+    by_id = dict(found)
+    assert by_id[1] > 0.5 > by_id[2] and by_id[None] > 0.5 and by_id[4] == by_id[5] < 0.5 and by_id[6] < 0.5
+    examples = [(1, 1.0, [1, 5, 99 + k], [1, 6, 99 + k]) for k in range(40)]
+    examples += [(0, 1.0, [2, 6, 200 + k], [2, 5, 200 + k]) for k in range(40)]
+    with_swaps, without = (toxicity.fit(examples, swap=s).table() for s in (100.0, 0.0))
+    assert abs(with_swaps[5] - with_swaps[6]) < 0.2 * abs(without[5] - without[6])
+    # One class, or no labels: a constant.
+    for kept in ("toxic = 1", "false"):
+        model = toxicity.train(docs_of(rows), labels.filter(kept))
+        assert len({round(r[1], 9) for r in toxicity.score(asked, model).collect()}) == 1
+
+
+URLS = [
+    "https://WWW.Example.net/en/a.html?x=1", "http://example.net/fr/", "http://a.b.example.com/de/x", "http://example.com/de",
+    "http://x.org/fr/y", "https://m.example.com/page/", "http://example.com/page.html#top", "https://example.com/page?q",
+    "no scheme", "", None, "http://", "http://?x", "x://net/", "http://notexample.net", "http://example.com:80/p", "ftp://u@h.com/ä/Ö",
+    "http://a.com/" + "x" * 5000, "http://a.com/1\n2?3",
+]
+
+
+@pytest.mark.parametrize("blocks", [0, 10**6])
+def test_urls(spark, monkeypatch, blocks):
+    monkeypatch.setattr(urls, "BROADCAST_BLOCKS", blocks)
+    schema = "page_id long, url string, block long, listed string, w0 int, canonical string, html string"
+    pages = spark.createDataFrame([(k, u, 1, "l", 2, "c", "h") for k, u in enumerate([*URLS, URLS[0], URLS[5]])], schema)
+    listed = spark.createDataFrame(
+        [("http://www.example.com/page",), (None,), ("junk",), ("https://a.com/" + "x" * 5000,), ("http://example.com/page/",)], "url string"
+    )
+    rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+    found = {r["page_id"]: r for r in urls.filter_urls(pages, listed, rules).collect()}
+    assert len(found) == len(URLS) + 2
+    assert (found[0]["host"], found[0]["path"]) == ("www.example.net", "/en/a.html")
+    assert [found[k]["rule"] for k in range(5)] == ["example.net/en/", "net/", "example.com/de/", None, "org/fr/"]
+    assert [found[k]["verdict"] for k in range(8)] == ["allow", "block", "block", "allow", "allow", "block", "block", "block"]
+    assert {(found[k]["host"], found[k]["path"], found[k]["verdict"]) for k in (8, 9, 10, 11, 12)} == {("", "", "allow")}
+    assert found[13]["rule"] == "net/" and found[14]["rule"] is None and found[17]["verdict"] == "block"
+    assert found[16]["path"] == "/ä/Ö" and found[18]["path"] == "/1\n2" and found[20]["verdict"] == "block"
+    none = urls.filter_urls(pages, listed.filter("false"), []).collect()
+    assert {r["verdict"] for r in none} == {"allow"}
+    assert urls.filter_urls(pages.filter("false"), listed, rules).count() == 0
+
+
+def test_bloom_filter_has_no_false_negatives(spark):
+    listed = spark.range(3000).selectExpr("concat('h.com/', id) as canonical")
+    asked = spark.range(9000).selectExpr("id as page_id", "concat('h.com/', id) as canonical")
+    found = urls.listed_only(asked, listed).filter("listed").selectExpr("min(page_id)", "max(page_id)", "count(*)").first()
+    assert tuple(found) == (0, 2999, 3000)
+
+
+def brute_leaks(docs, items, percent):
+    """{(doc_id, item_id): similarity} over all windows of each item's length."""
+    def shingles(text):
+        words = re.findall(r"[^\W_]+", (text or "").lower())
+        return [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+
+    listed = {k: shingles(t) for k, t in items if k is not None and t}
+    seen = Counter(s for found in listed.values() for s in set(found))
+    total = len({k for k, found in listed.items() if found})
+    weight = lambda s: 1 + sum(seen.get(s, 1) * (1 << k) <= total for k in (1, 2, 3))
+    out = {}
+    for doc, text in docs:
+        own = shingles(text)
+        for item, found in listed.items():
+            for k in range(max(1, len(own) - len(found) + 1)):
+                a, b = Counter(own[k : k + len(found)]), Counter(found)
+                shared = sum(weight(s) * min(n, b[s]) for s, n in a.items())
+                both = sum(weight(s) * n for c in (a, b) for s, n in c.items())
+                if shared and shared * (100 + percent) >= both * percent:
+                    out[doc, item] = max(out.get((doc, item), 0), shared / (both - shared))
+    return out
+
+
+def test_decontaminate(spark, docs_of, prose):
+    items = [(k, prose(20 + 3 * k, 50 + k, 4000)) for k in range(12)]
+    items += [(20, "too few words"), (21, None), (None, prose(30, 99)), (22, items[3][1] + " and " + prose(9, 8))]
+    texts = [None, "", "a b", prose(4000, 1)]
+    for k, (_, item) in enumerate(items[:12]):
+        words = item.split()
+        texts.append(f"{prose(30, k)} {item.upper()}, {prose(20, k + 30)}")
+        texts.append(f"{prose(30, k)} {' '.join(words[:-2])} {prose(20, k + 60)}")
+        texts.append(f"{prose(10, k)} {' '.join(words[: len(words) // 2])} {prose(20, k + 90)}")
+        texts.append(" ".join(words[:-1]))
+    rows = list(enumerate(texts))
+    docs = docs_of([*rows, (4, texts[4]), (None, items[0][1])])
+    benchmark = spark.createDataFrame([*items, items[5]], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(docs, benchmark).collect()}
+    want = brute_leaks([*rows, (None, items[0][1])], items, 80)
+    assert set(found) == set(want)
+    assert all(abs(found[k] - want[k]) < 1e-9 for k in want)
+    kept = decontaminate.clean(docs, benchmark)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == {k for k, _ in rows} - {k for k, _ in want}
+    assert decontaminate.contaminated(docs.filter("false"), benchmark).count() == 0
+    assert decontaminate.contaminated(docs, benchmark.filter("false")).count() == 0
+
+
+def test_all_fingerprints_within_the_radius(spark):
+    rng = random.Random(4)
+    items = [(k, 9, rng.getrandbits(63)) for k in range(5)]
+    windows = []
+    for k in range(300):
+        mark = items[k % 5][2]
+        for bit in rng.sample(range(63), k % 22):
+            mark ^= 1 << bit
+        windows.append((k, 0, 9, mark))
+    found = decontaminate.within_radius(
+        spark.createDataFrame(windows, "doc_key long, start int, length int, fingerprint long"),
+        spark.createDataFrame(items, "item_key long, length int, fingerprint long"),
+    )
+    want = {(w[0], i[0]) for w in windows for i in items if (w[3] ^ i[2]).bit_count() <= decontaminate.RADIUS}
+    assert {(r["doc_key"], r["item_key"]) for r in found.collect()} == want
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(700, 8)).astype(np.float32)
+    vectors[300:400] = vectors[300]  # a vector many rows share
+    rows = [(k, [float(x) for x in v], 1, 2) for k, v in enumerate(vectors)]
+    odd = [(701, None, 1, 2), (702, [0.0] * 8, 1, 2), (703, [float("nan")] * 8, 1, 2), (704, [None] + [1.0] * 7, 1, 2),
+           (None, [1.0] * 8, 1, 2), (706, [float("inf")] * 8, 1, 2), (707, [], 1, 2), (720, [0.5, 2.0], 1, 2), (721, [1.0, 2.0], 1, 2), rows[5]]
+    table = spark.createDataFrame([*rows, *odd], "vec_id long, embedding array<float>, shard int, dim int")
+    found = neighbours.nearest(table, every=20, k=10, shard=200, block=16, beam=40).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert set(got) == {*range(0, 700, 20), 720} and got[720] == [(721, 4.5)]
+    exact = vectors.astype(float)
+    hits = 0
+    for q in range(0, 700, 20):
+        scores = (exact * exact[q]).sum(axis=1)
+        order = [k for k in np.lexsort((np.arange(700), -scores)) if k != q][:10]
+        assert [r for _, r in got[q]] == sorted((r for _, r in got[q]), reverse=True) and len(got[q]) == 10
+        assert all(abs(s - scores[v]) < 1e-12 for v, s in got[q])
+        hits += len({v for v, _ in got[q]} & set(order))
+    assert hits >= 0.95 * 10 * 35
+    assert neighbours.nearest(table.filter("false"), every=20, k=10).count() == 0
+    few = neighbours.nearest(table.filter("vec_id in (0, 3)"), every=20, k=10).collect()
+    assert [(r["query_id"], r["vec_id"], r["rank"]) for r in few] == [(0, 3, 1)]
