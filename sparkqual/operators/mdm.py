@@ -6,7 +6,7 @@ import itertools
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.formula import to_sql
 from ..functions.text import strip
@@ -124,24 +124,38 @@ def _survivor(x: Column, y: Column, rules: Sequence[Mapping]) -> Column:
     return out
 
 
+def _records(source: DataFrame, key: str) -> DataFrame:
+    """One whole record per non-null key: the one whose columns have the smallest hash.
+
+    A key that very many records repeat is cut down in the tasks that read them.
+    """
+    own = F.xxhash64(*[quoted(c) for c in source.columns])
+    first = Window.partitionBy(quoted(key)).orderBy("_hash")
+    return (
+        source.filter(quoted(key).isNotNull())
+        .withColumn("_hash", own)
+        .withColumn("_place", F.row_number().over(first))
+        .filter("_place = 1")
+        .drop("_hash", "_place")
+    )
+
+
 def _side_by_side(left: DataFrame, right: DataFrame, key: str, suffixes: Sequence[str]) -> DataFrame:
-    """One row per key of either table, with both tables' other columns.
+    """One row per key of either table, and one for each record with a null key, with both tables' other columns.
 
-    A union and one aggregation: every row is shuffled once, and null keys meet like any
-    other. Master records are unique per key; should a source repeat one, its copies are
-    reduced (per column the lowest non-null value) instead of being paired with each other.
+    A null key matches nothing, so all its records stay. Master records are unique per key;
+    should a source repeat one, one of its records stays whole (see `_records`).
     """
-    union = left.select(
-        quoted(key), F.struct(*[quoted(c) for c in left.columns if c != key]).alias("_l"), F.lit(None).alias("_r")
-    ).unionByName(
-        right.select(
-            quoted(key), F.lit(None).alias("_l"), F.struct(*[quoted(c) for c in right.columns if c != key]).alias("_r")
-        )
+    x, y = (
+        source.select(quoted(key).alias("_key"), *[quoted(c).alias(c + s) for c in source.columns if c != key])
+        for source, s in zip((left, right), suffixes, strict=True)
     )
-    return union.groupBy(quoted(key)).agg(
-        *[F.min(F.col("_l").getField(c)).alias(c + suffixes[0]) for c in left.columns if c != key],
-        *[F.min(F.col("_r").getField(c)).alias(c + suffixes[1]) for c in right.columns if c != key],
+    both = _records(x, "_key").withColumnRenamed("_key", "_kx").join(
+        _records(y, "_key").withColumnRenamed("_key", "_ky"), F.col("_kx") == F.col("_ky"), "full"
     )
+    matched = both.withColumn("_key", F.coalesce("_kx", "_ky")).drop("_kx", "_ky")
+    alone = x.filter("_key is null").unionByName(y.filter("_key is null"), allowMissingColumns=True)
+    return matched.unionByName(alone).withColumnRenamed("_key", key)
 
 
 def golden_copy(
@@ -153,7 +167,8 @@ def golden_copy(
 ) -> DataFrame:
     """One record per match key of either source, each column chosen by its rules.
 
-    Null keys match null keys. Columns without a rule take the first non-null value.
+    A null key matches nothing: each such record stays a record of its own. A key that a source
+    repeats keeps one of its records whole. Columns without a rule take the first non-null value.
     """
     by_column = {r["column"]: r["rules"] for r in rules}
     shared = [c for c in s1.columns if c != key and c in s2.columns]
@@ -170,19 +185,14 @@ def golden_copy(
 def golden_copy_of(sources: Sequence[DataFrame], key: str) -> DataFrame:
     """One record per match key over any number of sources in order of trust.
 
-    Each column takes the non-null value of the first source that has one. One union and
-    one aggregation, however many sources there are.
+    Each column takes the non-null value of the first source that has one. Null keys match
+    nothing, repeated ones keep one whole record of their source.
     """
     names = list(dict.fromkeys(c for s in sources for c in s.columns if c != key))
-    union: DataFrame | None = None
-    for rank, source in enumerate(sources):
-        ranked = source.withColumn("_rank", F.lit(rank))
-        union = ranked if union is None else union.unionByName(ranked, allowMissingColumns=True)
-    firsts = []
-    for c in names:
-        best = F.min(F.when(quoted(c).isNotNull(), F.struct(F.col("_rank"), quoted(c).alias("v"))))
-        firsts.append(best.getField("v").alias(c))
-    return union.groupBy(quoted(key)).agg(*firsts)
+    out = sources[0].filter(quoted(key).isNull()).unionByName(_records(sources[0], key))
+    for source in sources[1:]:
+        out = golden_copy(out, source, key)
+    return out.select(quoted(key), *[quoted(c) for c in names])
 
 
 def layer_view(

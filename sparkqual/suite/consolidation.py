@@ -11,22 +11,25 @@ from .rounding import rounded
 suite = Suite()
 
 _VENDORS = {
-    "a": """(SELECT c_custkey, c_name, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS c_acctbal,
+    "a": """(SELECT CASE WHEN c_nationkey <> 7 THEN c_custkey END AS c_custkey, c_name, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS c_acctbal,
         c_mktsegment FROM customer WHERE c_nationkey <> 5)""",
     "b": """(SELECT c_custkey, upper(c_name) AS c_name, c_acctbal + 1 AS c_acctbal,
-        CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_nationkey <> 9)""",
+        CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment
+        FROM (SELECT * FROM customer UNION ALL SELECT * FROM customer WHERE c_nationkey = 3) WHERE c_nationkey <> 9)""",
     "c": "(SELECT c_custkey, 'third' AS c_name, CAST(NULL AS DOUBLE) AS c_acctbal, 'NONE' AS c_mktsegment FROM customer)",
 }
 
 
 def _vendor(spark, sf_dir, which):
+    """`a` has records without key, `b` repeats some of its records."""
     customers = table(spark, sf_dir, "customer")
     if which == "a":
         return customers.filter("c_nationkey <> 5").selectExpr(
-            "c_custkey", "c_name", "CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS c_acctbal", "c_mktsegment"
+            "CASE WHEN c_nationkey <> 7 THEN c_custkey END AS c_custkey", "c_name", "CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal END AS c_acctbal", "c_mktsegment"
         )
     if which == "b":
-        return customers.filter("c_nationkey <> 9").selectExpr(
+        twice = customers.unionByName(customers.filter("c_nationkey = 3"))
+        return twice.filter("c_nationkey <> 9").selectExpr(
             "c_custkey", "upper(c_name) AS c_name", "c_acctbal + 1 AS c_acctbal",
             "CASE WHEN c_acctbal < 0 THEN NULL ELSE c_mktsegment END AS c_mktsegment",
         )
@@ -42,7 +45,7 @@ _GOLDEN = f"""(SELECT coalesce(a.c_custkey, b.c_custkey) AS c_custkey,
     CASE WHEN a.c_name <> b.c_name THEN b.c_name ELSE coalesce(a.c_name, b.c_name) END AS c_name,
     round(coalesce(a.c_acctbal, b.c_acctbal), 2) AS c_acctbal,
     CASE WHEN a.c_mktsegment <> b.c_mktsegment THEN a.c_mktsegment ELSE b.c_mktsegment END AS c_mktsegment
-    FROM {_VENDORS['a']} a FULL JOIN {_VENDORS['b']} b ON a.c_custkey = b.c_custkey)"""
+    FROM {_VENDORS['a']} a FULL JOIN (SELECT DISTINCT * FROM {_VENDORS['b']}) b ON a.c_custkey = b.c_custkey)"""
 
 
 def _golden(spark, sf_dir):
@@ -62,7 +65,9 @@ _EACH = " UNION ALL ".join(f"SELECT {i} AS rank, * FROM {s}" for i, s in enumera
     "golden_n",
     f"""SELECT c_custkey, arg_min(c_name, rank) FILTER (WHERE c_name IS NOT NULL) AS c_name,
     round(arg_min(c_acctbal, rank) FILTER (WHERE c_acctbal IS NOT NULL), 2) AS c_acctbal,
-    arg_min(c_mktsegment, rank) FILTER (WHERE c_mktsegment IS NOT NULL) AS c_mktsegment FROM ({_EACH}) GROUP BY c_custkey""",
+    arg_min(c_mktsegment, rank) FILTER (WHERE c_mktsegment IS NOT NULL) AS c_mktsegment FROM ({_EACH})
+    WHERE c_custkey IS NOT NULL GROUP BY c_custkey
+    UNION ALL SELECT c_custkey, c_name, round(c_acctbal, 2), c_mktsegment FROM ({_EACH}) WHERE c_custkey IS NULL""",
 )
 def golden_n(spark, sf_dir):
     sources = [_vendor(spark, sf_dir, v) for v in ("a", "b", "c")]

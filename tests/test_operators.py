@@ -234,24 +234,40 @@ S2 = [("k1", "B", None), ("k3", "C", 3.0), (None, None, 9.0)]
 VENDOR = "ISIN string, NAME string, `LAST PRICE` double"
 
 
+def as_rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
 def test_golden_copy_rules(spark):
     s1, s2 = spark.createDataFrame(S1, VENDOR), spark.createDataFrame(S2, VENDOR)
-    plain = {r["ISIN"]: tuple(r)[1:] for r in mdm.golden_copy(s1, s2, "ISIN").collect()}
-    assert plain == {"k1": ("A", 1.0), "k2": (None, 2.0), "k3": ("C", 3.0), None: ("N", 9.0)}
+    null_keys = [(None, "N", None), (None, None, 9.0)]
+    plain = [("k1", "A", 1.0), ("k2", None, 2.0), ("k3", "C", 3.0), *null_keys]
+    assert as_rows(mdm.golden_copy(s1, s2, "ISIN")) == sorted(plain, key=str)
     diff = [{"column": "NAME", "rules": [{"rule": "ANY", "value": "NONEMPTY"}, {"rule": "DIFF", "value": "S2"}]},
             {"column": "LAST PRICE", "rules": [{"rule": "ANY", "value": "S1"}]}]
-    ruled = {r["ISIN"]: tuple(r)[1:] for r in mdm.golden_copy(s1, s2, "ISIN", diff).collect()}
-    assert ruled == {"k1": ("B", 1.0), "k2": (None, 2.0), "k3": ("C", None), None: ("N", None)}
+    ruled = [("k1", "B", 1.0), ("k2", None, 2.0), ("k3", "C", None), (None, "N", None), (None, None, None)]
+    assert as_rows(mdm.golden_copy(s1, s2, "ISIN", diff)) == sorted(ruled, key=str)
     with pytest.raises(ValueError):
         mdm.golden_copy(s1, s2, "ISIN", [{"column": "NAME", "rules": [{"rule": "MOST"}]}])
 
 
 def test_golden_copy_of_many(spark):
     s1, s2 = spark.createDataFrame(S1, VENDOR), spark.createDataFrame(S2, VENDOR)
-    extra = spark.createDataFrame([("k2", "Z"), ("k4", "Y")], "ISIN string, CEO string")
-    got = {r["ISIN"]: tuple(r)[1:] for r in mdm.golden_copy_of([s1, s2, extra], "ISIN").collect()}
-    assert got == {"k1": ("A", 1.0, None), "k2": (None, 2.0, "Z"), "k3": ("C", 3.0, None), "k4": (None, None, "Y"),
-                   None: ("N", 9.0, None)}
+    extra = spark.createDataFrame([("k2", "Z"), ("k4", "Y"), (None, "W")], "ISIN string, CEO string")
+    want = [("k1", "A", 1.0, None), ("k2", None, 2.0, "Z"), ("k3", "C", 3.0, None), ("k4", None, None, "Y"),
+            (None, "N", None, None), (None, None, 9.0, None), (None, None, None, "W")]
+    assert as_rows(mdm.golden_copy_of([s1, s2, extra], "ISIN")) == sorted(want, key=str)
+
+
+def test_golden_copy_keeps_whole_records(spark):
+    """Records without key stay, and a repeated key keeps a record some source holds."""
+    held = [(None, "A", 9.0), (None, "B", 2.0), ("X", "P", 5.0), ("X", "Q", 1.0)]
+    s1, s2 = spark.createDataFrame(held, VENDOR), spark.createDataFrame([("X", "Z", 7.0)], VENDOR)
+    for found in (as_rows(mdm.golden_copy(s1, s2, "ISIN")), as_rows(mdm.golden_copy_of([s1, s2], "ISIN"))):
+        assert len(found) == 3 and set(found) <= set(held)
+        assert {r for r in found if r[0] is None} == set(held[:2])
+    changed = as_rows(mdm.layer_diff(s1.filter("NAME <> 'Q'"), s2, "ISIN"))
+    assert len(changed) == 6 and ("X", "NAME", "P", "Z") in changed
 
 
 def test_standard_layer_names(spark):
