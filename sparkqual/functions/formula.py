@@ -30,12 +30,52 @@ def as_number(value: object) -> float | None:
     return float(text) if re.fullmatch(r"[-+]?\d+(\.\d+)?([eE][-+]?\d+)?", text) else None
 
 
+# A quoted text ("" and '' inside stand for the quote), a quoted name, or text between them.
+_PARTS = re.compile(r"""\"((?:[^"]|"")*)\"|'((?:[^']|'')*)'|(`[^`]*`)|([^"'`]+|.)""", re.DOTALL)
+
+
+def _parts(condition: str) -> list[tuple[str, str]]:
+    """(kind, content) of a condition's parts: text, name or code."""
+    out = []
+    for double, single, name, code in _PARTS.findall(condition):
+        if code or name:
+            out.append(("code", code) if code else ("name", name))
+        else:
+            out.append(("text", double.replace('""', '"') if double else single.replace("''", "'")))
+    return out
+
+
 def to_sql(condition: str) -> str:
-    """Accept `&`, `|`, `==` and double-quoted texts in a condition."""
-    out = condition.replace('"', "'")
-    out = re.sub(r"&+", " AND ", out)
-    out = re.sub(r"\|+", " OR ", out)
-    return out.replace("==", "=")
+    """Accept `&`, `|`, `==` and double-quoted texts in a condition; texts themselves stay as they are."""
+    out = []
+    for kind, content in _parts(condition):
+        if kind == "text":
+            escaped = content.replace("\\", "\\\\").replace("'", "\\'")
+            content = f"'{escaped}'"
+        elif kind == "code":
+            content = re.sub(r"&+", " AND ", content)
+            content = re.sub(r"\|+", " OR ", content).replace("==", "=")
+        out.append(content)
+    return "".join(out)
+
+
+def columns_read(branches: Sequence[Mapping] | str, names: Sequence[str]) -> list[str]:
+    """Which of the columns `names` a formula reads (as `violated` evaluates it)."""
+    if isinstance(branches, str):
+        words = set()
+        for kind, content in _parts(branches):
+            found = {"name": [content.strip("`")], "code": re.findall(r"\w+", content)}
+            words.update(w.lower() for w in found.get(kind, ()))
+        return [n for n in names if n.lower() in words]
+    if not any(str(b.get("logic", "")).lower() == "if" for b in branches):
+        return columns_read(branches[-1]["formulaText"], names)
+    read = set()
+    for branch in branches:
+        read.add(branch["operand"])
+        for spec in branch["formula"]:
+            for condition in (spec, *(spec.get("group") or [])):
+                read.update(filter(None, (condition["operand1"], condition.get("operand2"))))
+    return [n for n in names if n in read]
 
 
 def _operand(name: str, null_as: object) -> Column:

@@ -11,19 +11,19 @@ _OTHER = "\u0001"
 
 
 def is_alpha(c: Column) -> Column:
-    return c.rlike(r"^\p{L}+$")
+    return c.rlike(r"^\p{L}+\z")
 
 
 def is_number_text(c: Column) -> Column:
-    return c.rlike(r"^\p{N}+$")
+    return c.rlike(r"^\p{N}+\z")
 
 
 def is_alnum(c: Column) -> Column:
-    return c.rlike(r"^[\p{L}\p{N}]+$")
+    return c.rlike(r"^[\p{L}\p{N}]+\z")
 
 
 def is_digits(c: Column) -> Column:
-    return c.rlike(r"^\p{Nd}+$")
+    return c.rlike(r"^\p{Nd}+\z")
 
 
 def strip(c: Column) -> Column:

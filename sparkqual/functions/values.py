@@ -15,12 +15,17 @@ TIMES = ("HH:mm:ss", "HH:mm")
 ISO_INSTANT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 
 
+# A decimal number, blanks around it allowed; no suffixes, hexadecimal forms or words.
+_NUMBER = r"^[\x00-\x20]*[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?[\x00-\x20]*\z"
+
+
 def to_number(c: Column) -> Column:
-    """The value as a double; text that is no number becomes null.
+    """The value as a double; text that is no decimal number becomes null.
 
-    Text without a digit is sorted out first: a failing cast costs an exception per row.
+    Other text is sorted out first: a cast also reads forms such as `1d`, and a failing one costs
+    an exception per row.
     """
-    return F.when(c.cast("string").rlike("[0-9]"), c.try_cast("double"))
+    return F.when(c.cast("string").rlike(_NUMBER), c.try_cast("double"))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.longform import quoted
 from ..plans.skew import join_unique
@@ -145,26 +145,40 @@ def key_values_match(df: DataFrame, column: str, expected: str) -> Column:
 def accept_uploads(history: DataFrame, arrivals: DataFrame) -> DataFrame:
     """Arrivals with `accepted` and `replaces` (Q23).
 
-    Both have source_id, multi_source_key, upload_ts; arrivals also have a reason. Without a
-    reason an upload is accepted when its source (and key) has none that day; with one other
-    than "cleansedsource" it replaces the day's entry.
+    Both have source_id, multi_source_key, upload_ts; arrivals also have a reason. A source and key
+    hold one upload per day, their slot. Without a reason, the first arrival of a free slot is
+    accepted; with one other than "cleansedsource" the last arrival takes the slot, replacing what
+    history has and ahead of all plain ones. A cleansed source is always accepted. Arrivals at the
+    same time are ordered by their other columns; equal rows are one arrival.
     """
     slot = ["source_id", "multi_source_key", "day"]
-    day = F.to_date("upload_ts")
-    waiting = arrivals.withColumn("day", day)
-    wanted = waiting.groupBy(*slot).agg(F.count(F.lit(1)).alias("_rows"))
-    taken = history.select("source_id", "multi_source_key", day.alias("day")).distinct()
-    same = [wanted[c].eqNullSafe(taken[c]) for c in slot]
-    known = wanted.join(taken, same[0] & same[1] & same[2], "left").select(
-        *[wanted[c] for c in slot], taken["day"].isNotNull().alias("_taken"), "_rows"
-    )
+    order = ["upload_ts", *[c for c in arrivals.columns if c not in ("source_id", "multi_source_key", "upload_ts")]]
+    own = F.struct(*[F.col(c) for c in order])
+    waiting = arrivals.distinct().withColumn("day", F.to_date("upload_ts"))
     plain = F.col("reason").isNull() | (F.col("reason") == "")
     replacing = ~plain & (F.col("reason") != "cleansedsource")
+
+    def best(some: Column, columns: Sequence[Column], name: str) -> DataFrame:
+        """The first arrival of each slot; a task passes on one per slot."""
+        place = F.row_number().over(Window.partitionBy(*slot).orderBy(*columns))
+        chosen = waiting.filter(some).withColumn("_place", place).filter("_place = 1")
+        return chosen.select(*slot, own.alias(name))
+
+    first = best(plain, [F.col(c).asc() for c in order], "_first")
+    last = best(replacing, [F.col(c).desc() for c in order], "_last")
+    taken = history.select("source_id", "multi_source_key", F.to_date("upload_ts").alias("day")).distinct()
+    known = waiting.groupBy(*slot).agg(F.count(F.lit(1)).alias("_rows"))
+    for found in (taken.withColumn("_taken", F.lit(True)), first, last):
+        other = found.withColumnsRenamed({c: f"_{c}" for c in slot})
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in slot]
+        known = known.join(other, same[0] & same[1] & same[2], "left").drop(*[f"_{c}" for c in slot])
+    held = F.coalesce("_taken", F.lit(False))
+    wins = F.when(plain, ~held & F.col("_last").isNull() & own.eqNullSafe(F.col("_first")))
+    wins = wins.when(replacing, own.eqNullSafe(F.col("_last"))).otherwise(True)
     return (
         join_unique(waiting, known, slot, "left", "_rows")
-        .withColumn("accepted", ~F.col("_taken") | ~plain)
-        .withColumn("replaces", F.col("_taken") & replacing)
-        .drop("_taken", "_rows", "day")
+        .withColumns({"accepted": wins, "replaces": held & replacing & wins})
+        .select(*arrivals.columns, "accepted", "replaces")
     )
 
 

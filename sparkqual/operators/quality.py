@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import kinds, rules as rl
+from ..functions import formula as formulas, kinds, rules as rl
 from ..functions.values import half_even, is_missing, percent
 from ..plans.longform import describe_columns, quoted, value_counts
 from ..plans.skew import fits_broadcast, join_unique
@@ -166,14 +166,16 @@ def group_scorecard(
     """Five dimensions per value of every key column.
 
     (key_column, key_value, rows, Completeness, Uniqueness, Validity, Integrity, Accuracy,
-    overall, is_outlier). Equal rows are grouped once, which counts the repeats; all other
-    measures are sums over the distinct rows, weighted by their count. Key columns are
-    scored together, a null key value is a group of its own.
+    overall, is_outlier). Equal rows are grouped once; measures are sums over the distinct rows,
+    weighted by their count. Repeats are counted on the scored columns and keys alone, whatever
+    other columns a formula reads. Key columns are scored together, a null key value is a group of
+    its own.
 
     `references` maps the id in a reference rule's `ref-id-column` value to its table.
     """
     scored = list(columns or dict.fromkeys([*keys, *[e["column"] for e in ruleset]]))
-    needed = list(dict.fromkeys([*scored, *keys, *_formula_columns(df, ruleset)]))
+    told_apart = list(dict.fromkeys([*scored, *keys]))
+    needed = list(dict.fromkeys([*told_apart, *[e["column"] for e in ruleset], *_formula_columns(df, ruleset)]))
     counted = df.select(*[quoted(c) for c in needed]).groupBy(*[quoted(c) for c in needed]).agg(
         F.count(F.lit(1)).alias("_n")
     )
@@ -195,14 +197,18 @@ def group_scorecard(
     long = counted.select(
         F.inline(key_values),
         n,
+        F.lit(int(needed == told_apart)).alias("_kinds"),
         (nulls * n).alias("_nulls"),
         *[weigh(c.applies).alias(f"_checked{i}") for i, c in enumerate(checks)],
         *[weigh(c.violated).alias(f"_failed{i}") for i, c in enumerate(checks)],
         *[weigh(F.col(m)).alias(m) for m in members],
     )
+    if needed != told_apart:
+        kinds_only = counted.select(*[quoted(c) for c in told_apart]).distinct().select(F.inline(key_values))
+        long = long.unionByName(kinds_only.withColumn("_kinds", F.lit(1)), allowMissingColumns=True)
     sums = long.groupBy("key_column", "key_value").agg(
         F.sum("_n").alias("rows"),
-        F.sum(n - 1).alias("_repeats"),
+        (F.sum("_n") - F.sum("_kinds")).alias("_repeats"),
         F.sum("_nulls").alias("_nulls"),
         *[F.sum(f"_{w}{i}").alias(f"_{w}{i}") for w in ("checked", "failed") for i in range(len(checks))],
         *[F.sum(m).alias(m) for m in members],
@@ -248,9 +254,11 @@ def group_scorecard(
 
 
 def _formula_columns(df: DataFrame, ruleset: Sequence[Mapping]) -> list[str]:
-    """Columns formulas may read besides the rule columns."""
-    texts = str([r.get("value") for e in ruleset for r in e["rules"] if r["rule"] == "Formula"])
-    return [c for c in df.columns if c in texts]
+    """Columns that formulas read besides the rule columns."""
+    found = [
+        formulas.columns_read(r["value"], df.columns) for e in ruleset for r in e["rules"] if r["rule"] == "Formula"
+    ]
+    return list(dict.fromkeys(c for names in found for c in names))
 
 
 def long_scores(scorecard: DataFrame) -> DataFrame:

@@ -155,9 +155,15 @@ def upload_days(spark, sf_dir):
 _HISTORY = "(SELECT user_id AS source_id, 'K' AS multi_source_key, ts AS upload_ts, event_id AS upload_id FROM events WHERE event_type IN ('click', 'view'))"
 _ARRIVALS = """(SELECT user_id AS source_id, CASE WHEN value > 400 THEN 'L' ELSE 'K' END AS multi_source_key, ts AS upload_ts, event_id AS upload_id,
     CASE WHEN value < 100 THEN 'correction' WHEN value < 150 THEN 'cleansedsource' END AS reason FROM events WHERE event_type NOT IN ('click', 'view'))"""
-_ACCEPTED = f"""(SELECT a.*, NOT taken OR reason IS NOT NULL AS accepted, taken AND coalesce(reason = 'correction', false) AS replaces
-    FROM (SELECT *, EXISTS (SELECT 1 FROM {_HISTORY} h WHERE h.source_id = r.source_id AND h.multi_source_key = r.multi_source_key
-      AND CAST(h.upload_ts AS DATE) = CAST(r.upload_ts AS DATE)) AS taken FROM {_ARRIVALS} r) a)"""
+_SLOT = "source_id, multi_source_key, CAST(upload_ts AS DATE)"
+_ACCEPTED = f"""(SELECT * EXCLUDE (kind, place, latest, held, replaced),
+      CASE kind WHEN 'plain' THEN NOT held AND NOT replaced AND place = 1 WHEN 'correction' THEN latest = 1 ELSE true END AS accepted,
+      held AND kind = 'correction' AND latest = 1 AS replaces
+    FROM (SELECT *, bool_or(kind = 'correction') OVER (PARTITION BY {_SLOT}) AS replaced,
+      row_number() OVER (PARTITION BY {_SLOT}, kind ORDER BY upload_ts, upload_id) AS place,
+      row_number() OVER (PARTITION BY {_SLOT}, kind ORDER BY upload_ts DESC, upload_id DESC) AS latest,
+      ({_SLOT}) IN (SELECT ({_SLOT}) FROM {_HISTORY}) AS held
+      FROM (SELECT *, coalesce(reason, 'plain') AS kind FROM {_ARRIVALS})))"""
 
 
 def _uploads(spark, sf_dir):

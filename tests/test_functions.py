@@ -148,3 +148,28 @@ def test_key_outliers(spark):
     for value, kind, expected in (("abc", "Text", False), ("a1", "Text", True), ("12", "Numeric", False),
                                   ("1.2", "Numeric", True), ("a1", "Alphanumeric", False), ("x", "Datetime", True)):
         assert one(spark, value, lambda c: rules.key_is_outlier(c, kind)) is expected
+
+
+def test_texts_in_conditions_stay_as_they_are(spark):
+    names = ["AT&T", "a==b", "O'Brien", 'say "hi"', "a|b", "back\\slash", "plain"]
+    df = spark.createDataFrame([(n, k) for k, n in enumerate(names)], "name string, k int")
+    cases = {
+        'name == "AT&T"': [0], 'name = "a==b"': [1], 'name == "O\'Brien"': [2], "name == 'O''Brien'": [2],
+        'name == "say ""hi"""': [3], "name == 'say \"hi\"' | k == 6": [3, 6], 'name == "a|b" & k > 1': [4],
+        "name == 'back\\slash'": [5], "`name` == 'plain' && k >= 0 || k = 0": [0, 6],
+    }
+    for condition, want in cases.items():
+        found = df.filter(rules.conjunction([condition])).select("k").collect()
+        assert sorted(r["k"] for r in found) == want, condition
+    read = formula.columns_read("`a b` > 1 & name == 'value' | K < 3", ["a b", "a", "name", "value", "k"])
+    assert read == ["a b", "name", "k"]
+
+
+def test_text_and_number_tests(spark):
+    df = spark.createDataFrame([("abc\n",), ("1\n2",), ("1d",), ("0x1p3",), (" 1.5e3 ",), ("-.5",), ("NaN",), ("1f",), ("7.",)], "t string")
+    found = df.select(
+        text.is_alpha(F.col("t")).alias("a"), text.is_alnum(F.col("t")).alias("n"), values.to_number(F.col("t")).alias("v")
+    ).collect()
+    assert [r["a"] for r in found] == [False] * 6 + [True, False, False]
+    assert [r["n"] for r in found][:3] == [False, False, True]
+    assert [r["v"] for r in found] == [None, None, None, None, 1500.0, -0.5, None, None, 7.0]

@@ -353,3 +353,37 @@ def test_membership_is_the_same_with_and_without_broadcast(spark, monkeypatch):
     assert rows(q.with_membership(df, "v", ref, "r", "known")) == small
     assert (None, False) in small and ("a", False) in small and ("hot", True) in small
     assert q.reference_scores(df, "v", ref, "r").first()["members"] == 51
+
+
+def test_uniqueness_counts_scored_columns_only(spark):
+    rows = [("g", 5, k) for k in range(4)]
+    df = spark.createDataFrame(rows, "key string, amount int, value int")
+    value = [{"column": "amount", "rules": [{"rule": "Value", "operator": "greaterthan", "value": "0"}]}]
+    text_formula = [{"column": "amount", "rules": [{"rule": "Formula", "value": "amount > value"}]}]
+    branch = [{"logic": "If", "formula": [{"operand1": "value", "operator1": ">", "value": "2"}],
+               "operand": "amount", "operator": ">", "value": "9"}]
+    nested = [{"column": "amount", "rules": [{"rule": "Formula", "value": branch}]}]
+    found = [quality.group_scorecard(df, ["key"], r, columns=["amount"]).first() for r in (value, text_formula, nested)]
+    assert [f["Uniqueness"] for f in found] == [25.0] * 3
+    assert [f["Accuracy"] for f in found] == [100.0, 100.0, 75.0] and {f["rows"] for f in found} == {4}
+
+
+def test_one_upload_for_a_slot_and_day(spark):
+    def when(hour):
+        return dt.datetime(2024, 5, 1, hour)
+
+    schema = "source_id int, multi_source_key string, upload_ts timestamp, upload_id int, reason string"
+    history = spark.createDataFrame([(1, "K", when(0), 0), (9, None, when(0), 9)], "source_id int, multi_source_key string, upload_ts timestamp, upload_id int")
+    arrivals = spark.createDataFrame(
+        [(2, "K", when(5), 20, None), (2, "K", when(4), 21, ""), (2, "K", when(4), 22, None), (2, "K", when(4), 21, ""),
+         (1, "K", when(3), 10, None), (1, "K", when(5), 11, "fix"), (1, "K", when(4), 12, "fix"),
+         (3, "K", when(1), 30, None), (3, "K", when(2), 31, "fix"), (9, None, when(2), 90, None),
+         (1, "K", when(6), 13, "cleansedsource"), (4, None, when(1), 40, None)],
+        schema,
+    )
+    accepted = catalog.accept_uploads(history, arrivals)
+    got = {r["upload_id"]: (r["accepted"], r["replaces"]) for r in accepted.collect()}
+    assert {k for k, (a, _) in got.items() if a} == {21, 11, 31, 13, 40}
+    assert {k for k, (_, r) in got.items() if r} == {11} and accepted.count() == 11
+    after = catalog.apply_uploads(history, accepted)
+    assert sorted(r["upload_id"] for r in after.collect()) == [9, 11, 13, 21, 31, 40]
