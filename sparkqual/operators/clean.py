@@ -189,9 +189,12 @@ def impute(
 
 
 def replace_cells(df: DataFrame, edits: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """Write the non-null cells of `edits` over the rows with the same id (L4)."""
+    """Write the non-null cells of `edits` over the rows with the same id (L4).
+
+    Of several edits of a cell the largest value counts, so no row is written twice.
+    """
     changed = [c for c in edits.columns if c != row_id]
-    renamed = edits.withColumnsRenamed({c: f"_new_{c}" for c in changed})
+    renamed = edits.groupBy(quoted(row_id)).agg(*[F.max(quoted(c)).alias(f"_new_{c}") for c in changed])
     joined = df.join(renamed, row_id, "left")
     return joined.select(
         *[

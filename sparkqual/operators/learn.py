@@ -28,7 +28,7 @@ from .clean import mode_value
 
 # Fixed value: the split of every prediction job.
 SPLIT, SEED = [0.8, 0.2], 21
-# A target with more classes than this is no classification target.
+# A target with more classes than this is no classification target, unless the caller allows more.
 MAX_CLASSES = 100
 
 
@@ -114,18 +114,21 @@ def _encode(df: DataFrame, words: Sequence[str], codes: DataFrame) -> DataFrame:
     return df
 
 
-def prepare(df: DataFrame, target: str, features: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def prepare(
+    df: DataFrame, target: str, features: Sequence[str] | None = None, max_classes: int = MAX_CLASSES
+) -> tuple[DataFrame, DataFrame]:
     """(train, test) with `_features` and `_label` (M1).
 
     Text nulls take the mode, numeric ones 0; text is label-encoded on the training rows by
     a distributed ranking; features are standardised on the training rows. The split is made
-    on a stored table, so both parts stay the same in every later job.
+    on a stored table, so both parts stay the same in every later job. A target with more than
+    `max_classes` different values (counted exactly) is refused.
     """
     names = list(features or [c for c in kinds.flat_columns(df) if c != target])
     names = [c for c in names if c in kinds.nominal_columns(df) or c in kinds.numeric_columns(df)]
-    classes = df.agg(F.approx_count_distinct(quoted(target))).first()[0]
-    if classes > MAX_CLASSES:
-        raise ValueError(f"{target} has about {classes} classes")
+    classes = df.select(quoted(target)).filter(quoted(target).isNotNull()).distinct().count()
+    if classes > max_classes:
+        raise ValueError(f"{target} has {classes} classes; {max_classes} are allowed")
     labelled = df.filter(quoted(target).isNotNull()).withColumn("_target", quoted(target).cast("string"))
     filled, words, numbers = _fill_features(labelled, names)
     stored = durable(filled)
@@ -170,10 +173,14 @@ def _class_labels(prepared: DataFrame) -> list[str]:
 
 
 def compare_models(
-    df: DataFrame, target: str, features: Sequence[str] | None = None, names: Sequence[str] | None = None
+    df: DataFrame,
+    target: str,
+    features: Sequence[str] | None = None,
+    names: Sequence[str] | None = None,
+    max_classes: int = MAX_CLASSES,
 ) -> DataFrame:
     """(model, accuracy): percent right on the held-out rows, best first (M2)."""
-    train, test = prepare(df, target, features)
+    train, test = prepare(df, target, features, max_classes)
     classes = len(_class_labels(train))
     train, test = train.select("_features", "_label"), test.select("_features", "_label")
     # Models read the training rows many times.
@@ -194,10 +201,14 @@ def compare_models(
 
 
 def feature_importance(
-    df: DataFrame, target: str, features: Sequence[str] | None = None, trees: int = 500
+    df: DataFrame,
+    target: str,
+    features: Sequence[str] | None = None,
+    trees: int = 500,
+    max_classes: int = MAX_CLASSES,
 ) -> DataFrame:
     """(feature, importance) of a random forest, least important first (M3)."""
-    train, _ = prepare(df, target, features)
+    train, _ = prepare(df, target, features, max_classes)
     names = list(features or [c for c in kinds.flat_columns(df) if c != target])
     words = [c for c in names if c in kinds.nominal_columns(df)]
     numbers = [c for c in names if c in kinds.numeric_columns(df)]
@@ -214,9 +225,10 @@ def predict(
     target: str,
     model: str = "RandomForest_Classifier",
     features: Sequence[str] | None = None,
+    max_classes: int = MAX_CLASSES,
 ) -> DataFrame:
     """The held-out rows with their `Prediction` (M4)."""
-    train, test = prepare(df, target, features)
+    train, test = prepare(df, target, features, max_classes)
     labels = _class_labels(train)
     fitted = classifiers(len(labels))[model].fit(train)
     scored = fitted.transform(test)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,16 +27,29 @@ def checkpoint_root(spark: SparkSession) -> str:
     app = spark.conf.get("spark.app.id", "local")
     if app not in _local_roots:
         _local_roots[app] = tempfile.mkdtemp(prefix="sparkqual-")
+        atexit.register(shutil.rmtree, _local_roots[app], ignore_errors=True)
     return _local_roots[app]
 
 
+def _folder(spark: SparkSession) -> str:
+    """Where this application's stored tables go."""
+    return f"{checkpoint_root(spark)}/sparkqual/{spark.conf.get('spark.app.id', 'local')}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back.
 
     The result has no lineage to recompute when executors are lost, its columns can be
-    pruned, and its true size is known to the optimizer when it picks join strategies.
+    pruned, and its true size is known to the optimizer when it picks join strategies. The table
+    stays until `remove_stored` is called.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/sparkqual/{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_stored(spark: SparkSession) -> None:
+    """Delete all tables this application has stored; results that read them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# At most this many keys are treated as hot; their hashes and parts are broadcast (12 bytes
-# each). Any other key then holds less than a ten-thousandth of the rows.
-HOT_KEYS = 10_000
+# A key with less than this share of all rows is not hot, so there are at most as many hot keys as
+# the share goes into one; their hashes and parts are broadcast (12 bytes each).
+HOT_SHARE = 1 / 100_000
 # A key is hot from this many rows on, and is split into parts of about as many.
 HOT_ROWS = 250_000
 # Parts of one key at most.
@@ -21,12 +21,8 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def fits_broadcast(df: DataFrame, column: str) -> bool:
-    """Whether a one-column table of texts is small, by counting it up to the row limit."""
-    size = (
-        df.limit(BROADCAST_ROWS + 1)
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(column)).alias("bytes"))
-        .first()
-    )
+    """Whether a one-column table of texts is small; its rows and bytes are summed where they are."""
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(column)).alias("bytes")).first()
     return size["rows"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
 
 
@@ -35,19 +31,17 @@ def _key_hash(columns: Sequence[Column]) -> Column:
 
 
 def hot_hashes(keyed: DataFrame, on: Sequence[str], count: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(_hash, _parts) of the most frequent keys: never more than `HOT_KEYS` rows.
+    """(_hash, _parts) of all keys with at least `hot_rows` rows and the least share of all rows.
 
     The list only decides how work is spread. A key missing from it, or one sharing a hash
     with a hot key, is still joined correctly.
     """
     parts = F.least(F.ceil(F.col(count) / hot_rows), F.lit(MAX_PARTS)).cast("int")
+    least = keyed.agg(F.sum(count) * F.lit(HOT_SHARE)).scalar()
     return (
-        keyed.filter(F.col(count) >= hot_rows)
-        .orderBy(F.col(count).desc())
-        .limit(HOT_KEYS)
-        .select(_key_hash([F.col(k) for k in on]).alias("_hash"), parts.alias("_parts"))
-        .groupBy("_hash")
-        .agg(F.max("_parts").alias("_parts"))
+        keyed.filter((F.col(count) >= hot_rows) & (F.col(count) >= least))
+        .groupBy(_key_hash([F.col(k) for k in on]).alias("_hash"))
+        .agg(F.max(parts).alias("_parts"))
     )
 
 

@@ -125,9 +125,12 @@ def preview(df: DataFrame, n: int = 1000) -> dict[str, DataFrame]:
     return {"rows": df.limit(n), "top": frequency.top_shares(df, kinds.flat_columns(df), 3)}
 
 
-def delimiter_scores(spark: SparkSession, path: str, sample: int = 50) -> DataFrame:
-    """(delimiter, lines, per_line): lines that hold each delimiter, and its usual count (IO11)."""
-    lines = spark.read.text(path).filter(F.trim("value") != "").limit(sample)
+def delimiter_scores(spark: SparkSession, path: str) -> DataFrame:
+    """(delimiter, lines, per_line): lines that hold each delimiter, and its least count in one (IO11).
+
+    All lines are read; ties go to the delimiter's own order.
+    """
+    lines = spark.read.text(path).filter(F.trim("value") != "")
     found = F.array(
         *[
             F.struct(
@@ -142,7 +145,7 @@ def delimiter_scores(spark: SparkSession, path: str, sample: int = 50) -> DataFr
         .filter("times > 0")
         .groupBy("delimiter")
         .agg(F.count(F.lit(1)).alias("lines"), F.min("times").alias("per_line"))
-        .orderBy(F.col("lines").desc(), F.col("per_line").desc())
+        .orderBy(F.col("lines").desc(), F.col("per_line").desc(), "delimiter")
     )
 
 

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import rules as rl
 from ..functions.values import percent
@@ -21,8 +22,8 @@ def windowed_quality(
 ) -> DataFrame:
     """(start, end, rows, completeness, validity) per window; works on streams and tables.
 
-    Rows later than `lateness` are dropped by the watermark. Only sums are kept as state,
-    one small record per open window.
+    Only rows later than `lateness` are dropped, by the watermark. Only sums are kept as state,
+    one small record per open window. `store_windows` keeps the windows of a stream.
     """
     names = list(columns or events.columns)
     checks = rl.compile_rules(events, ruleset)
@@ -48,3 +49,22 @@ def windowed_quality(
             "validity",
         )
     )
+
+
+def store_windows(measured: DataFrame, target: str, checkpoint: str) -> DataStreamWriter:
+    """A writer that stores every window a batch has changed, open ones too.
+
+    A batch's windows go to a folder of its own; a batch that is run again overwrites it.
+    """
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return measured.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+
+
+def stored_windows(spark: SparkSession, target: str) -> DataFrame:
+    """The stored windows, each as its last batch left it."""
+    rows = spark.read.parquet(target)
+    last = rows.groupBy("start").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["start", "batch"]).drop("batch").select(*[c for c in rows.columns if c != "batch"])

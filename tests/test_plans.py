@@ -57,8 +57,17 @@ def test_join_unique_equals_plain_join_under_hot_keys(spark, how):
 
 
 def test_hot_list_is_bounded(spark):
-    keyed = spark.range(3 * skew.HOT_KEYS).select("id", F.lit(10).alias("n"))
-    assert skew.hot_hashes(keyed, ["id"], "n", hot_rows=1).count() <= skew.HOT_KEYS
+    """No more keys than fit the least share, and tied keys are all on the list or none is."""
+    even = spark.range(int(2 / skew.HOT_SHARE)).select("id", F.lit(10).alias("n"))
+    assert skew.hot_hashes(even, ["id"], "n", hot_rows=1).count() == 0
+    tied = spark.range(500).select("id", F.lit(10).alias("n"))
+    assert skew.hot_hashes(tied, ["id"], "n", hot_rows=1).count() == 500
+
+
+def test_tied_hot_keys_lose_no_rows(spark):
+    rows = spark.range(3000).selectExpr("id % 30 AS k", "id").repartition(6)
+    keyed = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    assert skew.join_unique(rows, keyed, ["k"], "inner", "n", hot_rows=7).count() == 3000
 
 
 def test_large_whole_numbers_stay_distinct(spark):
@@ -75,3 +84,16 @@ def test_column_names_with_dots_and_blanks(spark):
 def test_durable_uses_the_configured_folder(spark):
     path = durable.durable(spark.range(3)).inputFiles()[0]
     assert spark.conf.get("spark.checkpoint.dir") in path
+
+
+def test_stored_tables_can_be_removed(spark):
+    from pathlib import Path
+
+    from sparkqual.plans import durable as stored
+
+    table = stored.durable(spark.range(3))
+    assert table.count() == 3
+    folder = Path(stored._folder(spark).removeprefix("file:"))
+    assert len(list(folder.iterdir())) > 0
+    stored.remove_stored(spark)
+    assert not folder.exists()
