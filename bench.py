@@ -44,6 +44,13 @@ HEADLINES = (
     "classify_columns",
     "candidate_keys",
     "latest_upload",
+    "corr_spearman",
+    "corr_kendall",
+    "iterative_impute",
+    "profile_document",
+    "model_accuracy",
+    "io_row_ids",
+    "group_scorecard",
 )
 
 
@@ -57,8 +64,6 @@ def main() -> None:
             "spark.sql.shuffle.partitions": cpus,
             "spark.driver.memory": "16g",
             "spark.ui.showConsoleProgress": "false",
-            # The tables are single files: let column batches use the idle cores.
-            "sparkqual.aggWidth": "30",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -196,13 +196,17 @@ def freshness_history(spark, sf_dir):
 
 @suite.add(
     "key_values_match",
-    """SELECT event_type, count(*) > 0 AND min(event_type) = 'click' AND max(event_type) = 'click' AS fits
-    FROM events GROUP BY event_type HAVING event_type = 'click'""",
+    """SELECT 'event_type' AS "column", count(*) > 0 AND min(event_type) = 'click' AND max(event_type) = 'click' AS fits FROM events
+    UNION ALL SELECT 'region', count(*) > 0 AND min(user_id * 0) = 0 AND max(user_id * 0) = 0 FROM events""",
 )
 def key_values_match(spark, sf_dir):
-    clicks = table(spark, sf_dir, "events").filter("event_type = 'click'")
-    fits = catalog.key_values_match(clicks, "event_type", "click")
-    return clicks.select("event_type").distinct().select("event_type", fits.alias("fits"))
+    events = table(spark, sf_dir, "events").withColumn("region", F.col("user_id") * 0)
+    found = {"event_type": "click", "region": 0}
+    rows = [
+        spark.range(1).select(F.lit(c).alias("column"), catalog.key_values_match(events, c, v).alias("fits"))
+        for c, v in found.items()
+    ]
+    return rows[0].unionByName(rows[1])
 
 
 _PARTS = "(SELECT p_size, p_retailprice, CASE WHEN p_size > 30 THEN 'n/a' ELSE CAST(p_size AS VARCHAR) END AS p_note, p_brand FROM part)"

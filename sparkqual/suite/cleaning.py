@@ -129,14 +129,14 @@ def audit_changed_rows(spark, sf_dir):
 @suite.add(
     "register_cleaned",
     """SELECT user_id AS source_id, max(ts) AS process_time, arg_max(event_id, ts) AS file
-    FROM events WHERE event_type IN ('click', 'purchase') GROUP BY user_id""",
+    FROM events GROUP BY user_id""",
 )
 def register_cleaned(spark, sf_dir):
     entries = table(spark, sf_dir, "events").select(
         F.col("user_id").alias("source_id"), F.col("ts").alias("process_time"), F.col("event_id").alias("file"), "event_type"
     )
-    old = entries.filter("event_type = 'click'").drop("event_type")
-    new = entries.filter("event_type = 'purchase'").drop("event_type")
+    old = entries.filter("event_type IN ('click', 'view')").drop("event_type")
+    new = entries.filter("event_type NOT IN ('click', 'view')").drop("event_type")
     return clean.register_cleaned(old, new)
 
 
