@@ -24,6 +24,7 @@ from ..plans.durable import durable
 from ..plans.longform import quoted
 from ..plans.ranks import dense_codes
 from ..plans.skew import join_unique
+from . import frequency
 from .clean import mode_value
 
 # Fixed value: the split of every prediction job.
@@ -220,6 +221,11 @@ def feature_importance(
     )
 
 
+def predict_top(df: DataFrame, k: int = 3) -> DataFrame:
+    """(column, value, n, rank, share): the most frequent values of a prediction's input (M4)."""
+    return frequency.top_shares(df, k=k)
+
+
 def predict(
     df: DataFrame,
     target: str,

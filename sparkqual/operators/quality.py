@@ -155,6 +155,54 @@ def reference_violations(
     return with_membership(df, column, reference, ref_column, "_known").filter("NOT _known").drop("_known")
 
 
+def launch_violations(
+    df: DataFrame,
+    key: str,
+    ruleset: Sequence[Mapping],
+    keep: Sequence[str],
+    null_columns: Sequence[str] = (),
+    unique_columns: Sequence[str] = (),
+    references: Mapping[str, tuple[DataFrame, str]] | None = None,
+    null_as: object = None,
+) -> DataFrame:
+    """All violations of a launch in one table (Q2, Q4, Q5-Q12, Q14).
+
+    (`keep`, key_column, key_value, kind, rule_id, column, observed): `kind` is null, duplicate,
+    rule or reference. Null cells of `null_columns`; rows equal to another one on `unique_columns`
+    (a single violation each); broken rules of `ruleset`; values of a column that its reference
+    (column: table, its column) doesn't know.
+    """
+    from . import dedup
+
+    named = df.select(
+        "*", F.lit(key).alias("key_column"), quoted(key).cast("string").alias("key_value")
+    )
+    wide = [*keep, "key_column", "key_value"]
+    kinds_of = [("null", violations(named, [], wide, null_columns=null_columns))] if null_columns else []
+    kinds_of.append(("rule", violations(named, ruleset, wide, null_as)))
+
+    def one_each(rows: DataFrame, rule_id: str, column: str, observed: Column) -> DataFrame:
+        return rows.select(
+            *[quoted(c) for c in wide], F.lit(rule_id).alias("rule_id"), F.lit(column).alias("column"),
+            observed.alias("observed"),
+        )
+
+    if unique_columns:
+        together = ",".join(unique_columns)
+        repeated = dedup.duplicate_members(named, unique_columns)
+        kinds_of.append(
+            ("duplicate", one_each(repeated, f"{together}:Unique", together, F.lit(None).cast("string")))
+        )
+    for column, (reference, ref_column) in (references or {}).items():
+        unknown = reference_violations(named, column, reference, ref_column)
+        kinds_of.append(("reference", one_each(unknown, f"{column}:Reference", column, quoted(column).cast("string"))))
+    out: DataFrame | None = None
+    for kind, found in kinds_of:
+        part = found.withColumn("kind", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return out.select(*[quoted(c) for c in wide], "kind", "rule_id", "column", "observed")
+
+
 def group_scorecard(
     df: DataFrame,
     keys: Sequence[str],

@@ -1,4 +1,4 @@
-"""Model-based queries: results depend on the optimiser, so they have no SQL."""
+"""Model-based queries: results that depend on the optimiser have no SQL."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import learn
 from . import Suite, table
+from .rounding import rounded
 
 suite = Suite()
 
@@ -37,6 +38,23 @@ def feature_importance(spark, sf_dir):
     return learn.feature_importance(_documents(spark, sf_dir), "quality", trees=500)
 
 
+_INPUT = """(SELECT lang, source, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id))"""
+_INPUT_FREQUENCY = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS "value", count(*) AS n FROM {_INPUT} GROUP BY {c}"""
+    for c in ("lang", "source", "n_chars", "quality", "toxic")
+)
+
+
+@suite.add(
+    "predict_top",
+    f"""SELECT "column", "value", n, rank, round_even(100.0 * n / (SELECT count(*) FROM {_INPUT}), 4) AS share FROM (
+      SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, "value") AS rank
+      FROM ({_INPUT_FREQUENCY}) WHERE "value" IS NOT NULL) WHERE rank <= 3""",
+)
+def predict_top(spark, sf_dir):
+    return rounded(learn.predict_top(_documents(spark, sf_dir)))
+
+
 @suite.add("predict")
 def predict(spark, sf_dir):
     return learn.predict(_documents(spark, sf_dir), "quality")

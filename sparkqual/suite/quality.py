@@ -126,6 +126,37 @@ def rule_violations(spark, sf_dir):
     return found.withColumn("observed", F.when(F.col("column") == "o_totalprice", price).otherwise(F.col("observed")))
 
 
+_LAUNCH = " UNION ALL ".join(
+    [
+        f"""SELECT 'null' AS kind, o_orderkey, o_orderstatus AS key_value, '{c}:NotNull' AS rule_id, '{c}' AS "column",
+        CAST(NULL AS VARCHAR) AS observed FROM {_ORDERS} WHERE {c} IS NULL"""
+        for c in ("o_orderpriority", "o_totalprice")
+    ]
+    + [
+        f"""SELECT 'rule', o_orderkey, o_orderstatus, '{i}', '{i.split(':')[0]}', CAST({i.split(':')[0]} AS VARCHAR)
+        FROM {_ORDERS} WHERE {a} AND NOT coalesce({p}, false)"""
+        for i, (a, p) in _SQL_CHECKS.items()
+        if not i.startswith("o_totalprice")
+    ]
+    + [
+        f"""SELECT 'duplicate', o_orderkey, o_orderstatus, 'o_custkey,o_orderdate:Unique', 'o_custkey,o_orderdate', NULL
+        FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey, o_orderdate) AS n FROM {_ORDERS}) WHERE n > 1""",
+        f"""SELECT 'reference', o_orderkey, o_orderstatus, 'o_custkey:Reference', 'o_custkey', CAST(o_custkey AS VARCHAR) FROM {_ORDERS}
+        WHERE o_custkey IS NULL OR o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""",
+    ]
+)
+
+
+@suite.add("launch_violations", f"SELECT *, 'o_orderstatus' AS key_column FROM ({_LAUNCH})")
+def launch_violations(spark, sf_dir):
+    solvent = table(spark, sf_dir, "customer").filter("c_acctbal > 0")
+    return quality.launch_violations(
+        dirty_orders(spark, sf_dir), "o_orderstatus", [r for r in _RULES if r["column"] != "o_totalprice"], ["o_orderkey"],
+        null_columns=["o_orderpriority", "o_totalprice"], unique_columns=["o_custkey", "o_orderdate"],
+        references={"o_custkey": (solvent, "c_custkey")},
+    )
+
+
 def _cond(operand, operator, value, condition="", group=()):
     return {"operand1": operand, "operator1": operator, "operand2": "", "value": value,
             "condition": condition, "operator2": "", "group": list(group)}
