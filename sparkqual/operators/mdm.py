@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions.formula import to_sql
 from ..functions.text import strip
-from ..plans.longform import batches, quoted
+from ..plans.longform import quoted
 from ..sources import readers, writers
 
 # The standard layer's column names.
@@ -31,11 +30,6 @@ STANDARD_COLUMNS = (
 )
 
 
-# Combinations counted exactly in one pass: each one multiplies the rows that are shuffled.
-EXACT_BATCH = 8
-# Relative standard error of the distinct-count sketch at its default size.
-SKETCH_ERROR = 0.05
-
 
 def add_prefix(df: DataFrame, prefix: str) -> DataFrame:
     """F17"""
@@ -232,59 +226,51 @@ def candidate_keys(
 ) -> list[list[str]]:
     """The first `limit` column combinations, smallest first, whose rows are all distinct.
 
-    Combinations of one size are counted together. A combination that contains a key is a
-    key without being counted (`minimal=True` leaves it out). Columns with too few values
-    between them are ruled out without a scan, others far from unique by a sketch, so exact
-    counts are left for the likely ones.
+    Exact. A combination that contains a key is a key (`minimal=True` leaves it out). One that is
+    no key is shown by two rows that agree on it; what else they agree on is no key either, so
+    one grouping rules out many combinations. If whole rows repeat there is no key at all.
     """
     names = list(columns or df.columns)
-    sketch = df.agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[F.approx_count_distinct(quoted(c)).alias(f"_d{i}") for i, c in enumerate(names)],
-    ).first()
-    n = sketch["_n"]
-    # Null counts as a value of its own; seven standard errors of the sketch are allowed for.
-    values = {c: 1 + (1 + 7 * SKETCH_ERROR) * sketch[f"_d{i}"] for i, c in enumerate(names)}
     keys: list[list[str]] = []
     found: list[set[str]] = []
+    agreeing: list[set[str]] = []
+    repeated = _agreeing_rows(df, names, names)
+    if repeated is not None:
+        return keys
     for size in range(1, (max_size or len(names)) + 1):
-        combos = [list(c) for c in itertools.combinations(names, size)]
-        implied = [any(k <= set(c) for k in found) for c in combos]
-        possible = [
-            c
-            for c, known in zip(combos, implied)
-            if not known and math.prod(values[name] for name in c) >= n
-        ]
-        unique = _unique_combinations(df, possible, n)
-        for combo, known in zip(combos, implied):
-            if known and minimal:
-                continue
-            if known or tuple(combo) in unique:
-                keys.append(combo)
-                if not known:
-                    found.append(set(combo))
-                if len(keys) == limit:
-                    return keys
+        for combo in itertools.combinations(names, size):
+            implied = any(k <= set(combo) for k in found)
+            if not implied:
+                if any(set(combo) <= a for a in agreeing):
+                    continue
+                shared = _agreeing_rows(df, combo, names)
+                if shared is not None:
+                    agreeing.append(shared)
+                    continue
+                found.append(set(combo))
+            if not (implied and minimal):
+                keys.append(list(combo))
+            if len(keys) == limit:
+                return keys
     return keys
 
 
-def _unique_combinations(
-    df: DataFrame, combos: Sequence[Sequence[str]], n: int
-) -> set[tuple[str, ...]]:
-    """Which combinations have `n` distinct rows: a sketch first, then an exact count."""
-    if not combos:
-        return set()
-    rows = [F.struct(*[quoted(c) for c in combo]) for combo in combos]
-    likely: list[int] = []
-    for group in batches(df, range(len(combos)), 3):
-        sketch = df.agg(*[F.approx_count_distinct(rows[i]).alias(str(i)) for i in group]).first()
-        likely += [i for i in group if sketch[str(i)] >= (1 - 7 * SKETCH_ERROR) * n]
-    unique = set()
-    for start in range(0, len(likely), EXACT_BATCH):
-        group = likely[start : start + EXACT_BATCH]
-        exact = df.agg(*[F.count_distinct(rows[i]).alias(str(i)) for i in group]).first()
-        unique |= {tuple(combos[i]) for i in group if exact[str(i)] == n}
-    return unique
+def _agreeing_rows(df: DataFrame, combo: Sequence[str], names: Sequence[str]) -> set[str] | None:
+    """Columns that some two rows with equal `combo` agree on; None if no two rows are equal there."""
+    grouped = df.groupBy(*[quoted(c) for c in combo]).agg(F.count(F.lit(1)).alias("_copies"))
+    first = grouped.filter("_copies > 1").limit(1).collect()
+    if not first:
+        return None
+    simple = [c for c in combo if not isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType))]
+    if len(simple) < len(combo) or len(combo) == len(names):
+        return set(combo)
+    same = F.lit(True)
+    for c in combo:
+        same = same & quoted(c).eqNullSafe(F.lit(first[0][c]).cast(df.schema[c].dataType))
+    pair = df.filter(same).select(*[quoted(c) for c in names]).limit(2).collect()
+    if len(pair) < 2:
+        return set(combo)
+    return {c for c in names if pair[0][c] == pair[1][c]} | set(combo)
 
 
 def candidate_key_table(df: DataFrame, **options) -> DataFrame:

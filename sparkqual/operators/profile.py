@@ -304,11 +304,17 @@ def prediction_targets(
 ) -> DataFrame:
     """(column, distinct) of columns with at most `limit` values, fewest first.
 
-    A sketch drops columns that are far above the limit; only the rest is counted exactly.
+    Exact. A first scan marks the slots (of 64) that a column's hashed values fall into: more
+    slots than the limit prove more values, and such columns are not counted.
     """
     names = list(columns or kinds.flat_columns(df))
-    sketch = df.agg(*[F.approx_count_distinct(quoted(c)).alias(c) for c in names]).first()
-    near = [c for c in names if sketch[c] <= 2 * limit]
+    slot = {c: F.pmod(F.xxhash64(quoted(c)), F.lit(64)).cast("int") for c in names}
+    marks = [
+        F.bit_or(F.when(quoted(c).isNotNull(), F.call_function("shiftleft", F.lit(1).cast("bigint"), slot[c]))).alias(c)
+        for c in names
+    ]
+    seen = df.agg(*[F.bit_count(F.coalesce(m, F.lit(0).cast("bigint"))).alias(c) for m, c in zip(marks, names)]).first()
+    near = [c for c in names if seen[c] <= limit]
     if not near:
         return df.sparkSession.createDataFrame([], "column string, distinct bigint")
     return (
