@@ -31,12 +31,13 @@ from sparkqual.llm.shingles import mix, shingle_sets
 from sparkqual.llm.tables import texts
 from sparkqual.plans.durable import durable
 
-# Words of the bitmap that bounds differences.
+# Words of the bitmap that bounds differences; sets of more than LONG shingles have a longer one too.
 BITMAP = 16
+LONG, LONG_BITMAP = 2500, 256
 # Candidates of one document that are decided together, and of one task's group (expected).
 CHUNK, GROUP = 512, 600
-# Documents whose ids are broadcast to fetch their texts; beyond, they are joined by id.
-FETCH_BROADCAST = 1_000_000
+# Tables of ids of up to this many rows (40 bytes each) are broadcast; beyond, they are joined by key.
+BROADCAST_ROWS = 1_000_000
 # Slots of the shingle counts that order shingles: four per document within these bounds.
 SLOTS = (1 << 12, 1 << 20)
 # Cost of probing against merging (published value).
@@ -99,16 +100,15 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
     return np.minimum(8 * np.log2(1 + total), 255).astype(np.uint8)
 
 
-def _bitmaps(found: list[np.ndarray]) -> np.ndarray:
-    """Parity bitmaps: each shingle flips one bit, so two maps differ in no more bits than the sets."""
-    bits = np.zeros((len(found), BITMAP * 64), np.uint8)
-    for k, s in enumerate(found):
-        bits[k] = np.bincount((s & np.uint64(BITMAP * 64 - 1)).astype(np.int64), minlength=BITMAP * 64) & 1
-    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
+def _bitmap(shingles: np.ndarray, words: int) -> np.ndarray:
+    """Parity bitmap: each shingle flips one bit, so two maps differ in no more bits than the sets."""
+    flips = np.bincount((shingles & np.uint64(words * 64 - 1)).astype(np.int64), minlength=words * 64) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def summaries(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, class, n, prefix, b0 ..) of every document; `prefix` holds its rarest shingles."""
+    """(doc_id, class, n, prefix, wide, b0 ..) of every document; `prefix` holds its rarest shingles,
+    `wide` the longer bitmap of long sets, b0 .. the short one."""
     ranks = shingle_counts(docs, width)
     shift = np.uint64(64 - len(ranks).bit_length() + 1)
     names = [f"b{k}" for k in range(BITMAP)]
@@ -123,7 +123,8 @@ def summaries(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, found in _sets(batch, 1, width):
-                maps = _bitmaps(found)
+                maps = np.stack([_bitmap(s, BITMAP) for s in found])
+                wide = [_bitmap(s, LONG_BITMAP).tolist() if len(s) > LONG else None for s in found]
                 prefixes = [first(s) for s in found]
                 ends = np.cumsum([0, *map(len, prefixes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(prefixes)))
@@ -132,25 +133,48 @@ def summaries(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     pa.array([_class_id(s) for s in found], pa.int64()),
                     pa.array([len(s) for s in found], pa.int64()),
                     lists,
+                    pa.array(wide, pa.list_(pa.int64())),
                     *[pa.array(np.ascontiguousarray(maps[:, j])) for j in range(BITMAP)],
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "class", "n", "prefix", *names])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "class", "n", "prefix", "wide", *names])
 
-    schema = "doc_id long, class long, n long, prefix array<long>, " + ", ".join(f"{b} long" for b in names)
+    schema = "doc_id long, class long, n long, prefix array<long>, wide array<long>, " + ", ".join(f"{b} long" for b in names)
     return docs.mapInArrow(run, schema)
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _allowed(differ: Column, na: Column, nb: Column, percent: int) -> Column:
+    """Sets of na and nb shingles that differ in at least `differ` may have the wanted overlap."""
+    # With overlap o the difference is na + nb - 2 o, and o >= p (na + nb) / (100 + p).
+    return differ * (100 + percent) <= (na + nb) * (100 - percent)
+
+
 def _could_be_similar(a: str, b: str, percent: int) -> Column:
-    """Lengths and bitmaps allow 100 * overlap >= percent * union."""
+    """Lengths and short bitmaps allow 100 * overlap >= percent * union."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     differ = sum(
         (F.bit_count(F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))) for k in range(BITMAP)), F.lit(0)
     )
-    # With overlap o and difference d = na + nb - 2 o: o >= p (na + nb) / (100 + p).
-    return (
-        (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent)
-        & (differ * (100 + percent) <= (na + nb) * (100 - percent))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & _allowed(differ, na, nb, percent)
+
+
+def _long_maps_allow(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """(q, c) of the pairs (q, c, nq, nc), without pairs of long sets that the longer bitmaps exclude."""
+    both = F.least("nq", "nc") > LONG
+    differ = F.aggregate(
+        F.zip_with("mq", "mc", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n
     )
+    maps = _small(maps)
+    long = (
+        pairs.filter(both)
+        .join(maps.toDF("q", "mq"), "q")
+        .join(maps.toDF("c", "mc"), "c")
+        .filter(_allowed(differ, F.col("nq"), F.col("nc"), percent))
+    )
+    return pairs.filter(~both).select("q", "c").unionByName(long.select("q", "c"))
 
 
 def divide_skip(lists: list[np.ndarray], least: int, required: np.ndarray) -> list[int]:
@@ -200,14 +224,15 @@ def similar_to(query: np.ndarray, candidates: list[np.ndarray], percent: int) ->
 
 
 def _decide(percent: int):
-    def run(pairs: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        sets = {q: np.asarray(s, np.int64) for q, s in zip(queries["query"], queries["query_set"], strict=True)}
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
         found_q, found_c = [], []
-        for q, group in pairs.groupby("q", sort=False):
-            candidates = [np.asarray(s, np.int64) for s in group["shingles"]]
-            names = group["c"].to_numpy()
+        for q, group in rows.groupby("q", sort=False):
+            own = group["class"].to_numpy() == q
+            query = np.asarray(group["shingles"][own].iloc[0], np.int64)
+            candidates = [np.asarray(s, np.int64) for s in group["shingles"][~own]]
+            names = group["class"].to_numpy()[~own]
             for k in range(0, len(candidates), CHUNK):
-                hits = similar_to(sets[q], candidates[k : k + CHUNK], percent)
+                hits = similar_to(query, candidates[k : k + CHUNK], percent)
                 found_q += [q] * len(hits)
                 found_c += names[k : k + CHUNK][hits].tolist()
         return pd.DataFrame({"q": found_q, "c": found_c}, dtype="int64")
@@ -222,39 +247,41 @@ def _set_table(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for k, found in _sets(batch, 1, width):
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                flat = np.sort(np.concatenate(found).view(np.int64)) if len(found) == 1 else np.concatenate(
-                    [np.sort(s.view(np.int64)) for s in found]
-                )
+                flat = np.concatenate([np.sort(s.view(np.int64)) for s in found])
                 own = pa.array([_class_id(s) for s in found], pa.int64())
                 wanted_class = batch.column(0).slice(k, len(found))
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([wanted_class, own, lists], names=["class", "own", "shingles"])
 
-    if wanted.count() <= FETCH_BROADCAST:
-        wanted = F.broadcast(wanted)
-    found = docs.join(wanted, "doc_id").select("class", "text")
+    found = docs.join(_small(wanted), "doc_id").select("class", "text")
     found = found.mapInArrow(run, "class long, own long, shingles array<long>")
     # An id that occurs with several texts fetches all of them.
-    return found.filter("class = own").drop("own").dropDuplicates(["class"])
+    return found.filter("class = own").drop("own")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(q, c): the pairs of classes whose sets are similar, in a stored table."""
+    """(q, c): the pairs of classes whose sets are similar, in a stored table.
+
+    A query with many candidates is spread over groups, its own set goes to each of them; sets are
+    shuffled once, to their groups.
+    """
     pairs = durable(pairs)
-    involved = pairs.select(F.col("q").alias("class")).unionByName(pairs.select(F.col("c").alias("class"))).distinct()
-    wanted = durable(involved.join(classes, "class").select("class", F.col("first_doc").alias("doc_id")))
-    sets = durable(_set_table(docs, wanted, width))
-    # A query with many candidates is spread over groups, its own set goes to each.
+    n = pairs.count()
     sizes = pairs.groupBy("q").agg(F.count(F.lit(1)).alias("size"))
-    groups = max(1, -(-pairs.count() // GROUP))
+    groups = max(1, -(-n // GROUP))
     chunk = F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / CHUNK))
-    dealt = pairs.join(sizes, "q").withColumn("group", F.pmod(F.xxhash64("q", chunk), F.lit(groups)))
-    left = dealt.join(sets.withColumnRenamed("class", "c"), "c").select("group", "q", "c", "shingles")
-    right = dealt.select("group", "q").distinct().join(sets.withColumnRenamed("class", "q"), "q")
-    right = right.select("group", "q", "shingles").toDF("own_group", "query", "query_set")
-    return durable(
-        left.groupBy("group").cogroup(right.groupBy("own_group")).applyInPandas(_decide(percent), "q long, c long")
+    dealt = durable(
+        pairs.join(sizes, "q").select("q", "c", F.pmod(F.xxhash64("q", chunk), F.lit(groups)).alias("group"))
     )
+    roles = durable(
+        dealt.select("group", "q", F.col("c").alias("class"))
+        .unionByName(dealt.select("group", "q", F.col("q").alias("class")))
+        .distinct()
+    )
+    involved = roles.select("class").distinct()
+    wanted = durable(involved.join(classes, "class").select("class", F.col("first_doc").alias("doc_id")))
+    rows = _set_table(docs, wanted, width).join(_small(roles), "class")
+    return durable(rows.groupBy("group").applyInPandas(_decide(percent), "q long, c long"))
 
 
 def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -274,8 +301,11 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     known = rows.filter("n > 0 and doc_id is not null")
     classes = durable(known.groupBy("class").agg(F.min("doc_id").alias("first_doc")))
     # One row per class: that of its smallest document.
-    picked = known.join(classes, "class").filter("doc_id = first_doc")
+    copies = known.select("doc_id", "class").join(classes, "class").filter("doc_id <> first_doc")
+    copies = durable(copies.select("doc_id", "class").distinct())
+    picked = known.join(_small(copies), ["doc_id", "class"], "left_anti")
     place = durable(picked.select("class", "n", *bits).dropDuplicates(["class"]))
+    maps = durable(picked.filter("wide is not null").select("class", "wide").dropDuplicates(["class"]))
     entries = picked.select("class", "n", F.posexplode("prefix").alias("at", "token"))
     lists = (
         entries.groupBy("token")
@@ -292,9 +322,9 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         .join(place.alias("x"), F.expr("p.q = x.class"))
         .join(place.alias("y"), F.expr("p.c = y.class"))
         .filter(_could_be_similar("x", "y", percent))
-        .select("q", "c")
+        .select("q", "c", F.col("x.n").alias("nq"), F.col("y.n").alias("nc"))
     )
-    links = verified(star, docs, classes, width, percent)
+    links = verified(_long_maps_allow(star, maps, percent), docs, classes, width, percent)
     merged = components(links)
     grouped = (
         shared.join(merged.withColumnRenamed("node", "class"), "class", "left")
@@ -320,10 +350,10 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
             & (most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
             & _could_be_similar("x", "y", percent),
         )
-        .select(F.col("x.class").alias("q"), F.col("y.class").alias("c"))
+        .select(F.col("x.class").alias("q"), F.col("y.class").alias("c"), F.col("x.n").alias("nq"), F.col("y.n").alias("nc"))
         .distinct()
     )
-    links = links.unionByName(verified(rest, docs, classes, width, percent))
+    links = links.unionByName(verified(_long_maps_allow(rest, maps, percent), docs, classes, width, percent))
     # Rows of one id with different texts tie their classes together.
     twice = known.groupBy("doc_id").agg(F.min("class").alias("q"), F.max("class").alias("r")).filter("q < r")
     ties = known.join(twice, "doc_id").filter("class > q").select("q", F.col("class").alias("c"))

@@ -88,9 +88,10 @@ def test_rows_of_one_id_with_different_texts_tie_their_groups(docs_of, prose):
 def test_hot_queries_are_spread(docs_of, prose, monkeypatch):
     monkeypatch.setattr(ngram_join, "CHUNK", 3)
     monkeypatch.setattr(ngram_join, "GROUP", 4)
-    monkeypatch.setattr(ngram_join, "FETCH_BROADCAST", 0)
-    base = prose(80, 1)
-    rows = [(k, edited(base, k, 1)) for k in range(40)]
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "LONG", 70)
+    base, long = prose(80, 1), prose(300, 5)
+    rows = [(k, edited(base, k, 1)) for k in range(40)] + [(k, edited(long, k, 3 + k % 20)) for k in range(50, 80)]
     found = ngram_join.ngram_join(docs_of(rows)).collect()
     want = brute_components(rows, 4, 85)
     assert {r[0]: (r[1], r[2]) for r in found} == want
