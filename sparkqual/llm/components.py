@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from sparkqual.llm.tables import stored
 from sparkqual.plans.durable import durable
 
 
@@ -19,17 +20,17 @@ def components(links: DataFrame) -> DataFrame:
     edges = durable(
         links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     )
-    before = None
+    before, rows = None, edges.count()
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         # Large star: neighbours above a node go to its smallest neighbour.
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = durable(large.filter("u <> v").distinct())
+        large = stored(large.filter("u <> v").distinct(), rows)
         # Small star: neighbours below a node, and the node, go to the smallest of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        edges = durable(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        edges = stored(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), rows)
         state = edges.agg(
             F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))
         ).first()

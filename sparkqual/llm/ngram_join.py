@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sparkqual.llm.components import components
 from sparkqual.llm.shingles import mix, shingle_sets
-from sparkqual.llm.tables import texts
+from sparkqual.llm.tables import stored, texts
 from sparkqual.plans.durable import durable
 
 # Words of the bitmap that bounds differences; sets of more than LONG shingles have a longer one too.
@@ -259,27 +259,30 @@ def _set_table(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.filter("class = own").drop("own")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """(q, c): the pairs of classes whose sets are similar, in a stored table.
+def verified(
+    pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, rows: int
+) -> DataFrame:
+    """(q, c): the pairs of classes whose sets are similar, in a stored table. `rows`: of `docs`.
 
     A query with many candidates is spread over groups, its own set goes to each of them; sets are
     shuffled once, to their groups.
     """
-    pairs = durable(pairs)
+    pairs = stored(pairs, rows)
     n = pairs.count()
     sizes = pairs.groupBy("q").agg(F.count(F.lit(1)).alias("size"))
     groups = max(1, -(-n // GROUP))
     chunk = F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / CHUNK))
-    dealt = durable(
-        pairs.join(sizes, "q").select("q", "c", F.pmod(F.xxhash64("q", chunk), F.lit(groups)).alias("group"))
+    dealt = stored(
+        pairs.join(sizes, "q").select("q", "c", F.pmod(F.xxhash64("q", chunk), F.lit(groups)).alias("group")), n
     )
-    roles = durable(
+    roles = stored(
         dealt.select("group", "q", F.col("c").alias("class"))
         .unionByName(dealt.select("group", "q", F.col("q").alias("class")))
-        .distinct()
+        .distinct(),
+        2 * n,
     )
     involved = roles.select("class").distinct()
-    wanted = durable(involved.join(classes, "class").select("class", F.col("first_doc").alias("doc_id")))
+    wanted = stored(involved.join(classes, "class").select("class", F.col("first_doc").alias("doc_id")), n)
     rows = _set_table(docs, wanted, width).join(_small(roles), "class")
     return durable(rows.groupBy("group").applyInPandas(_decide(percent), "q long, c long"))
 
@@ -296,16 +299,17 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     compared by 64-bit hashes of their shingles.
     """
     docs = texts(docs)
+    n_docs = docs.count()
     rows = durable(summaries(docs, width, percent))
     bits = [f"b{k}" for k in range(BITMAP)]
     known = rows.filter("n > 0 and doc_id is not null")
-    classes = durable(known.groupBy("class").agg(F.min("doc_id").alias("first_doc")))
+    classes = stored(known.groupBy("class").agg(F.min("doc_id").alias("first_doc")), n_docs)
     # One row per class: that of its smallest document.
     copies = known.select("doc_id", "class").join(classes, "class").filter("doc_id <> first_doc")
-    copies = durable(copies.select("doc_id", "class").distinct())
+    copies = stored(copies.select("doc_id", "class").distinct(), n_docs)
     picked = known.join(_small(copies), ["doc_id", "class"], "left_anti")
-    place = durable(picked.select("class", "n", *bits).dropDuplicates(["class"]))
-    maps = durable(picked.filter("wide is not null").select("class", "wide").dropDuplicates(["class"]))
+    place = stored(picked.select("class", "n", *bits).dropDuplicates(["class"]), 2 * n_docs)
+    maps = stored(picked.filter("wide is not null").select("class", "wide").dropDuplicates(["class"]), 2 * n_docs)
     entries = picked.select("class", "n", F.posexplode("prefix").alias("at", "token"))
     lists = (
         entries.groupBy("token")
@@ -324,7 +328,7 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         .filter(_could_be_similar("x", "y", percent))
         .select("q", "c", F.col("x.n").alias("nq"), F.col("y.n").alias("nc"))
     )
-    links = verified(_long_maps_allow(star, maps, percent), docs, classes, width, percent)
+    links = verified(_long_maps_allow(star, maps, percent), docs, classes, width, percent, n_docs)
     merged = components(links)
     grouped = (
         shared.join(merged.withColumnRenamed("node", "class"), "class", "left")
@@ -353,7 +357,7 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         .select(F.col("x.class").alias("q"), F.col("y.class").alias("c"), F.col("x.n").alias("nq"), F.col("y.n").alias("nc"))
         .distinct()
     )
-    links = links.unionByName(verified(_long_maps_allow(rest, maps, percent), docs, classes, width, percent))
+    links = links.unionByName(verified(_long_maps_allow(rest, maps, percent), docs, classes, width, percent, n_docs))
     # Rows of one id with different texts tie their classes together.
     twice = known.groupBy("doc_id").agg(F.min("class").alias("q"), F.max("class").alias("r")).filter("q < r")
     ties = known.join(twice, "doc_id").filter("class > q").select("q", F.col("class").alias("c"))

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from sparkqual.plans.durable import durable
+
+# Rows of a narrow stored table that one task writes.
+PART_ROWS, LEAST_PARTS = 20_000, 8
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,3 +32,11 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def stored(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table of at most `rows` narrow rows, in as many files as they need.
+
+    Without this, each small table is written in as many files as there are shuffle partitions.
+    """
+    return durable(df.coalesce(max(LEAST_PARTS, rows // PART_ROWS)))
