@@ -11,7 +11,6 @@ from __future__ import annotations
 import gc
 import os
 import re
-from itertools import filterfalse
 
 import numpy as np
 import public_tokenizers
@@ -77,30 +76,31 @@ class Encoder:
                 gc.enable()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        whole, spaced = self.whole, self.spaced
+        main, space = (self.whole, "") if self.lower else (self.spaced, " ")
         split = [self._split(t) for t in texts]
         odd = [k for k, chunks in enumerate(split) if chunks is None]
         odd_ids = dict(zip(odd, self._library([texts[k] for k in odd]), strict=True))
-        after: set[str] = set()
-        alone: set[str] = set()
+        coded, gaps = [], []
+        new: set[str] = set()
+        first: set[str] = set()
         for chunks in split:
-            if chunks:
-                if self.lower:
-                    alone.update(filterfalse(whole.__contains__, chunks))
-                else:
-                    alone.add(chunks[0])
-                    after.update(filterfalse(spaced.__contains__, chunks[1:]))
-        alone.difference_update(whole)
-        for new, cache, space in ((list(alone), whole, ""), (list(after), spaced, " ")):
-            cache.update(zip(new, self._chunks([space + c for c in new]), strict=True))
+            found = list(map(main.get, chunks or ()))
+            if chunks and not self.lower:
+                found[0] = self.whole.get(chunks[0])
+                if found[0] is None:
+                    first.add(chunks[0])
+            missing = [k for k, ids in enumerate(found) if ids is None] if None in found else []
+            if missing:
+                new.update([chunks[k] for k in missing[found[0] is None and not self.lower :]])
+            coded.append(found)
+            gaps.append(missing)
+        for words, cache, before in ((list(first), self.whole, ""), (list(new), main, space)):
+            cache.update(zip(words, self._chunks([before + w for w in words]), strict=True))
         out = []
-        for k, chunks in enumerate(split):
-            if chunks is None:
-                out.append(odd_ids[k])
-            elif self.lower:
-                out.append(b"".join(map(whole.__getitem__, chunks)))
-            else:
-                out.append(whole[chunks[0]] + b"".join(map(spaced.__getitem__, chunks[1:])))
+        for n, (chunks, found, missing) in enumerate(zip(split, coded, gaps, strict=True)):
+            for k in missing:
+                found[k] = (main if k or self.lower else self.whole)[chunks[k]]
+            out.append(odd_ids[n] if chunks is None else b"".join(found))
         return out
 
 
