@@ -30,7 +30,7 @@ LENGTH = 100
 # Bytes of the grams an anchor is chosen from.
 GRAM = 16
 # Bytes of text a task works on at a time, and of packed runs it holds.
-CHUNK, HELD = 4 << 20, 24 << 20
+CHUNK, HELD = 1 << 20, 8 << 20
 # Documents whose runs make up a bucket (expected), and open runs of a sorting group.
 BUCKET_DOCS, GROUP_RUNS = 2000, 4000
 # A bucket of more bytes is worked on row by row instead of in one task.
