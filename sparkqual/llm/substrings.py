@@ -39,8 +39,26 @@ BUCKET_BYTES = 64 << 20
 HOT_RUNS = 5000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+# Runs in memory, and their columns as they are packed: one after another, which compresses better.
 _RUN = np.dtype([("key", "<u8"), ("print", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("n", "<i4"), ("lead", "<i4")])
 
+_COLUMNS = {"key": "<u8", "print": "<u8", "doc": "<i8", "start": "<u4", "n": "<u2", "lead": "<u2"}
+_WIDTH = sum(np.dtype(t).itemsize for t in _COLUMNS.values())
+
+
+def dump(runs: np.ndarray) -> bytes:
+    """Runs as bytes. Texts are shorter than 4 GB, and runs no longer than a string."""
+    return b"".join(runs[c].astype(t).tobytes() for c, t in _COLUMNS.items())
+
+
+def load(packed: bytes) -> np.ndarray:
+    n, at = len(packed) // _WIDTH, 0
+    runs = np.zeros(n, _RUN)
+    for c, t in _COLUMNS.items():
+        runs[c] = np.frombuffer(packed, t, n, at)
+        at += n * np.dtype(t).itemsize
+    return runs
+
 
 def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """Smallest of `width` values from each place on."""
@@ -169,10 +187,10 @@ def _pack(length: int, buckets: int):
         order = np.argsort(number, kind="stable")
         rest, number = rest[order], number[order]
         heads = np.flatnonzero(np.diff(number.astype(np.int64), prepend=-1))
-        parts = [p.tobytes() for p in np.split(rest, heads[1:])] if len(rest) else []
+        parts = [dump(p) for p in np.split(rest, heads[1:])] if len(rest) else []
         numbers = number[heads].astype(np.int32).tolist()
         if len(repeats):
-            parts.append(repeats.tobytes())
+            parts.append(dump(repeats))
             numbers.append(-1)
         return pa.RecordBatch.from_arrays(
             [pa.array(numbers, pa.int32()), pa.array(parts, pa.binary()), pa.array([n < 0 for n in numbers])],
@@ -189,7 +207,7 @@ def _rows(runs: np.ndarray, open_: bool) -> pd.DataFrame:
     return pd.DataFrame(
         {
             "open": np.full(len(runs), open_),
-            "key": runs["key"].view(np.int64) if runs["key"].flags.contiguous else runs["key"].copy().view(np.int64),
+            "key": runs["key"].copy().view(np.int64),
             "doc": runs["doc"], "start": runs["start"], "n": runs["n"], "lead": runs["lead"],
         }
     )
@@ -197,7 +215,7 @@ def _rows(runs: np.ndarray, open_: bool) -> pd.DataFrame:
 
 def _merge_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     """Repeats among a bucket's runs, and open runs: first of their kind, with others of the same anchor."""
-    repeats, rest = settle(np.concatenate([np.frombuffer(r, _RUN) for r in rows["runs"]]))
+    repeats, rest = settle(np.concatenate([load(r) for r in rows["runs"]]))
     key = rest["key"]
     shared = np.zeros(len(rest), bool)
     shared[1:] |= key[1:] == key[:-1]
@@ -208,7 +226,7 @@ def _merge_bucket(rows: pd.DataFrame) -> pd.DataFrame:
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for packed in batch["runs"]:
-            runs = np.frombuffer(packed, _RUN)
+            runs = load(packed)
             yield _rows(runs, False).drop(columns="open").assign(print=runs["print"].copy().view(np.int64))
 
 
