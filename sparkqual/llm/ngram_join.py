@@ -6,7 +6,8 @@
    of the first (1 - threshold) of their shingles, so only those go into inverted lists.
 3. In each list all members are compared with its first and its last member (stars). What proves
    similar is merged into components; then only pairs of different components are left to
-   compare. A large group of near copies costs a few links per member, not all pairs.
+   compare. A large group of near copies costs a few links per member, not all pairs. Where links
+   are asked for (`ngram_links`), the other pairs inside components are compared too.
 4. Candidates are narrowed by length, by the place of the shared shingle, and by bitmaps whose
    difference bounds the difference of the sets; none of these loses a similar pair.
 5. Candidates of a document are decided by DivideSkip: of the inverted lists of its shingles over
@@ -24,7 +25,7 @@ from math import log2
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sparkqual.llm.components import components
 from sparkqual.llm.shingles import mix, shingle_sets
@@ -34,8 +35,12 @@ from sparkqual.plans.durable import durable
 # Words of the bitmap that bounds differences; sets of more than LONG shingles have a longer one too.
 BITMAP = 16
 LONG, LONG_BITMAP = 2500, 256
-# Candidates of one document that are decided together, and of one task's group (expected).
+# Candidates of one document that are decided together, and sets of one task's group (expected).
 CHUNK, GROUP = 512, 600
+# Members of a list that meet in one key, and sets on each side of a block of pairs that are decided.
+BLOCK, SIDE = 1000, 200
+# Shingles before a shared one by which a pair that has met at one of them is told.
+BEFORE = 8
 # Tables of ids of up to this many rows (40 bytes each) are broadcast; beyond, they are joined by key.
 BROADCAST_ROWS = 1_000_000
 # Slots of the shingle counts that order shingles: four per document within these bounds.
@@ -162,7 +167,7 @@ def _could_be_similar(a: str, b: str, percent: int) -> Column:
 
 
 def _long_maps_allow(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """(q, c) of the pairs (q, c, nq, nc), without pairs of long sets that the longer bitmaps exclude."""
+    """The pairs (key, q, c, nq, nc, apart) without those of long sets that the longer bitmaps exclude."""
     both = F.least("nq", "nc") > LONG
     differ = F.aggregate(
         F.zip_with("mq", "mc", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n
@@ -174,7 +179,7 @@ def _long_maps_allow(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFra
         .join(maps.toDF("c", "mc"), "c")
         .filter(_allowed(differ, F.col("nq"), F.col("nc"), percent))
     )
-    return pairs.filter(~both).select("q", "c").unionByName(long.select("q", "c"))
+    return pairs.filter(~both).unionByName(long.select(*pairs.columns))
 
 
 def divide_skip(lists: list[np.ndarray], least: int, required: np.ndarray) -> list[int]:
@@ -224,18 +229,15 @@ def similar_to(query: np.ndarray, candidates: list[np.ndarray], percent: int) ->
 
 
 def _decide(percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        found_q, found_c = [], []
-        for q, group in rows.groupby("q", sort=False):
-            own = group["class"].to_numpy() == q
-            query = np.asarray(group["shingles"][own].iloc[0], np.int64)
-            candidates = [np.asarray(s, np.int64) for s in group["shingles"][~own]]
-            names = group["class"].to_numpy()[~own]
-            for k in range(0, len(candidates), CHUNK):
-                hits = similar_to(query, candidates[k : k + CHUNK], percent)
-                found_q += [q] * len(hits)
-                found_c += names[k : k + CHUNK][hits].tolist()
-        return pd.DataFrame({"q": found_q, "c": found_c}, dtype="int64")
+    def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        held = {k: np.asarray(s, np.int64) for k, s in zip(sets["class"], sets["shingles"], strict=True)}
+        found = []
+        for q, group in pairs.groupby("q", sort=False):
+            for k in range(0, len(group), CHUNK):
+                part = group[k : k + CHUNK]
+                found.append(part.iloc[similar_to(held[q], [held[c] for c in part["c"]], percent)])
+        columns = ["q", "c", "apart"]
+        return pd.concat(found)[columns] if found else pairs[columns].head(0)
 
     return run
 
@@ -262,48 +264,85 @@ def _set_table(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def verified(
     pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int, rows: int
 ) -> DataFrame:
-    """(q, c): the pairs of classes whose sets are similar, in a stored table. `rows`: of `docs`.
+    """(q, c, apart): of the pairs (key, q, c, apart), those whose sets are similar, stored. `rows`: of `docs`.
 
-    A query with many candidates is spread over groups, its own set goes to each of them; sets are
-    shuffled once, to their groups.
+    The pairs of a key with many classes are cut into blocks of up to SIDE classes on either side
+    (approximate counts, they only deal the work); a set is sent once to each block.
     """
-    pairs = stored(pairs, rows)
+    pairs = stored(pairs.select("key", "q", "c", "apart"), rows)
     n = pairs.count()
-    sizes = pairs.groupBy("q").agg(F.count(F.lit(1)).alias("size"))
-    groups = max(1, -(-n // GROUP))
-    chunk = F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / CHUNK))
-    dealt = stored(
-        pairs.join(sizes, "q").select("q", "c", F.pmod(F.xxhash64("q", chunk), F.lit(groups)).alias("group")), n
+    hot = pairs.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > SIDE).select("key")
+    sides = pairs.join(_small(hot), "key").groupBy("key").agg(
+        F.count(F.lit(1)).alias("size"), F.approx_count_distinct("q").alias("nq"), F.approx_count_distinct("c").alias("nc")
     )
+    sides = stored(sides.withColumns({f"k{x}": F.ceil(F.col(f"n{x}") / SIDE) for x in "qc"}), n // SIDE)
+    sent = sides.agg(F.sum("size"), F.sum(F.expr("nq * kc + nc * kq"))).first()
+    groups = max(1, -(-(n - (sent[0] or 0) + (sent[1] or 0)) // GROUP))
+    place = [F.pmod(F.xxhash64(x), F.coalesce(f"k{x}", F.lit(1))) for x in "qc"]
+    dealt = pairs.join(_small(sides.select("key", "kq", "kc")), "key", "left").select(
+        "q", "c", "apart", F.pmod(F.xxhash64("key", *place), F.lit(groups)).alias("group")
+    )
+    dealt = stored(dealt, n)
     roles = stored(
-        dealt.select("group", "q", F.col("c").alias("class"))
-        .unionByName(dealt.select("group", "q", F.col("q").alias("class")))
+        dealt.select("group", F.col("q").alias("class"))
+        .distinct()
+        .unionByName(dealt.select("group", F.col("c").alias("class")).distinct())
         .distinct(),
         2 * n,
     )
     involved = roles.select("class").distinct()
     wanted = stored(involved.join(classes, "class").select("class", F.col("first_doc").alias("doc_id")), n)
-    rows = _set_table(docs, wanted, width).join(_small(roles), "class")
-    return durable(rows.groupBy("group").applyInPandas(_decide(percent), "q long, c long"))
+    sets = _set_table(docs, wanted, width).join(_small(roles), "class").select("group", "class", "shingles")
+    decided = dealt.groupBy("group").cogroup(sets.groupBy("group"))
+    return durable(decided.applyInPandas(_decide(percent), "q long, c long, apart boolean"))
 
 
-def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every document.
+def _meeting(left: DataFrame, percent: int, inside: bool) -> DataFrame:
+    """(key, q, c, nq, nc, apart): pairs that share a token of `left` and may be similar, each once.
 
-    Words are runs of characters other than space and \\t to \\r, A-Z lower-cased; a set holds the
-    distinct shingles of `width` words, or the whole sequence of a shorter text. Two documents are
-    linked when 100 * overlap >= `percent` * union; the component is the smallest doc_id reachable.
-    Null text and text without words: an empty set, linked with nothing, its own component. Rows
-    with a null id get no component and link nothing. Rows with the same id are one document in the
-    links, each keeps its own row. An empty table gives no rows; other columns are ignored. Sets are
-    compared by 64-bit hashes of their shingles.
+    A token's members are cut into blocks of about BLOCK; a block meets itself and each later one under a
+    key of its own. `apart`: in different components; the other pairs are left out unless `inside`.
     """
+    blocks = F.ceil(F.col("held") / BLOCK).cast("int")
+    left = left.withColumn("last", blocks - 1).withColumn("own", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+    first = left.withColumn("block", F.col("own")).withColumn("other", F.explode(F.sequence("own", "last")))
+    second = left.withColumn("block", F.explode(F.sequence(F.lit(0), "own"))).withColumn("other", F.col("own"))
+    # The overlap is at most one more than what follows the shared shingle in either prefix order.
+    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+    apart = F.col("x.component") != F.col("y.component")
+    met = first.alias("x").join(
+        second.alias("y"),
+        (F.col("x.token") == F.col("y.token"))
+        & (F.col("x.block") == F.col("y.block"))
+        & (F.col("x.other") == F.col("y.other"))
+        & ((F.col("x.block") < F.col("x.other")) | (F.col("x.class") < F.col("y.class")))
+        & (F.lit(inside) | apart)
+        & (most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
+        & _could_be_similar("x", "y", percent)
+        # At the first token they share nothing before it is shared; most later meetings are dropped.
+        & ~F.arrays_overlap("x.before", "y.before"),
+    )
+    return (
+        met.select(
+            F.col("x.token").alias("key"),
+            F.least("x.class", "y.class").alias("q"), F.greatest("x.class", "y.class").alias("c"),
+            F.least("x.n", "y.n").alias("nq"), F.greatest("x.n", "y.n").alias("nc"), apart.alias("apart"),
+        )
+        .groupBy("q", "c", "nq", "nc", "apart")
+        .agg(F.min("key").alias("key"))
+    )
+
+
+def _linked(docs: DataFrame, width: int, percent: int, inside: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, component_id, class), classes (class, first_doc, members), members of them
+    (class, doc_id), and links (q, c) of classes: all of them if `inside`, else enough for the components."""
     docs = texts(docs)
     n_docs = docs.count()
     rows = durable(summaries(docs, width, percent))
     bits = [f"b{k}" for k in range(BITMAP)]
     known = rows.filter("n > 0 and doc_id is not null")
-    classes = stored(known.groupBy("class").agg(F.min("doc_id").alias("first_doc")), n_docs)
+    ids = known.select("class", "doc_id").distinct()
+    classes = stored(ids.groupBy("class").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("members")), n_docs)
     # One row per class: that of its smallest document.
     copies = known.select("doc_id", "class").join(classes, "class").filter("doc_id <> first_doc")
     copies = stored(copies.select("doc_id", "class").distinct(), n_docs)
@@ -313,7 +352,7 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     entries = picked.select("class", "n", F.posexplode("prefix").alias("at", "token"))
     lists = (
         entries.groupBy("token")
-        .agg(F.min("class").alias("low"), F.max("class").alias("high"))
+        .agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count(F.lit(1)).alias("held"))
         .filter("low < high")
     )
     shared = durable(entries.join(lists, "token"))
@@ -326,54 +365,88 @@ def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
         .join(place.alias("x"), F.expr("p.q = x.class"))
         .join(place.alias("y"), F.expr("p.c = y.class"))
         .filter(_could_be_similar("x", "y", percent))
-        .select("q", "c", F.col("x.n").alias("nq"), F.col("y.n").alias("nc"))
+        .select(F.col("q").alias("key"), "q", "c", F.col("x.n").alias("nq"), F.col("y.n").alias("nc"), F.lit(True).alias("apart"))
     )
+    star = stored(star, n_docs)
     links = verified(_long_maps_allow(star, maps, percent), docs, classes, width, percent, n_docs)
-    merged = components(links)
+    merged = components(links.select("q", "c"))
     grouped = (
         shared.join(merged.withColumnRenamed("node", "class"), "class", "left")
         .withColumn("component", F.coalesce("component", "class"))
+        # Pairs with a list's first or last member were compared above.
+        .filter("class <> low and class <> high and held > 3")
         .drop("low", "high")
     )
-    mixed = (
-        grouped.groupBy("token")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        .filter("low < high")
-        .select("token")
-    )
-    left = durable(grouped.join(mixed, "token").join(place.drop("n"), "class"))
-    # The overlap is at most one more than what follows the shared shingle in either prefix order.
-    most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-    rest = (
-        left.alias("x")
-        .join(
-            left.alias("y"),
-            (F.col("x.token") == F.col("y.token"))
-            & (F.col("x.class") < F.col("y.class"))
-            & (F.col("x.component") != F.col("y.component"))
-            & (most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
-            & _could_be_similar("x", "y", percent),
+    if not inside:
+        mixed = (
+            grouped.groupBy("token")
+            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
+            .filter("low < high")
+            .select("token")
         )
-        .select(F.col("x.class").alias("q"), F.col("y.class").alias("c"), F.col("x.n").alias("nq"), F.col("y.n").alias("nc"))
-        .distinct()
-    )
+        grouped = grouped.join(mixed, "token")
+    preceding = Window.partitionBy("class").orderBy("at").rowsBetween(-BEFORE, -1)
+    grouped = grouped.withColumn("before", F.collect_list("token").over(preceding))
+    left = durable(grouped.join(place.drop("n"), "class"))
+    tried = star.select(F.least("q", "c").alias("q"), F.greatest("q", "c").alias("c")).distinct()
+    rest = _meeting(left, percent, inside).join(tried, ["q", "c"], "left_anti")
     links = links.unionByName(verified(_long_maps_allow(rest, maps, percent), docs, classes, width, percent, n_docs))
     # Rows of one id with different texts tie their classes together.
     twice = known.groupBy("doc_id").agg(F.min("class").alias("q"), F.max("class").alias("r")).filter("q < r")
     ties = known.join(twice, "doc_id").filter("class > q").select("q", F.col("class").alias("c"))
-    merged = components(links.unionByName(ties))
+    merged = components(links.filter("apart").select("q", "c").unionByName(ties))
     named = classes.join(merged.withColumnRenamed("node", "class"), "class", "left").withColumn(
         "component", F.coalesce("component", "class")
     )
     smallest = named.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     named = named.join(smallest, "component").select("class", "component_id")
     own = F.when(F.col("n") == 0, F.col("doc_id"))
-    return (
+    found = (
         rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("class")).alias("class"))
         .join(named, "class", "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.when(F.col("doc_id").isNotNull(), F.coalesce(own, F.col("component_id"))).alias("component_id"),
+            "class",
         )
     )
+    return found, classes, ids, links.select(F.least("q", "c").alias("q"), F.greatest("q", "c").alias("c")).distinct()
+
+
+def ngram_join(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every document.
+
+    Words are runs of characters other than space and \\t to \\r, A-Z lower-cased; a set holds the
+    distinct shingles of `width` words, or the whole sequence of a shorter text. Two documents are
+    linked when 100 * overlap >= `percent` * union; the component is the smallest doc_id reachable.
+    Null text and text without words: an empty set, linked with nothing, its own component. Rows
+    with a null id get no component and link nothing. Rows with the same id are one document in the
+    links, each keeps its own row. An empty table gives no rows; other columns are ignored. Sets are
+    compared by 64-bit hashes of their shingles.
+    """
+    return _linked(docs, width, percent, inside=False)[0].drop("class")
+
+
+def ngram_links(docs: DataFrame, width: int = 4, percent: int = 85) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents as of `ngram_join` with n_links; members (class, doc_id); links (q, c) of classes, q < c.
+
+    A class is a set of shingles; its members are the distinct ids that have it. All members of a class
+    are linked with each other, and with all members of each class that a link names; no link of
+    different texts is left out. n_links counts the other members a row's set is linked with (an id
+    with several sets is a member of several classes); 0 without words, null for a null id.
+    """
+    found, classes, members, links = _linked(docs, width, percent, inside=True)
+    links = durable(links)
+    size = classes.select("class", "members")
+    halves = [
+        links.join(size.withColumnRenamed("class", b), b).groupBy(F.col(a).alias("class")).agg(F.sum("members").alias("others"))
+        for a, b in ("qc", "cq")
+    ]
+    others = halves[0].unionByName(halves[1]).groupBy("class").agg(F.sum("others").alias("others"))
+    counted = size.join(others, "class", "left").select(
+        "class", (F.col("members") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
+    )
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0)))
+    found = found.join(counted, "class", "left").select("doc_id", "n_shingles", "component_id", n_links.alias("n_links"))
+    return found, members, links

@@ -55,7 +55,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), width=4, percent=85)
+    return ngram_join.ngram_links(table(spark, sf_dir, "documents"), width=4, percent=85)[0]
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -78,6 +78,44 @@ def test_ngram_join(docs_of, prose, width, percent):
             assert (n, component) == want[doc], doc
 
 
+def brute_links(rows, width, percent):
+    """{doc_id: documents linked with it} of rows with distinct ids."""
+    sets = {k: words_of(t, width) for k, t in rows}
+    alike = lambda a, b: a & b and 100 * len(a & b) >= percent * len(a | b)
+    return {k: {i for i, b in sets.items() if i != k and alike(a, b)} for k, a in sets.items()}
+
+
+@pytest.mark.parametrize("width,percent,block", [(4, 85, 1000), (5, 80, 3)])
+def test_all_links(docs_of, prose, monkeypatch, width, percent, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "SIDE", block)
+    base, other, long = prose(120, 1), prose(200, 2), prose(3000, 3)
+    texts = [None, "", "one two", "ONE  two", base, base.upper(), *[edited(base, k, k % 4) for k in range(30)]]
+    texts += [edited(other, 100 + k, k % 9) for k in range(30)] + [edited(long, 200 + k, 60) for k in range(5)]
+    rows = list(enumerate(texts))
+    want = brute_links(rows, width, percent)
+    groups = brute_components(rows, width, percent)
+    # Pairs in one group that aren't similar, and more links in it than its stars have.
+    assert any(0 < len(want[k]) < sum(g[1] == groups[k][1] for g in groups.values()) - 1 for k in want)
+    found, members, links = ngram_join.ngram_links(docs_of([*rows, (6, texts[6]), (None, base)]), width, percent)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(rows) + 2 and [r[3] for r in got if r[0] is None] == [None]
+    assert {r[0]: r[1:] for r in got if r[0] is not None} == {k: (*groups[k], len(want[k])) for k in want}
+    ids = {}
+    for c, doc in members.collect():
+        ids.setdefault(c, set()).add(doc)
+    pairs = {frozenset((a, b)) for c in ids.values() for a in c for b in c if a != b}
+    pairs |= {frozenset((a, b)) for q, c in links.collect() for a in ids[q] for b in ids[c]}
+    assert pairs == {frozenset((k, i)) for k, linked in want.items() for i in linked}
+
+
+def test_links_of_ids_with_several_texts(docs_of, prose):
+    a, b = prose(50, 1), prose(50, 2)
+    found = ngram_join.ngram_links(docs_of([(1, a), (5, a), (5, a), (5, b), (9, b), (11, prose(50, 3))]))[0].collect()
+    assert sorted((r[0], r[2], r[3]) for r in found) == [(1, 1, 1), (5, 1, 1), (5, 1, 1), (5, 1, 1), (9, 1, 1), (11, 11, 0)]
+    assert ngram_join.ngram_links(docs_of([]))[0].collect() == []
+
+
 def test_rows_of_one_id_with_different_texts_tie_their_groups(docs_of, prose):
     a, b = prose(50, 1), prose(50, 2)
     found = ngram_join.ngram_join(docs_of([(1, a), (5, a), (5, b), (9, b), (11, prose(50, 3))])).collect()
