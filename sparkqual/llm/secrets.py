@@ -123,13 +123,20 @@ def score(token: str, ratio: np.ndarray) -> float:
 
 
 def spans_of(text: str, ratio: np.ndarray, threshold: float = THRESHOLD) -> list[Span]:
-    """Base spans, and tokens apart from them that the models take for random."""
+    """Base spans, and tokens that the models take for random; of one that base spans cut, each long piece."""
     base = base_spans(text)
     added: list[Span] = []
     for m in _TOKEN.finditer(text):
-        start, end = m.span()
-        if all(end <= s[1] or s[2] <= start for s in base) and score(m[0], ratio) >= threshold:
-            added.append(("markov", start, end, start))
+        at = m.start()
+        pieces = []
+        for _, start, end, _ in base:
+            if at < end and start < m.end():
+                pieces.append((at, start))
+                at = end
+        pieces.append((at, m.end()))
+        for start, end in pieces:
+            if end - start >= MIN_TOKEN and score(text[start:end], ratio) >= threshold:
+                added.append(("markov", start, end, start))
     return sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0]))) if added else base
 
 
@@ -137,7 +144,7 @@ def scan(docs: DataFrame, ratio: np.ndarray | None = None, threshold: float = TH
     """(doc_id, spans array<struct<kind, start, end>>) for every document.
 
     Offsets are code points, the end exclusive; spans are ordered by start, then kind. Spans of
-    the patterns may overlap; those of the models don't touch them. Null or empty text has no
+    the patterns may overlap; those of the models don't overlap them. Null or empty text has no
     spans; null ids stay; repeated rows are scanned once each; other columns are ignored; an empty
     table gives no rows. `ratio` defaults to models trained on these documents.
     """
