@@ -256,6 +256,21 @@ def test_decontaminate(spark, docs_of, prose):
     assert decontaminate.contaminated(docs, benchmark.filter("false")).count() == 0
 
 
+def test_one_word_edits_of_every_item(spark, docs_of, prose):
+    rng = random.Random(7)
+    items = [(k, prose(49 + k, 700 + k, 4000)) for k in range(11)]
+    rows = []
+    for k in range(660):
+        words = items[k % 11][1].split()
+        words[rng.randrange(4, len(words) - 4)] = f"edit{k}"
+        rows.append((k, f"{prose(4, 2 * k)} {' '.join(words)} {prose(4, 2 * k + 1)}"))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(docs_of(rows), benchmark).collect()}
+    want = brute_leaks(rows, items, 80)
+    assert len(want) >= 660 and set(found) == set(want)
+    assert all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_all_fingerprints_within_the_radius(spark):
     rng = random.Random(4)
     items = [(k, 9, rng.getrandbits(63)) for k in range(5)]
