@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkqual.llm import decontaminate, language, neighbours, ngram_join, packing, secrets, substrings, token_files, toxicity, urls
+from sparkqual.llm import decontaminate, language, neighbours, ngram_join, packing, prefix_trie, secrets, substrings, token_files, toxicity, urls
 from sparkqual.llm.tables import held_out, table
 
 # Fixed values of the query: rules as (verdict, host and path).
@@ -94,6 +94,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, benchmark).drop("doc_key")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per node of the trie of rebuilt conversations."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 OP9_SQL = r"""
 with parts as (
   select page_id, html,
@@ -120,6 +125,58 @@ select page_id, host, path, rule,
 from named
 """
 
+OP11_SQL = """
+with recursive bits as (
+  select range as b, 0 as k, range as v from range(256)
+  union all
+  select b, k + 1, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end from bits where k < 8
+), entry as (select b, v from bits where k = 8),
+crc as (
+  select distinct conv_id as c, cast(conv_id as varchar) as s, 1 as i, cast(4294967295 as bigint) as r
+  from conversations where conv_id is not null
+  union all
+  select c, s, i + 1, xor(r // 256, entry.v)
+  from crc join entry on entry.b = xor(r % 256, ascii(substr(s, i, 1)))
+  where i <= length(s)
+), taken as (select c, xor(r, 4294967295) % 9 as h from crc where i = length(s) + 1),
+turns as (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i
+  from conversations where conv_id is not null
+), rebuilt as (
+  select taken.c, i, role, text from taken join turns on turns.c = taken.c - taken.c % 5 where i <= h
+  union all
+  select taken.c, i, role, text from taken join turns on turns.c = taken.c where i > h
+), steps as (
+  select c, row_number() over (partition by c order by i) as depth, text,
+    list({'role': role, 'text': text}) over (partition by c order by i) as path
+  from rebuilt
+), paths as (
+  select c, depth, strlen(text) as bytes, path from steps
+  union all
+  select c, 0, 0, [] from taken
+), lasts as (select c, max(depth) as depth from paths group by c),
+nodes as (
+  select path, paths.depth, any_value(bytes) as bytes, min(paths.c) as conv_id, count(*) as n_convs,
+    coalesce(string_agg(cast(paths.c as varchar), ',' order by paths.c) filter (paths.depth = lasts.depth), '') as ends
+  from paths join lasts on lasts.c = paths.c
+  group by path, paths.depth
+), counted as (
+  select nodes.path, nodes.depth, nodes.conv_id, nodes.n_convs, nodes.bytes, nodes.ends,
+    count(child.path) as n_children
+  from nodes left join nodes as child on child.depth = nodes.depth + 1 and child.path[1:nodes.depth] = nodes.path
+  group by all
+)
+select node.conv_id, node.depth, parent.conv_id as parent_conv_id, node.n_convs, node.n_children,
+  count(*) filter (below.n_children = 0) as n_leaves,
+  cast(sum((below.n_convs - 1) * below.bytes) as bigint) as saved_tokens,
+  sha256(node.ends) as ends_sha256
+from counted as node
+join counted as below on below.depth >= node.depth and below.path[1:node.depth] = node.path
+left join counted as parent on parent.depth = node.depth - 1 and parent.path = node.path[1:node.depth - 1]
+group by node.path, node.conv_id, node.depth, parent.conv_id, node.n_convs, node.n_children, node.ends
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_secrets": op2_secrets,
@@ -131,8 +188,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
+    "op11_prefix_trie": op11_prefix_trie,
 }
-_SQL = {"op9_url_filter": OP9_SQL}
+_SQL = {"op9_url_filter": OP9_SQL, "op11_prefix_trie": OP11_SQL}
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
