@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkqual.llm import decontaminate, language, neighbours, ngram_join, packing, prefix_trie, secrets, substrings, token_files, toxicity, urls
+from sparkqual.llm import decontaminate, language, lexical_search, neighbours, ngram_join, packing, prefix_trie, secrets, substrings, token_files, toxicity, urls
 from sparkqual.llm.tables import held_out, table
 
 # Fixed values of the query: rules as (verdict, host and path).
@@ -99,6 +99,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best documents of every benchmark item."""
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 OP9_SQL = r"""
 with parts as (
   select page_id, html,
@@ -177,6 +182,38 @@ left join counted as parent on parent.depth = node.depth - 1 and parent.path = n
 group by node.path, node.conv_id, node.depth, parent.conv_id, node.n_convs, node.n_children, node.ends
 """
 
+OP12_SQL = r"""
+with folded as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms
+  from documents
+), sizes as (
+  select doc_id, terms, cast(len(terms) as bigint) as n,
+    cast(count(*) filter (len(terms) > 0) over () as bigint) as docs, cast(sum(len(terms)) over () as bigint) as length
+  from folded
+), counted as (
+  select doc_id, n, docs, length, term, cast(count(*) as bigint) as tf
+  from (select doc_id, n, docs, length, unnest(terms) as term from sizes)
+  group by all
+), wanted as (
+  select distinct item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark
+), weights as (
+  select term, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w
+  from counted group by term, docs
+), scores as (
+  select item_id, doc_id,
+    cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length)))) as bigint) as score
+  from wanted join weights using (term) join counted using (term)
+  group by item_id, doc_id
+)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+from scores where score > 0
+qualify rank <= 10
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_secrets": op2_secrets,
@@ -189,8 +226,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": op10_decontaminate,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_lexical_search": op12_lexical_search,
 }
-_SQL = {"op9_url_filter": OP9_SQL, "op11_prefix_trie": OP11_SQL}
+_SQL = {"op9_url_filter": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_lexical_search": OP12_SQL}
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
