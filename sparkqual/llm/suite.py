@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sparkqual.llm import decontaminate, language, lexical_search, neighbours, ngram_join, packing, prefix_trie, secrets, substrings, token_files, toxicity, urls
+from sparkqual.llm import decontaminate, language, lexical_search, neighbours, ngram_join, packing, passages, prefix_trie, secrets, substrings, token_files, toxicity, urls
 from sparkqual.llm.tables import held_out, table
 
 # Fixed values of the query: rules as (verdict, host and path).
@@ -104,6 +104,12 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
 
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without passages of 35 words that occur more than once."""
+    found = passages.remove_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 OP9_SQL = r"""
 with parts as (
   select page_id, html,
@@ -214,6 +220,31 @@ from scores where score > 0
 qualify rank <= 10
 """
 
+OP13_SQL = r"""
+with split as (
+  select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+  from documents
+), windows as (
+  select r, i, md5(array_to_string(words[i:i + 34], ' ')) as content
+  from (select r, words, unnest(range(1, len(words) - 33)) as i from split)
+), repeated as (
+  select r, i from windows
+  where content in (select content from windows group by content having count(*) > 1)
+), placed as (
+  select r, unnest(words) as word, unnest(range(1, len(words) + 1)) as p from split
+), judged as (
+  select placed.r, p, word,
+    coalesce(max(i) over (partition by placed.r order by p) >= p - 34, false) as gone
+  from placed left join repeated on repeated.r = placed.r and repeated.i = p
+), kept as (
+  select r, count(*) filter (gone) as n_removed, string_agg(word, ' ' order by p) filter (not gone) as words
+  from judged group by r
+)
+select doc_id, cast(len(split.words) as bigint) as n_words, coalesce(n_removed, 0) as n_removed,
+  sha256(coalesce(kept.words, '')) as kept_sha256
+from split left join kept using (r)
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_secrets": op2_secrets,
@@ -227,8 +258,9 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_lexical_search": op12_lexical_search,
+    "op13_passages": op13_passages,
 }
-_SQL = {"op9_url_filter": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_lexical_search": OP12_SQL}
+_SQL = {"op9_url_filter": OP9_SQL, "op11_prefix_trie": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_passages": OP13_SQL}
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
