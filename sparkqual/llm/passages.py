@@ -143,6 +143,8 @@ def _pack(buckets: int):
         for batch in batches:
             for names, texts in _doc_texts(batch):
                 own, start, n, key = runs_of(texts, WINDOW, GRAM)
+                if not len(own):
+                    continue
                 doc, mark, place = (np.array(x, np.int64) for x in zip(*names, strict=True))
                 runs = np.zeros(len(own), _RUN)
                 runs["key"], runs["doc"], runs["mark"], runs["n"] = key, doc[own], mark[own], n
