@@ -23,7 +23,7 @@ BLOCK, SIDE = 1024, 32
 # Order-2 contexts are hashed to so many slots; successes in a row are counted up to LEVELS - 1.
 SLOTS, LEVELS = 1024, 8
 _MASK, _TOP, _BOTTOM = (1 << 48) - 1, 1 << 32, 1 << 16
-_MAGIC = b"TIDC\x01"
+_MAGIC = b"TIDC\x02"
 
 
 class _Writer:
@@ -83,8 +83,18 @@ class _Reader(_Writer):
         self.n = np.full(lanes, 3, np.int64)
 
     def target(self, lanes: np.ndarray, total: np.ndarray) -> np.ndarray:
-        unit = np.maximum(self.range[lanes] // total, 1)
-        return np.clip((self.value[lanes] - self.low[lanes]) // unit, 0, total - 1)
+        """Where each code lies in its interval; a code outside it, or an empty interval, is damage."""
+        if np.any(total < 1) or np.any(self.range[lanes] < total):
+            raise ValueError("a block is damaged")
+        at = (self.value[lanes] - self.low[lanes]) // (self.range[lanes] // total)
+        if np.any(at < 0) or np.any(at >= total):
+            raise ValueError("a block is damaged")
+        return at
+
+    def interval(self, lanes: np.ndarray, below: np.ndarray, to: np.ndarray, total: np.ndarray) -> None:
+        if np.any(to <= below):
+            raise ValueError("a block is damaged")
+        super().interval(lanes, below, to, total)
 
     def plain(self, lanes: np.ndarray, bits: int, symbol: np.ndarray) -> np.ndarray:
         return super().plain(lanes, bits, self.target(lanes, np.int64(1 << bits)))
@@ -214,9 +224,12 @@ def encode(ids: np.ndarray) -> bytes:
         numbers, new = _numbered(square)
         _run(coder, lengths, bits, np.ascontiguousarray(square.T), numbers, new)
     payloads = coder.finish()
+    # A block's checksums are those of its ids and of its code.
     sums = [zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) for k in range(blocks)]
+    codes = [zlib.crc32(p) for p in payloads]
     head = struct.pack("<BI", bits, blocks)
-    head += np.array([(m, len(p), c) for m, p, c in zip(lengths.tolist(), payloads, sums, strict=True)], "<u4").tobytes()
+    rows = [(m, len(p), c, d) for m, p, c, d in zip(lengths.tolist(), payloads, sums, codes, strict=True)]
+    head += np.array(rows, "<u4").tobytes()
     return b"".join([_MAGIC, struct.pack("<I", zlib.crc32(head)), head, *payloads])
 
 
@@ -225,16 +238,22 @@ def decode(data: bytes) -> np.ndarray:
     if data[:5] != _MAGIC or len(data) < 14:
         raise ValueError("not a segment of token ids")
     check, bits, blocks = struct.unpack_from("<IBI", data, 5)
-    if zlib.crc32(data[9 : 14 + 12 * blocks]) != check:
+    begin = 14 + 16 * blocks
+    if len(data) < begin or zlib.crc32(data[9:begin]) != check:
         raise ValueError("the segment's table of blocks is damaged")
-    table = np.frombuffer(data, "<u4", 3 * blocks, 14).reshape(blocks, 3).astype(np.int64)
-    lengths, ends = table[:, 0], 14 + 12 * blocks + np.cumsum(table[:, 1])
+    table = np.frombuffer(data, "<u4", 4 * blocks, 14).reshape(blocks, 4).astype(np.int64)
+    lengths, ends = table[:, 0], begin + np.cumsum(table[:, 1])
+    if len(data) != (int(ends[-1]) if blocks else begin):
+        raise ValueError("the segment's length is wrong")
     payloads = [data[e - s : e] for s, e in zip(table[:, 1].tolist(), ends.tolist(), strict=True)]
+    for k, (payload, row) in enumerate(zip(payloads, table.tolist(), strict=True)):
+        if zlib.crc32(payload) != row[3]:
+            raise ValueError(f"block {k} is damaged")
     steps = np.zeros((BLOCK, blocks), np.int64)
     if blocks:
         _run(_Reader(payloads), lengths, bits, steps, None, None)
     out = np.ascontiguousarray(steps.T.astype("<u4"))
-    for k, (length, _, crc) in enumerate(table.tolist()):
+    for k, (length, _, crc, _) in enumerate(table.tolist()):
         if zlib.crc32(out[k, :length].tobytes()) != crc:
             raise ValueError(f"block {k} is damaged")
     return out.reshape(-1)[: int(lengths.sum())]

@@ -21,6 +21,7 @@ LISTING_WORDS = "(?i)moron|pathetic|disgusting|worthless"
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens."""
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
@@ -28,6 +29,7 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, by kind and place."""
     def count(kind: str):
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
@@ -37,13 +39,15 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] != "markov")
     return secrets.scan(table(spark, sf_dir, "documents")).select(
         "doc_id",
-        *[count(k).alias(f"n_{k}") for k in secrets.KINDS],
+        *[count(k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(joined(base), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
+        count("markov").alias("n_markov"),
     )
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids, written to files and read back."""
     path = token_files.new_folder(spark)
     token_files.write(table(spark, sf_dir, "documents"), path)
     return token_files.read(spark, path).select(
@@ -55,14 +59,17 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents: sets of 4-word shingles that are 85% alike."""
     return ngram_join.ngram_links(table(spark, sf_dir, "documents"), width=4, percent=85)[0]
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors to every 20th one."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labels that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.filter(~held_out()))
     return toxicity.score(docs, model).select(
@@ -71,6 +78,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those that are not held out."""
     docs = table(spark, sf_dir, "documents")
     found = language.detect(docs, language.train(docs.filter(~held_out())))
     return found.select(
@@ -79,17 +87,20 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without strings of 100 bytes that start earlier, too."""
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"), length=100)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's address."""
     pages = table(spark, sf_dir, "pages")
     listed = pages.filter(F.col("html").rlike(LISTING_WORDS)).select("url")
     return urls.filter_urls(pages, listed, URL_RULES).drop("url")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of benchmark items."""
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.contaminated(docs, benchmark).drop("doc_key")
 

@@ -25,7 +25,8 @@ from sparkqual.plans.durable import checkpoint_root
 
 # Tokens of a segment (one document more at most), documents of a part (expected).
 SEGMENT, PART_DOCS = 2 << 20, 10_000
-_NONE = -(1 << 63)
+# Segments whose place (24 bytes each) is broadcast to those that read them; more are joined by number.
+BROADCAST_SEGMENTS = 1_000_000
 
 
 def new_folder(spark: SparkSession) -> str:
@@ -34,23 +35,27 @@ def new_folder(spark: SparkSession) -> str:
 
 
 def segment(docs: list[tuple[int | None, bytes]]) -> bytes:
-    """Documents (doc_id, ids as little-endian unsigned 32-bit integers) as bytes."""
-    table = np.array([(_NONE if d is None else d, len(ids) // 4) for d, ids in docs], "<i8").tobytes()
+    """Documents (doc_id, ids as little-endian unsigned 32-bit integers) as bytes; a null id inverts its length."""
+    table = np.array([(0, ~(len(ids) // 4)) if d is None else (d, len(ids) // 4) for d, ids in docs], "<i8").tobytes()
     ids = np.frombuffer(b"".join([ids for _, ids in docs]), "<u4")
     return struct.pack("<II", len(docs), zlib.crc32(table)) + table + encode(ids)
 
 
-def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc ids, tokens of each, all ids); every checksum must hold."""
+def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(doc ids, which of them are null, tokens of each, all ids); every checksum must hold."""
+    if len(data) < 8:
+        raise ValueError("not a segment of documents")
     n, check = struct.unpack_from("<II", data)
     table = data[8 : 8 + 16 * n]
     if len(table) != 16 * n or zlib.crc32(table) != check:
         raise ValueError("the segment's table of documents is damaged")
     docs = np.frombuffer(table, "<i8").reshape(n, 2)
     ids = decode(data[8 + 16 * n :])
-    if int(docs[:, 1].sum()) != len(ids):
+    null = docs[:, 1] < 0
+    tokens = np.where(null, ~docs[:, 1], docs[:, 1])
+    if int(tokens.sum()) != len(ids):
         raise ValueError("the segment's documents and ids differ in length")
-    return docs[:, 0], docs[:, 1], ids
+    return docs[:, 0], null, tokens, ids
 
 
 def write(docs: DataFrame, path: str, tokenizer: str = "word_bpe_49k.json", end_id: int = 2) -> None:
@@ -112,14 +117,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                docs, tokens, ids = read_segment(data.as_py())
+                docs, null, tokens, ids = read_segment(data.as_py())
                 ends = np.cumsum(tokens)
                 raw = ids.astype("<u4").tobytes()
                 pieces = [raw[4 * (e - n) : 4 * e] for n, e in zip(tokens.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, mask=docs == _NONE), pa.array(first + ends - tokens), pa.array(pieces, pa.binary())],
+                    [pa.array(docs, mask=null), pa.array(first + ends - tokens), pa.array(pieces, pa.binary())],
                     names=["doc_id", "start", "ids"],
                 )
 
-    found = rows.select("part", "segment", "data").join(F.broadcast(starts), ["part", "segment"])
+    if rows.count() <= BROADCAST_SEGMENTS:
+        starts = F.broadcast(starts)
+    found = rows.select("part", "segment", "data").join(starts, ["part", "segment"])
     return found.select("first", "data").mapInArrow(run, "doc_id long, start long, ids binary")
