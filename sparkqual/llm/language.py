@@ -8,11 +8,13 @@ with the highest sum of scores less a penalty for each change of language.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from sparkqual.llm.tables import texts
@@ -25,6 +27,8 @@ SLOTS = 1 << 18
 SWITCH = 12.0
 # A language is a candidate for a script that this share of its letters has.
 SCRIPT_SHARE = 0.01
+# Characters of texts judged together (a longer text is judged by itself).
+TOGETHER = 4 << 20
 # Words a worker keeps scores of.
 CACHE = 500_000
 
@@ -41,7 +45,9 @@ _STARTS = np.array([s for s, _ in SCRIPTS])
 _NAMES = sorted({name for _, name in SCRIPTS})
 _SCRIPT = np.array([_NAMES.index(name) for _, name in SCRIPTS])
 
-_WORD = re.compile(r"[^\W\d_]+")
+# Numerals such as a half or a superscript two are word characters, but no letters.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
+_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 _EDGE = "\x02"
 
 
@@ -220,6 +226,13 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) ->
     return path
 
 
+def _parts(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """(first, number) of rows that are judged together."""
+    group = np.cumsum(lengths) // TOGETHER
+    heads = np.flatnonzero(np.diff(group, prepend=-1))
+    return list(zip(heads.tolist(), np.diff(np.append(heads, len(lengths))).tolist(), strict=True))
+
+
 SCHEMA = "doc_id long, lang_pred string, score double, spans array<struct<start int, end int, lang string>>"
 
 
@@ -236,8 +249,8 @@ def detect(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
-            for k in range(0, batch.num_rows, 2500):
-                part = batch.slice(k, 2500)
+            for k, n in _parts(pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False)):
+                part = batch.slice(k, n)
                 found = judge(part.column(1).to_pylist(), scorer)
                 langs, shares, spans = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
