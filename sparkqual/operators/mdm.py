@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from ..functions.formula import to_sql
 from ..functions.text import strip
+from ..plans.durable import durable
 from ..plans.longform import quoted
 from ..sources import readers, writers
 
@@ -217,6 +218,10 @@ def layer_diff(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return both.select(quoted(key), F.inline(differing))
 
 
+# Rows of a sample that shows most combinations to be no key, and combinations a job looks at.
+KEY_SAMPLE, KEY_BATCH = 200_000, 256
+
+
 def candidate_keys(
     df: DataFrame,
     columns: Sequence[str] | None = None,
@@ -226,51 +231,85 @@ def candidate_keys(
 ) -> list[list[str]]:
     """The first `limit` column combinations, smallest first, whose rows are all distinct.
 
-    Exact. A combination that contains a key is a key (`minimal=True` leaves it out). One that is
-    no key is shown by two rows that agree on it; what else they agree on is no key either, so
-    one grouping rules out many combinations. If whole rows repeat there is no key at all.
+    Combinations of one size are judged together, KEY_BATCH at a time: rows are grouped by each of
+    them in one job. Two equal rows of a sample show that a combination is no key, and so is none of
+    what else they agree on; those that the sample leaves open are grouped over all rows, in one job
+    again. A combination that contains a key is a key (`minimal=True` leaves it out). If whole
+    rows repeat there is no key at all. Values are compared by 128 bits of hashes, nulls are equal.
     """
     names = list(columns or df.columns)
     keys: list[list[str]] = []
-    found: list[set[str]] = []
-    agreeing: list[set[str]] = []
-    repeated = _agreeing_rows(df, names, names)
-    if repeated is not None:
+    hashed = df.select(*[_hashes(df, names, seed).alias(f"h{seed}") for seed in (0, 1)])
+    whole = _grouped(hashed, [range(len(names))]).agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    if (whole["most"] or 0) > 1:
         return keys
+    rows = whole["rows"] or 0
+    sample = durable(hashed if rows <= KEY_SAMPLE else hashed.sample(KEY_SAMPLE / rows, seed=0))
+    found: list[set[int]] = []
+    agreeing: list[set[int]] = []
     for size in range(1, (max_size or len(names)) + 1):
-        for combo in itertools.combinations(names, size):
-            implied = any(k <= set(combo) for k in found)
-            if not implied:
-                if any(set(combo) <= a for a in agreeing):
-                    continue
-                shared = _agreeing_rows(df, combo, names)
-                if shared is not None:
-                    agreeing.append(shared)
-                    continue
-                found.append(set(combo))
-            if not (implied and minimal):
-                keys.append(list(combo))
-            if len(keys) == limit:
-                return keys
+        combos = itertools.combinations(range(len(names)), size)
+        while batch := list(itertools.islice(combos, KEY_BATCH)):
+            implied = [any(k <= set(c) for k in found) for c in batch]
+            open_ = [c for c, is_key in zip(batch, implied, strict=True) if not is_key]
+            open_ = [c for c in open_ if not any(set(c) <= a for a in agreeing)]
+            seen = _agreements(sample, open_, len(names)) if open_ else {}
+            agreeing = _largest([*agreeing, *seen.values()])
+            left = [c for i, c in enumerate(open_) if i not in seen]
+            if left and rows > KEY_SAMPLE:
+                repeated = _grouped(hashed, left).filter("n > 1").select("combo").distinct().collect()
+                gone = {r["combo"] for r in repeated}
+                agreeing = _largest([*agreeing, *(set(left[i]) for i in gone)])
+                left = [c for i, c in enumerate(left) if i not in gone]
+            found += [set(c) for c in left]
+            for combo, is_key in zip(batch, implied, strict=True):
+                if combo in left or (is_key and not minimal):
+                    keys.append([names[i] for i in combo])
+                if len(keys) == limit:
+                    return keys
     return keys
 
 
-def _agreeing_rows(df: DataFrame, combo: Sequence[str], names: Sequence[str]) -> set[str] | None:
-    """Columns that some two rows with equal `combo` agree on; None if no two rows are equal there."""
-    grouped = df.groupBy(*[quoted(c) for c in combo]).agg(F.count(F.lit(1)).alias("_copies"))
-    first = grouped.filter("_copies > 1").limit(1).collect()
-    if not first:
-        return None
-    simple = [c for c in combo if not isinstance(df.schema[c].dataType, (T.ArrayType, T.StructType, T.MapType))]
-    if len(simple) < len(combo) or len(combo) == len(names):
-        return set(combo)
-    same = F.lit(True)
-    for c in combo:
-        same = same & quoted(c).eqNullSafe(F.lit(first[0][c]).cast(df.schema[c].dataType))
-    pair = df.filter(same).select(*[quoted(c) for c in names]).limit(2).collect()
-    if len(pair) < 2:
-        return set(combo)
-    return {c for c in names if pair[0][c] == pair[1][c]} | set(combo)
+def _hashes(df: DataFrame, names: Sequence[str], seed: int) -> Column:
+    """A hash of each column's value, as an array."""
+    return F.array(
+        *[F.xxhash64(F.lit(seed), F.lit(i), quoted(c).isNull(), quoted(c)) for i, c in enumerate(names)]
+    )
+
+
+def _grouped(hashed: DataFrame, combos: Sequence[Sequence[int]], *aggs: Column) -> DataFrame:
+    """(combo, k0, k1, n, ...): rows grouped by each of the combinations, in one shuffle."""
+    listed = ",".join(f"array({','.join(map(str, c))})" for c in combos)
+    many = hashed.select("*", F.posexplode(F.expr(f"array({listed})")).alias("combo", "_in"))
+
+    def key(seed: int) -> Column:
+        start = F.lit(0).cast("long")
+        return F.aggregate("_in", start, lambda x, i: x.bitwiseXOR(F.element_at(f"h{seed}", i + 1)))
+
+    keyed = many.select("combo", key(0).alias("k0"), key(1).alias("k1"), "h0", "h1")
+    return keyed.groupBy("combo", "k0", "k1").agg(F.count(F.lit(1)).alias("n"), *aggs)
+
+
+def _agreements(sample: DataFrame, combos: Sequence[Sequence[int]], width: int) -> dict[int, set[int]]:
+    """For each combination that some rows agree on (by position) the most columns that such rows agree on."""
+    ends = [
+        f(F.element_at(f"h{seed}", i + 1)).alias(f"{f.__name__}{seed}_{i}")
+        for seed in (0, 1) for i in range(width) for f in (F.min, F.max)
+    ]
+    same = [(F.col(f"min0_{i}") == F.col(f"max0_{i}")) & (F.col(f"min1_{i}") == F.col(f"max1_{i}")) for i in range(width)]
+    alike = F.array_compact(F.array(*[F.when(s, F.lit(i)) for i, s in enumerate(same)]))
+    groups = _grouped(sample, combos, *ends).filter("n > 1").select("combo", alike.alias("alike"))
+    most = groups.groupBy("combo").agg(F.max(F.struct(F.size("alike").alias("size"), "alike")).alias("most"))
+    return {r["combo"]: set(r["most"]["alike"]) for r in most.collect()}
+
+
+def _largest(sets: Sequence[set[int]]) -> list[set[int]]:
+    """Those that are part of no other."""
+    out: list[set[int]] = []
+    for s in sorted(sets, key=len, reverse=True):
+        if not any(s <= o for o in out):
+            out.append(s)
+    return out
 
 
 def candidate_key_table(df: DataFrame, **options) -> DataFrame:

@@ -287,6 +287,52 @@ def test_candidate_keys_smallest_first(spark):
     assert mdm.candidate_keys(df, limit=1) == [["u"]]
 
 
+def _keys_by_hand(rows, names, limit, minimal):
+    out, found = [], []
+    if len(set(rows)) < len(rows):
+        return out
+    for size in range(1, len(names) + 1):
+        for combo in itertools.combinations(range(len(names)), size):
+            if len({tuple(r[i] for i in combo) for r in rows}) == len(rows):
+                if not minimal or not any(k <= set(combo) for k in found):
+                    out.append([names[i] for i in combo])
+                found.append(set(combo))
+    return out[:limit]
+
+
+@pytest.mark.parametrize("sample", [200_000, 5])
+def test_candidate_keys_match_brute_force(spark, monkeypatch, sample):
+    monkeypatch.setattr(mdm, "KEY_SAMPLE", sample)
+    for seed in range(4):
+        rng = random.Random(seed)
+        names = [f"c {i}" for i in range(5)]
+        rows = [tuple(rng.choice([None, *range(rng.choice([2, 4]))]) for _ in names) for _ in range(14)]
+        rows = list(dict.fromkeys(rows)) if seed else rows + rows[:1]
+        df = spark.createDataFrame(rows, ", ".join(f"`{n}` int" for n in names))
+        for minimal in (True, False):
+            assert mdm.candidate_keys(df, limit=7, minimal=minimal) == _keys_by_hand(rows, names, 7, minimal)
+
+
+def test_candidate_keys_take_few_jobs(spark):
+    """Twelve columns whose only key is the pair of the last two: a bounded number of jobs, not one per combination."""
+    names = [f"c{i}" for i in range(12)]
+    df = spark.range(4000).select(
+        *[(F.col("id") % (i + 2)).alias(f"c{i}") for i in range(10)],
+        (F.col("id") % 80).alias("c10"),
+        F.floor(F.col("id") / 80).alias("c11"),
+    )
+    context = spark.sparkContext
+    context.setJobGroup("keys", "candidate keys")
+    found = mdm.candidate_keys(df, limit=1)
+    jobs = context.statusTracker().getJobIdsForGroup("keys")
+    context.setJobGroup("other", "")
+    assert found == [["c10", "c11"]]
+    assert len(jobs) <= 12
+    assert mdm.candidate_keys(spark.createDataFrame([], df.schema), limit=2) == [["c0"], ["c1"]]
+    assert mdm.candidate_keys(df.union(df), limit=2) == []
+    assert set(names) == set(df.columns)
+
+
 def test_classes(spark):
     data = [(i, "yes" if i % 2 else "no", f"name {i}", "long text " * 4 + str(i % 60), 2000 + i % 20, i * 0.5, 1, None, i % 7)
             for i in range(100)]
