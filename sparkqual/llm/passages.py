@@ -277,25 +277,31 @@ def _search(rows: pd.DataFrame) -> pd.DataFrame:
 def _ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(doc, mark, start, stop): repeated windows at the places of their segments, neighbouring ones in one row."""
     for batch in batches:
-        out: list[pd.DataFrame] = []
-        for where, mask in zip(batch["where"], batch["mask"].to_numpy().astype(np.int64).view(np.uint64), strict=True):
-            bits = np.unpackbits(np.array([mask]).view(np.uint8), bitorder="little").astype(np.int8)
-            edge = np.diff(np.r_[np.int8(0), bits, np.int8(0)])
-            first, after = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            places = np.frombuffer(where, _OCCURRENCE)
-            start = places["start"].astype(np.int64)[:, None]
-            out.append(
-                pd.DataFrame(
-                    {
-                        "doc": np.repeat(places["doc"], len(first)),
-                        "mark": np.repeat(places["mark"], len(first)),
-                        "start": (start + first).ravel(),
-                        "stop": (start + after + WINDOW - 1).ravel(),
-                    }
-                )
-            )
-        if out:
-            yield pd.concat(out)
+        if not len(batch):
+            continue
+        places = np.frombuffer(b"".join(batch["where"]), _OCCURRENCE)
+        own = np.repeat(np.arange(len(batch)), [len(w) // _OCCURRENCE.itemsize for w in batch["where"]])
+        bits = np.zeros((len(batch), 66), np.int8)
+        mask = batch["mask"].to_numpy().astype("<i8").view(np.uint8).reshape(len(batch), 8)
+        bits[:, 1:65] = np.unpackbits(mask, axis=1, bitorder="little")
+        edge = np.diff(bits, axis=1)
+        row, first = np.nonzero(edge == 1)
+        after = np.nonzero(edge == -1)[1]
+        # Each place takes the ranges of its segment.
+        many = np.bincount(row, minlength=len(batch))
+        begin = np.cumsum(many) - many
+        copied = np.repeat(np.arange(len(own)), many[own])
+        inner = np.arange(len(copied)) - np.repeat(np.cumsum(many[own]) - many[own], many[own])
+        at = begin[own[copied]] + inner
+        start = places["start"].astype(np.int64)[copied]
+        yield pd.DataFrame(
+            {
+                "doc": places["doc"][copied],
+                "mark": places["mark"][copied],
+                "start": start + first[at],
+                "stop": start + after[at] + WINDOW - 1,
+            }
+        )
 
 
 _DOC = ["doc", "mark"]
