@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions import kinds
 from ..functions.text import contains_pattern
 from ..functions.values import any_of
+from ..plans.bands import band_quantiles
 from ..plans.longform import describe_columns, quoted
-from ..plans.ranks import exact_quantiles
 
 # Fills that are quantiles.
 _QUANTILES = {"median": 0.5, "25%": 0.25, "75%": 0.75}
@@ -158,7 +158,7 @@ def fill_value(df: DataFrame, column: str, how: str) -> Column:
     if how in _MOMENTS:
         return df.agg(_MOMENTS[how](quoted(column))).scalar()
     if how in _QUANTILES:
-        return exact_quantiles(df, [column], [_QUANTILES[how]]).select("p0").scalar()
+        return band_quantiles(df, [column], [_QUANTILES[how]]).select("p0").scalar()
     if how == "mode":
         return mode_value(df, column)
     raise ValueError(f"unknown fill {how}")

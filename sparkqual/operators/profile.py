@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import kinds, text
 from ..functions.values import half_even, is_missing, percent, to_number
+from ..plans.bands import band_quantiles
 from ..plans.durable import durable
 from ..plans.longform import describe_columns, quoted, union_all, value_counts
 from ..plans.ranks import exact_quantiles, quantiles
@@ -145,7 +146,7 @@ def length_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     """(column, min, max, mean and exact median of text lengths) over non-null rows."""
     names = list(columns or kinds.flat_columns(df))
     lengths = df.select(*[text.text_length(quoted(c)).alias(c) for c in names])
-    middle = exact_quantiles(lengths, names, [0.5]).select(
+    middle = band_quantiles(lengths, names, [0.5]).select(
         "column", F.col("p0").alias("median_length")
     )
     span = describe_columns(

@@ -7,9 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.values import to_number
+from ..plans.bands import band_quantiles
 from ..plans.longform import describe_columns, quoted, union_all
 from . import catalog, frequency, profile, suggest
-from ..plans.ranks import exact_quantiles
 
 
 def value_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -27,7 +27,7 @@ def value_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             for c in columns
         },
     )
-    middle = exact_quantiles(numbers, list(columns), [0.5]).select("column", F.col("p0").alias("median"))
+    middle = band_quantiles(numbers, list(columns), [0.5]).select("column", F.col("p0").alias("median"))
     return moments.join(middle, "column")
 
 

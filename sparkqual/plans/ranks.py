@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from .bands import band_quantiles
 from .durable import durable
 from .longform import native_counts, union_all, value_counts
 
@@ -121,9 +122,9 @@ def numeric_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
     """(column, distinct, p0, p1, ...) of numeric columns, nulls and NaN left out; exact."""
-    counts = numeric_counts(df, columns).withColumn("one", F.lit(1).cast("bigint"))
-    found = quantiles(counts, ["column"], "value", probs, ["one"])
-    return found.drop("total_n").withColumnRenamed("total_one", "distinct")
+    distinct = numeric_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    found = band_quantiles(df, columns, probs)
+    return distinct.join(F.broadcast(found), "column").select("column", "distinct", *[f"p{i}" for i in range(len(probs))])
 
 
 def dense_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:

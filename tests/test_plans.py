@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkqual.plans import durable, longform, ranks, skew
+from sparkqual.plans import bands, durable, longform, ranks, skew
 
 
 def test_running_totals_match_cumulative_sum(spark):
@@ -37,6 +37,46 @@ def test_quantiles_interpolate_like_numpy(spark, size):
     assert row["distinct"] == len(set(values))
 
 
+@pytest.mark.parametrize("limit", [2, 300, 1_000_000])
+def test_bands_give_exact_quantiles(spark, monkeypatch, limit):
+    """Narrow bands, several rounds, hot values, huge ones; a sketch that is wrong costs nothing but time."""
+    monkeypatch.setattr(bands, "BAND_ROWS", limit)
+    monkeypatch.setattr(bands, "SMALL", 100)
+    monkeypatch.setattr(bands, "SAMPLE", 10 * limit)
+    rng = np.random.default_rng(limit)
+    a = rng.normal(size=3000)
+    a[:1000] = 0.25
+    b = rng.integers(0, 7, 3000).astype(float)
+    b[5] = 1e300
+    rows = [(float(x), float(y), int(i), None, float("nan") if i % 3 else 1.5) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+    df = spark.createDataFrame([*rows, (None, None, None, None, None)], "`a.b` double, b double, c int, d double, e float")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    want = {"a.b": a, "b": b, "c": np.arange(3000), "e": np.full(1000, 1.5)}
+
+    def check():
+        found = {r["column"]: r for r in bands.band_quantiles(df, df.columns, probs).collect()}
+        assert set(found) == set(want)
+        for name, values in want.items():
+            assert found[name]["n"] == len(values)
+            assert [found[name][f"p{j}"] for j in range(5)] == pytest.approx(list(np.quantile(values, probs)))
+
+    check()
+    monkeypatch.setattr(bands._Band, "ranks", lambda self: (0.9, 0.95))
+    check()
+    assert bands.band_quantiles(df.limit(0), ["b"], [0.5]).collect() == []
+
+
+def test_bands_store_nothing(spark, monkeypatch):
+    """No table is stored, and only values in bands are sorted."""
+    monkeypatch.setattr(bands, "BAND_ROWS", 1000)
+    monkeypatch.setattr(durable, "durable", None)
+    df = spark.range(0, 200_000, 1, 4).select(F.xxhash64("id").cast("double").alias("x"))
+    found = bands.band_quantiles(df, ["x"], [0.5])
+    assert found.first()["p0"] == df.agg(F.expr("percentile(x, 0.5)")).first()[0]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Filter" in plan and "Window" in plan
+
+
 def test_dense_codes_are_sorted_positions(spark):
     df = spark.createDataFrame([(w,) for w in "pear apple fig apple kiwi".split()] + [(None,)], "w string")
     got = {r["value"]: r["code"] for r in ranks.dense_codes(df, ["w"]).collect()}
