@@ -15,7 +15,7 @@ from ..functions import kinds
 from ..functions.values import finite_or_zero, ratio
 from ..plans.durable import durable
 from ..plans.longform import batches, describe_columns, quoted, union_all
-from ..plans.ranks import running_totals
+from ..plans.ranks import numeric_counts, running_totals
 from ..plans.skew import join_unique
 
 PAIR = ["column_i", "column_j"]
@@ -120,12 +120,17 @@ def correlation(
     elif method == "spearman":
         upper = _spearman(df, pairs)
     elif method == "kendall":
-        upper = _kendall(df, pairs)
+        upper = _with_diagonal(df, names, _kendall(df, [(i, j) for i, j in pairs if i != j])) if len(names) > 1 else _pearson(df, pairs)
     else:
         raise ValueError(f"unknown method {method}")
     return _mirror(upper.withColumn("value", finite_or_zero(F.col("value"))))
 
 
+def _with_diagonal(df: DataFrame, names: Sequence[str], pairs: DataFrame) -> DataFrame:
+    """A column is like itself, unless it has one value or none."""
+    return pairs.unionByName(_pearson(df, [(c, c) for c in names]))
+
+
 def _pearson(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Plain sums of values centred on their column mean.
 
@@ -189,6 +194,55 @@ def _ranked_cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> tuple[Data
 
 
 def _spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pearson correlation of mid-ranks.
+
+    A column's ranks are the same in all pairs whose nulls are in the same rows: it is ranked once, and
+    one aggregate takes all these pairs. Other pairs are ranked on the rows that both have.
+    """
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    number = {c: F.nanvl(quoted(c).cast("double"), F.lit(None).cast("double")) for c in names}
+    apart = df.agg(
+        *[F.count_if(number[i].isNull() != number[j].isNull()).alias(f"apart_{k}") for k, (i, j) in enumerate(pairs)]
+    ).first()
+    alike = [p for k, p in enumerate(pairs) if not apart[f"apart_{k}"]]
+    others = [p for k, p in enumerate(pairs) if apart[f"apart_{k}"]]
+    frames = [_pearson(rank_columns(df, list(dict.fromkeys(c for p in alike for c in p))), alike)] if alike else []
+    if others:
+        frames.append(_pairwise_spearman(df, others))
+    return union_all(frames)
+
+
+# Distinct values of a column whose ranks (24 bytes each) are broadcast; more are joined by value.
+BROADCAST_RANKS = 500_000
+
+
+def rank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as mid-ranks among their numbers; nulls and NaN are null. Rows keep no order.
+
+    All columns are ranked together by running totals over ranges of their distinct values. The ranks of
+    columns with few of them are looked up in one pass; the others are joined, hot values split.
+    """
+    at = {c: f"_x{i}" for i, c in enumerate(columns)}
+    rows = df.select(
+        *[(F.nanvl(quoted(c).cast("double"), F.lit(None).cast("double")) + F.lit(0.0)).alias(x) for c, x in at.items()]
+    )
+    counts = numeric_counts(rows, list(at.values()))
+    ranked = durable(
+        running_totals(counts, ["column"], "value", ["n"]).select(
+            "column", "value", "n", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank")
+        )
+    )
+    sizes = {r["column"]: r["count"] for r in ranked.groupBy("column").count().collect()}
+    for c, x in at.items():
+        own = ranked.filter(F.col("column") == x).select(F.col("value").alias(x), F.col("rank").alias(f"{x}_rank"), "n")
+        if sizes.get(x, 0) <= BROADCAST_RANKS:
+            rows = rows.join(F.broadcast(own.drop("n")), x, "left")
+        else:
+            rows = join_unique(rows, own, [x], "left", "n").drop("n")
+    return rows.select(*[F.col(f"{x}_rank").alias(c) for c, x in at.items()])
+
+
+def _pairwise_spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Pearson correlation of mid-ranks, from the cells."""
     cells, ranked = _ranked_cells(df, pairs)
     middle = ranked.groupBy(*PAIR).agg(F.max((F.col("total_n") + 1) / 2).alias("_mid"))

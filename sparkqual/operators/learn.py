@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -16,12 +17,11 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import kinds
 from ..plans.durable import durable
-from ..plans.longform import quoted
+from ..plans.longform import agg_width, quoted
 from ..plans.ranks import dense_codes
 from ..plans.skew import join_unique
 from . import frequency
@@ -34,13 +34,16 @@ MAX_CLASSES = 100
 
 
 def iterative_impute(
-    df: DataFrame, columns: Sequence[str], rounds: int = 5, ridge: float = 1e-6
+    df: DataFrame, columns: Sequence[str], rounds: int = 5, ridge: float = 0.0
 ) -> DataFrame:
     """Fill numeric nulls from regressions on the other columns, text nulls with the mode.
 
-    Columns are refitted in order of ascending gaps, for a fixed number of rounds. A fitted
-    model is a handful of numbers, applied as a plain expression; each round ends in a
-    stored table, so plans stay short. Whole-number columns stay whole.
+    Gaps start with the column's mean. A round takes the sums of products of all columns, over the
+    rows where each target is known, in one scan that reads the columns asked for only. Every
+    target's regression is solved from its sums, and the gaps are filled in order of ascending gaps, each
+    with what is filled already. A fitted model is a handful of numbers, applied as a plain expression:
+    nothing is stored between rounds. Whole-number columns stay whole; a column without any value
+    stays as it is. `ridge` is added to the columns' correlations with themselves.
     """
     numeric = [c for c in columns if c in kinds.numeric_columns(df)]
     words = [c for c in columns if c in kinds.text_columns(df)]
@@ -53,41 +56,80 @@ def iterative_impute(
         *[F.count_if(quoted(c).isNull()).alias(f"gaps_{i}") for i, c in enumerate(numeric)],
         *[F.avg(quoted(c)).alias(f"mean_{i}") for i, c in enumerate(numeric)],
     ).first()
-    order = sorted(range(len(numeric)), key=lambda i: profile[f"gaps_{i}"])
-    order = [i for i in order if 0 < profile[f"gaps_{i}"] and profile[f"mean_{i}"] is not None]
-    values = {i: f"_v{i}" for i in range(len(numeric))}
-    work = out.withColumns(
-        {
-            values[i]: F.coalesce(quoted(c).cast("double"), F.lit(profile[f"mean_{i}"]))
-            for i, c in enumerate(numeric)
-        }
+    means = [profile[f"mean_{i}"] for i in range(len(numeric))]
+    usable = [i for i, m in enumerate(means) if m is not None]
+    order = sorted((i for i in usable if profile[f"gaps_{i}"]), key=lambda i: profile[f"gaps_{i}"])
+    names = {i: _free(df, f"_value{i}") for i in usable}
+    # Values are kept as distances from the mean, so that sums of products stay exact.
+    start = {names[i]: F.coalesce(quoted(numeric[i]).cast("double") - F.lit(means[i]), F.lit(0.0)) for i in usable}
+
+    def filled(frame: DataFrame, models: Sequence[dict[int, tuple[float, dict[int, float]]]]) -> DataFrame:
+        frame = frame.withColumns(start)
+        for fitted in models:
+            for i in order:
+                constant, weights = fitted[i]
+                guess: Column = F.lit(constant)
+                for k, weight in weights.items():
+                    guess = guess + F.lit(weight) * F.col(names[k])
+                gap = quoted(numeric[i]).isNull()
+                frame = frame.withColumn(names[i], F.when(gap, guess).otherwise(F.col(names[i])))
+        return frame
+
+    narrow = df.select(*[quoted(numeric[i]) for i in usable])
+    models: list[dict[int, tuple[float, dict[int, float]]]] = []
+    for _ in range(rounds if len(usable) > 1 and order else 0):
+        known = [F.when(quoted(numeric[i]).isNotNull(), F.lit(i)) for i in order]
+        rows = filled(narrow, models).withColumn("_target", F.explode(F.array_compact(F.array(*known))))
+        models.append(_regressions(rows, names, ridge))
+    done = filled(out, models)
+    return done.select(
+        *[
+            F.coalesce(quoted(f.name), (F.col(names[numeric.index(f.name)]) + F.lit(means[numeric.index(f.name)])).cast(f.dataType)).alias(f.name)
+            if f.name in numeric and numeric.index(f.name) in names
+            else quoted(f.name)
+            for f in df.schema
+        ]
     )
-    work = durable(work)
-    usable = [i for i in range(len(numeric)) if profile[f"mean_{i}"] is not None]
-    for _ in range(rounds if len(usable) > 1 else 0):
-        for i in order:
-            others = [values[k] for k in usable if k != i]
-            known = VectorAssembler(inputCols=others, outputCol="_x").transform(
-                work.filter(quoted(numeric[i]).isNotNull()).select(values[i], *others)
-            )
-            model = LinearRegression(
-                featuresCol="_x", labelCol=values[i], solver="normal", regParam=ridge
-            ).fit(known)
-            guess: Column = F.lit(float(model.intercept))
-            for name, weight in zip(others, model.coefficients):
-                guess = guess + F.lit(float(weight)) * F.col(name)
-            work = work.withColumn(
-                values[i], F.when(quoted(numeric[i]).isNull(), guess).otherwise(F.col(values[i]))
-            )
-        work = durable(work)
-    filled = []
-    for f in df.schema:
-        if f.name in numeric:
-            guess = F.col(values[numeric.index(f.name)]).cast(f.dataType)
-            filled.append(F.coalesce(quoted(f.name), guess).alias(f.name))
-        else:
-            filled.append(quoted(f.name))
-    return work.select(*filled)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def _regressions(rows: DataFrame, names: dict[int, str], ridge: float) -> dict[int, tuple[float, dict[int, float]]]:
+    """target -> (constant, weight of each other column), solved from sums of products by target.
+
+    Columns that follow from others share their weight, so a singular system is no error.
+    """
+    at = list(names)
+    value = {i: F.col(n) for i, n in names.items()}
+    sums = {"n": F.count(F.lit(1))}
+    sums |= {f"s_{i}": F.sum(value[i]) for i in at}
+    sums |= {f"p_{i}_{k}": F.sum(value[i] * value[k]) for j, i in enumerate(at) for k in at[j:]}
+    found: dict[int, dict[str, float]] = {}
+    width, listed = agg_width(rows), list(sums.items())
+    for first in range(0, len(listed), width):
+        part = rows.groupBy("_target").agg(*[agg.alias(name) for name, agg in listed[first : first + width]])
+        for row in part.collect():
+            found.setdefault(row["_target"], {}).update(row.asDict())
+    out = {}
+    for target, row in found.items():
+        n = row["n"]
+        mean = np.array([row[f"s_{i}"] / n for i in at])
+        product = np.array([[row[f"p_{min(i, k)}_{max(i, k)}"] / n for k in at] for i in at])
+        spread = product - np.outer(mean, mean)
+        scale = np.sqrt(np.clip(np.diag(spread), 0, None))
+        scale[scale <= 1e-12 * np.sqrt(np.abs(np.diag(product)) + 1e-300)] = np.inf
+        alike = spread / np.outer(scale, scale)
+        mine, others = at.index(target), [j for j, i in enumerate(at) if i != target]
+        system = alike[np.ix_(others, others)] + ridge * np.eye(len(others))
+        weights = np.linalg.lstsq(system, alike[others, mine], rcond=1e-10)[0]
+        weights = weights * (scale[mine] if np.isfinite(scale[mine]) else 0.0) / scale[others]
+        constant = float(mean[mine] - weights @ mean[others])
+        out[target] = (constant, {at[j]: float(w) for j, w in zip(others, weights, strict=True)})
+    return out
 
 
 def _fill_features(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str], list[str]]:

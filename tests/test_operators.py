@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -372,6 +373,76 @@ def test_iterative_impute_recovers_a_line(spark):
         assert r["s"] == "a"
 
 
+def test_iterative_impute_matches_least_squares(spark, monkeypatch):
+    """Rounds by hand, with a constant column, one that follows from another, one without values; nothing is stored."""
+    monkeypatch.setattr(learn, "durable", None)
+    rng = np.random.default_rng(2)
+    n = 120
+    full = np.column_stack([rng.normal(50, 9, n), rng.normal(-3, 2, n), rng.normal(1e6, 40, n), np.full(n, 7.0)])
+    full[:, 2] += 3 * full[:, 0] - 8 * full[:, 1]
+    full = np.column_stack([full, 2 * full[:, 0] + 1])
+    gaps = rng.random(full.shape) < [0.3, 0.0, 0.2, 0.1, 0.0]
+    names = ["a", "b.b", "c", "d", "_value0"]
+    rows = [tuple(None if g else float(v) for v, g in zip(r, m, strict=True)) + (None, i) for i, (r, m) in enumerate(zip(full, gaps, strict=True))]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in names) + ", e double, id int")
+    want = np.where(gaps, np.nan, full)
+    want = np.where(gaps, np.nanmean(want, axis=0), want)
+    for _ in range(3):
+        fits = {}
+        for i in range(5):
+            known = ~gaps[:, i]
+            others = [k for k in range(5) if k != i]
+            middle, width = want[:, others].mean(axis=0), want[:, others].std(axis=0) + 1e-300
+            design = np.column_stack([np.ones(n), np.where(width > 1e-9, (want[:, others] - middle) / width, 0)])
+            fits[i] = middle, width, np.linalg.lstsq(design[known], want[known, i], rcond=1e-9)[0]
+        for i in sorted(range(5), key=lambda i: gaps[:, i].sum()):
+            others = [k for k in range(5) if k != i]
+            middle, width, fit = fits[i]
+            guess = np.column_stack([np.ones(n), np.where(width > 1e-9, (want[:, others] - middle) / width, 0)]) @ fit
+            want[:, i] = np.where(gaps[:, i], guess, want[:, i])
+    found = learn.iterative_impute(df, [*names, "e"], rounds=3)
+    assert found.columns == df.columns
+    got = sorted(found.collect(), key=lambda r: r["id"])
+    assert {r["e"] for r in got} == {None}
+    for k, c in enumerate(names):
+        assert np.allclose([r[c] for r in got], want[:, k], rtol=1e-6), c
+
+
+def test_ranks_are_taken_once_a_column(spark, monkeypatch):
+    """Spearman of columns with and without nulls against ranks by hand; large columns are joined, small ones looked up."""
+    rng = random.Random(4)
+    data = []
+    for i in range(200):
+        a, b, c = rng.randint(0, 5), rng.random(), rng.choice([-0.0, 0.0, 1.0])
+        gap = i % 7 == 0
+        data.append((a, b, c, None if gap else a * b, None if gap else float(rng.randint(0, 9)), float("nan") if i % 5 == 0 else b - a))
+    df = spark.createDataFrame(data, "a int, `b.b` double, c double, d double, e double, f double")
+
+    def ranks(values):
+        return [sum(x < v for x in values) + (sum(x == v for x in values) + 1) / 2 for v in values]
+
+    def expected(i, j):
+        both = [(r[i], r[j]) for r in data if None not in (r[i], r[j]) and r[i] == r[i] and r[j] == r[j]]
+        x, y = (ranks([float(v) for v in side]) for side in zip(*both, strict=True))
+        return float(np.corrcoef(x, y)[0, 1])
+
+    for limit in (500_000, 3):
+        monkeypatch.setattr(association, "BROADCAST_RANKS", limit)
+        got = {(r[0], r[1]): r[2] for r in association.correlation(df, method="spearman").collect()}
+        assert len(got) == 36
+        for (i, p), (j, q) in itertools.product(enumerate(df.columns), repeat=2):
+            assert got[p, q] == pytest.approx(expected(i, j))
+
+
+def test_kendall_of_one_column(spark):
+    df = spark.createDataFrame([(1, 5), (2, 5), (2, 5)], "x int, y int")
+    got = [tuple(r) for r in association.correlation(df, ["x"], "kendall").collect()]
+    assert got == [("x", "x", 1.0)]
+    assert {(r[0], r[1]): r[2] for r in association.correlation(df, method="kendall").collect()} == {
+        ("x", "x"): 1.0, ("y", "y"): 0.0, ("x", "y"): 0.0, ("y", "x"): 0.0
+    }
+
+
 def test_prediction_keeps_rows_and_learns(spark):
     data = [(i % 50, "u" if i % 2 else "v", "hi" if i % 50 > 25 else "lo") for i in range(400)]
     df = spark.createDataFrame(data, "n int, w string, target string")
