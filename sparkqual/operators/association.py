@@ -9,7 +9,7 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import kinds
 from ..functions.values import finite_or_zero, ratio
@@ -115,6 +115,11 @@ def correlation(
     if not names:
         raise ValueError("no numeric column to correlate")
     pairs = list(itertools.combinations_with_replacement(names, 2))
+    # NaN is a missing value in every method.
+    floats = [c for c in names if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))]
+    df = df.select(
+        *[F.nanvl(quoted(c), F.lit(None).cast("double")).alias(c) if c in floats else quoted(c) for c in names]
+    )
     if method == "pearson":
         upper = _pearson(df, pairs)
     elif method == "spearman":

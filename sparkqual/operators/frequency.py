@@ -98,34 +98,26 @@ def pattern_distribution(
 def length_distribution(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, mask, n): `L<length>`, nulls as `L` (A20); columns without a letter left out."""
     names = list(columns or kinds.text_columns(df))
-    long = to_long(df, names)
-    return (
-        long.groupBy("column", text.length_mask(F.col("value")).alias("mask"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max(F.col("value").rlike("[a-zA-Z]")).alias("_letters"),
-        )
-        .withColumn("_any", F.max("_letters").over(Window.partitionBy("column")))
-        .filter("_any")
-        .drop("_letters", "_any")
-    )
+    return _of_lettered(to_long(df, names), text.length_mask(F.col("value")), "mask")
 
 
 def word_distribution(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(column, pattern, n): one W per word (A21); columns without a letter left out."""
     names = list(columns or kinds.text_columns(df))
-    long = to_long(df, names)
-    return (
-        long.filter(F.col("value").isNotNull())
-        .groupBy("column", text.word_pattern(F.col("value")).alias("pattern"))
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.max(F.col("value").rlike("[a-zA-Z]")).alias("_letters"),
-        )
-        .withColumn("_any", F.max("_letters").over(Window.partitionBy("column")))
-        .filter("_any")
-        .drop("_letters", "_any")
+    long = to_long(df, names).filter(F.col("value").isNotNull())
+    return _of_lettered(long, text.word_pattern(F.col("value")), "pattern")
+
+
+def _of_lettered(long: DataFrame, shape: Column, name: str) -> DataFrame:
+    """Counts of a shape of the values, of columns in which any value has a letter.
+
+    Which columns these are is a table of a row per column, so no task sees all shapes of one.
+    """
+    counts = long.groupBy("column", shape.alias(name)).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.col("value").rlike("[a-zA-Z]")).alias("_letters")
     )
+    lettered = counts.groupBy("column").agg(F.max("_letters").alias("_any")).filter("_any").select("column")
+    return counts.join(F.broadcast(lettered), "column", "left_semi").drop("_letters")
 
 
 def mask_lengths(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Mapping, Sequence
 
@@ -180,13 +181,38 @@ def golden_copy(
 def golden_copy_of(sources: Sequence[DataFrame], key: str) -> DataFrame:
     """One record per match key over any number of sources in order of trust.
 
-    Each column takes the non-null value of the first source that has one. Null keys match
-    nothing, repeated ones keep one whole record of their source.
+    Each column takes the non-null value of the first source that has one. Null keys match nothing, so
+    each such record stays a record of its own; a key that a source repeats keeps one of its records
+    whole, the one with the smallest hash. All sources are grouped by the key together, once: each
+    keeps one record of a key in the tasks that read it, and the columns are merged afterwards.
     """
     names = list(dict.fromkeys(c for s in sources for c in s.columns if c != key))
-    out = sources[0].filter(quoted(key).isNull()).unionByName(_records(sources[0], key))
-    for source in sources[1:]:
-        out = golden_copy(out, source, key)
+    kinds = [T.StructType([T.StructField(f"c{names.index(f.name)}", f.dataType) for f in s.schema if f.name != key]) for s in sources]
+    tagged = []
+    for n, source in enumerate(sources):
+        own = F.struct(*[quoted(f.name).alias(f"c{names.index(f.name)}") for f in source.schema if f.name != key])
+        rows = [own if k == n else F.lit(None).cast(kind) for k, kind in enumerate(kinds)]
+        tagged.append(
+            source.filter(quoted(key).isNotNull()).select(
+                quoted(key).alias("_key"),
+                F.lit(n).alias("_source"),
+                F.xxhash64(*[quoted(c) for c in source.columns]).alias("_hash"),
+                *[r.alias(f"_row{k}") for k, r in enumerate(rows)],
+            )
+        )
+    first = [
+        F.min_by(f"_row{n}", F.when(F.col("_source") == n, F.col("_hash"))).alias(f"_row{n}") for n in range(len(sources))
+    ]
+    grouped = functools.reduce(DataFrame.unionByName, tagged).groupBy("_key").agg(*first)
+    merged = grouped.select(
+        F.col("_key").alias(key),
+        *[
+            F.coalesce(*[F.col(f"_row{n}.c{i}") for n, s in enumerate(sources) if c in s.columns]).alias(c)
+            for i, c in enumerate(names)
+        ],
+    )
+    alone = [s.filter(quoted(key).isNull()) for s in sources]
+    out = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [merged, *alone])
     return out.select(quoted(key), *[quoted(c) for c in names])
 
 
