@@ -8,10 +8,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import kinds
-from ..plans.longform import describe_columns, quoted
-from ..plans.ranks import dense_codes
-from ..plans.skew import join_unique
-from .clean import mode_value
+from ..plans.durable import durable
+from ..plans.longform import describe_columns, quoted, value_counts
+from ..plans.ranks import running_totals
+from ..plans.skew import BROADCAST_BYTES, BROADCAST_ROWS, join_unique
 
 # The classes of personal data in the order they are masked, and the words
 # masked in every text column.
@@ -123,45 +123,53 @@ def anonymise(
     """(anonymised table, mapping (column, value, code)).
 
     Text nulls take the mode, values become their position in ascending order; numeric nulls
-    become 0 and the column is scaled by its population deviation. Codes are assigned by a
-    distributed ranking, not by a dictionary on the driver.
+    become 0 and the column is scaled by its population deviation (a constant one is only centred).
+    One scan counts the values of all text columns, which gives the modes and one dictionary of codes for
+    all; one scan takes the moments; the last one looks up the codes of all columns. Codes of
+    columns with very many values are joined by value, hot ones split.
     """
     names = list(columns or kinds.flat_columns(df))
     words = [c for c in names if c in kinds.nominal_columns(df)]
     numbers = [c for c in names if c in kinds.numeric_columns(df)]
-    filled = df.select(
-        *[
-            F.coalesce(quoted(c).cast("string"), mode_value(df, c).cast("string")).alias(c)
-            if c in words
-            else F.coalesce(quoted(c).cast("double"), F.lit(0.0)).alias(c)
-            if c in numbers
-            else quoted(c)
-            for c in df.columns
-        ]
+    number = {c: F.coalesce(quoted(c).cast("double"), F.lit(0.0)) for c in numbers}
+    moments = (
+        df.agg(
+            *[F.avg(number[c]).alias(f"m{i}") for i, c in enumerate(numbers)],
+            *[F.stddev_pop(number[c]).alias(f"s{i}") for i, c in enumerate(numbers)],
+        ).first()
+        if numbers
+        else {}
     )
-    if numbers:
-        moments = filled.agg(
-            F.struct(
-                *[F.avg(quoted(c)).alias(f"m{i}") for i, c in enumerate(numbers)],
-                *[F.stddev_pop(quoted(c)).alias(f"s{i}") for i, c in enumerate(numbers)],
-            ).alias("m")
-        ).scalar()
-        scaled = filled.withColumn("_m", moments)
-        for i, c in enumerate(numbers):
-            spread = F.col("_m").getField(f"s{i}")
-            # A constant column is only centred.
-            spread = F.when(spread > 0, spread).otherwise(1.0)
-            scaled = scaled.withColumn(c, (quoted(c) - F.col("_m").getField(f"m{i}")) / spread)
-        out = scaled.drop("_m")
-    else:
-        out = filled
+    scaled = {}
+    for i, c in enumerate(numbers):
+        scaled[c] = (number[c] - F.lit(moments[f"m{i}"])) / F.lit(moments[f"s{i}"] or 1.0)
     if not words:
         empty = df.sparkSession.createDataFrame([], "column string, value string, code bigint")
-        return out, empty
-    codes = dense_codes(filled, words)
-    for c in words:
-        keyed = codes.filter(F.col("column") == c).select(
-            F.col("value").alias(c), F.col("code").alias("_code"), F.col("n").alias("_rows")
-        )
-        out = join_unique(out, keyed, [c], "left", "_rows").drop(c, "_rows").withColumnRenamed("_code", c)
-    return out.select(*[quoted(c) for c in df.columns]), codes.select("column", "value", "code")
+        return df.select(*[scaled[c].alias(c) if c in scaled else quoted(c) for c in df.columns]), empty
+    counts = durable(value_counts(df, words))
+    first = counts.filter("value is not null").groupBy("column").agg(F.min(F.struct(-F.col("n"), "value")).alias("first"))
+    modes = {r["column"]: r["first"]["value"] for r in first.collect()}
+    mode = functools.reduce(
+        lambda out, c: F.when(F.col("column") == c, F.lit(modes[c])).otherwise(out), modes, F.lit(None).cast("string")
+    )
+    whole = counts.withColumn("value", F.coalesce("value", mode)).filter("value is not null")
+    whole = whole.groupBy("column", "value").agg(F.sum("n").alias("n")).withColumn("one", F.lit(1).cast("bigint"))
+    codes = durable(
+        running_totals(whole, ["column"], "value", ["one"]).select("column", "value", "n", F.col("before_one").alias("code"))
+    )
+    sizes = {
+        r["column"]: r
+        for r in codes.groupBy("column").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("value")).alias("bytes")).collect()
+    }
+    at = {c: f"_word{i}" for i, c in enumerate(words)}
+    filled = [F.coalesce(quoted(c).cast("string"), F.lit(modes.get(c))).alias(x) for c, x in at.items()]
+    out = df.select(*[scaled[c].alias(c) if c in scaled else quoted(c) for c in df.columns if c not in words], *filled)
+    for c, x in at.items():
+        keyed = codes.filter(F.col("column") == c).select(F.col("value").alias(x), F.col("code").alias(f"{x}_code"), "n")
+        size = sizes.get(c, {"rows": 0, "bytes": 0})
+        if size["rows"] * len(words) <= BROADCAST_ROWS and (size["bytes"] or 0) * len(words) <= BROADCAST_BYTES:
+            out = out.join(F.broadcast(keyed.drop("n")), x, "left")
+        else:
+            out = join_unique(out, keyed.withColumnRenamed("n", "_rows"), [x], "left", "_rows").drop("_rows")
+    done = out.select(*[F.col(f"{at[c]}_code").alias(c) if c in at else quoted(c) for c in df.columns])
+    return done, codes.select("column", "value", "code")

@@ -230,6 +230,30 @@ def test_anonymise_constant_and_null_columns(spark):
     assert rows(mapping) == [("s", "a", 0), ("s", "b", 1)]
 
 
+def test_anonymise_looks_up_or_joins(spark, monkeypatch):
+    rng = random.Random(8)
+    data = [(rng.choice(["x", "yy", None, "é"]), i % 3 == 0, rng.choice([None, 1.0, 2.5]), i, None, rng.choice("abc")) for i in range(60)]
+    df = spark.createDataFrame(data, "`a.b` string, flag boolean, x double, id int, none string, _word0 string")
+    found = []
+    for limit in (1_000_000, 0):
+        monkeypatch.setattr(privacy, "BROADCAST_ROWS", limit)
+        out, mapping = privacy.anonymise(df, ["a.b", "flag", "x", "none", "_word0"])
+        assert out.columns == df.columns
+        found.append((sorted(map(tuple, out.collect()), key=lambda r: r[3]), rows(mapping)))
+    assert found[0] == found[1]
+    got, mapping = found[0]
+    code = {(c, v): k for c, v, k in mapping}
+    assert sorted(code) == sorted({("a.b", v) for v in ("x", "yy", "é")} | {("flag", v) for v in ("true", "false")} | {("_word0", v) for v in "abc"})
+    counts = [r[0] for r in data if r[0]]
+    mode = min(set(counts), key=lambda v: (-counts.count(v), v))
+    numbers = [r[2] or 0.0 for r in data]
+    mean = sum(numbers) / 60
+    spread = math.sqrt(sum((v - mean) ** 2 for v in numbers) / 60)
+    for r, d, v in zip(got, data, numbers, strict=True):
+        assert r[0] == code["a.b", d[0] or mode] and r[1] == code["flag", str(d[1]).lower()] and r[5] == code["_word0", d[5]]
+        assert r[2] == pytest.approx((v - mean) / spread) and r[3] == d[3] and r[4] is None
+
+
 S1 = [("k1", "A", 1.0), ("k2", None, 2.0), (None, "N", None)]
 S2 = [("k1", "B", None), ("k3", "C", 3.0), (None, None, 9.0)]
 VENDOR = "ISIN string, NAME string, `LAST PRICE` double"
