@@ -136,20 +136,24 @@ def _with_diagonal(df: DataFrame, names: Sequence[str], pairs: DataFrame) -> Dat
     return pairs.unionByName(_pearson(df, [(c, c) for c in names]))
 
 
-def _pearson(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+def _facts(df: DataFrame, number: dict[str, Column]) -> dict[str, dict]:
+    """Mean, nulls, and whether there is only one value, of each column."""
+    found = describe_columns(
+        df,
+        {c: {"mean": F.avg(x), "gaps": F.count_if(x.isNull()), "flat": F.min(x) >= F.max(x)} for c, x in number.items()},
+    )
+    return {r["column"]: r.asDict() for r in found.collect()}
+
+
+def _pearson(df: DataFrame, pairs: Sequence[tuple[str, str]], known: dict[str, dict] | None = None) -> DataFrame:
     """Plain sums of values centred on their column mean.
 
-    A first scan finds the means and which columns are complete. Complete columns share
-    their sums over all pairs, leaving one product sum per pair.
+    A first scan finds the means and which columns are complete, unless they are given. Complete
+    columns share their sums over all pairs, leaving one product sum per pair.
     """
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
     number = {c: F.nanvl(quoted(c).cast("double"), F.lit(None).cast("double")) for c in names}
-    facts = describe_columns(
-        df,
-        {c: {"mean": F.avg(number[c]), "gaps": F.count_if(number[c].isNull()),
-             "flat": F.min(number[c]) >= F.max(number[c])} for c in names},
-    ).collect()
-    known = {r["column"]: r for r in facts}
+    known = _facts(df, number) if known is None else known
     centred = df.select(
         *[(number[c] - F.lit(known[c]["mean"])).alias(f"_x{i}") for i, c in enumerate(names)]
     )
@@ -207,11 +211,15 @@ def _spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
     number = {c: F.nanvl(quoted(c).cast("double"), F.lit(None).cast("double")) for c in names}
     apart = df.agg(
+        F.count(F.lit(1)).alias("rows"),
         *[F.count_if(number[i].isNull() != number[j].isNull()).alias(f"apart_{k}") for k, (i, j) in enumerate(pairs)]
     ).first()
     alike = [p for k, p in enumerate(pairs) if not apart[f"apart_{k}"]]
     others = [p for k, p in enumerate(pairs) if apart[f"apart_{k}"]]
-    frames = [_pearson(rank_columns(df, list(dict.fromkeys(c for p in alike for c in p))), alike)] if alike else []
+    frames = []
+    if alike:
+        ranks, known = rank_columns(df, list(dict.fromkeys(c for p in alike for c in p)), apart["rows"])
+        frames.append(_pearson(ranks, alike, known))
     if others:
         frames.append(_pairwise_spearman(df, others))
     return union_all(frames)
@@ -221,8 +229,9 @@ def _spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
 BROADCAST_RANKS = 500_000
 
 
-def rank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The columns as mid-ranks among their numbers; nulls and NaN are null. Rows keep no order.
+def rank_columns(df: DataFrame, columns: Sequence[str], count: int) -> tuple[DataFrame, dict[str, dict]]:
+    """The columns as mid-ranks among their numbers, nulls and NaN as null, and their means, nulls, and
+    whether there is only one value. Rows keep no order; there are `count`.
 
     All columns are ranked together by running totals over ranges of their distinct values. The ranks of
     columns with few of them are looked up in one pass; the others are joined, hot values split.
@@ -234,17 +243,22 @@ def rank_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     counts = numeric_counts(rows, list(at.values()))
     ranked = durable(
         running_totals(counts, ["column"], "value", ["n"]).select(
-            "column", "value", "n", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank")
+            "column", "value", "n", (F.col("before_n") + (F.col("n") + 1) / 2).alias("rank"), "total_n"
         )
     )
-    sizes = {r["column"]: r["count"] for r in ranked.groupBy("column").count().collect()}
+    sums = ranked.groupBy("column").agg(F.count(F.lit(1)).alias("values"), F.max("total_n").alias("n")).collect()
+    sizes = {r["column"]: (r["values"], r["n"]) for r in sums}
+    known = {}
+    for c, x in at.items():
+        values, n = sizes.get(x, (0, 0))
+        known[c] = {"mean": (n + 1) / 2 if n else None, "gaps": count - n, "flat": values < 2}
     for c, x in at.items():
         own = ranked.filter(F.col("column") == x).select(F.col("value").alias(x), F.col("rank").alias(f"{x}_rank"), "n")
-        if sizes.get(x, 0) <= BROADCAST_RANKS:
+        if sizes.get(x, (0, 0))[0] <= BROADCAST_RANKS:
             rows = rows.join(F.broadcast(own.drop("n")), x, "left")
         else:
             rows = join_unique(rows, own, [x], "left", "n").drop("n")
-    return rows.select(*[F.col(f"{x}_rank").alias(c) for c, x in at.items()])
+    return rows.select(*[F.col(f"{x}_rank").alias(c) for c, x in at.items()]), known
 
 
 def _pairwise_spearman(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
