@@ -131,6 +131,28 @@ def within_radius(windows: DataFrame, items: DataFrame, radius: int = RADIUS, bl
     )
 
 
+def _possible(windows: DataFrame, hits: DataFrame, items: DataFrame, span: int, unknown: Column, percent: int) -> DataFrame:
+    """Windows that can be similar to an item of their length.
+
+    What a window shares with an item weighs at most as much as the shingles in it that any item has
+    (its hits); the weight of the others is known without looking at them. Nothing is lost.
+    """
+    end = F.col("start") + F.col("length") - 1
+    cut = windows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("start") / span), F.floor(end / span))))
+    placed = hits.select("doc_key", "at", "weight", F.floor(F.col("at") / span).alias("bucket"))
+    inside = (F.col("at") >= F.col("start")) & (F.col("at") <= end)
+    window = ["doc_key", "start", "length"]
+    summed = (
+        cut.join(placed, ["doc_key", "bucket"])
+        .filter(inside)
+        .groupBy(*window)
+        .agg(F.sum("weight").alias("known"), F.count(F.lit(1)).alias("n"))
+    )
+    least = _small(items.groupBy("length").agg(F.min("weight").alias("least")))
+    whole = F.col("known") + (F.col("length") - F.col("n")) * unknown + F.col("least")
+    return summed.join(least, "length").filter(F.col("known") * (100 + percent) >= whole * percent).select(*window)
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, percent: int = 80, radius: int = RADIUS, blocks: int = BLOCKS
 ) -> DataFrame:
@@ -150,45 +172,43 @@ def contaminated(
     lane = 16 if longest * TOP_WEIGHT < 1 << 16 else 32
     weighed = durable(weights(items))
     docs = texts(docs).withColumn("doc_key", key())
-    known = _small(items.select("hash").distinct())
-    hits = durable(shingle_rows(docs, "doc_key").join(known, "hash", "left_semi"))
-    some = _small(durable(hits.select("doc_key").distinct()))
-    span = max(longest, 1)
-    rows = durable(
-        shingle_rows(docs.join(some, "doc_key", "left_semi").dropDuplicates(["doc_key"]), "doc_key", "doc_id")
-        .join(_small(weighed), "hash", "left")
-        .select(
-            "doc_key", "doc_id", "at", "hash", F.floor(F.col("at") / span).alias("bucket"),
-            F.coalesce("weight", _weight(F.lit(1), total)).alias("weight"),
-        )
-    )
+    unknown = _weight(F.lit(1), total)
+    hits = durable(
+        shingle_rows(docs, "doc_key")
+        .join(_small(weighed), "hash")
+        .select("doc_key", "size", "at", "hash", "weight")
+    )
+    weighed_items = items.join(weighed, "hash").withColumnRenamed("size", "length")
+    item_marks = durable(_sums(weighed_items, ["item_key", "item_id", "length"], lane))
+    window = ["doc_key", "start", "length"]
     lengths = _small(items.select("hash", F.col("size").alias("length")).distinct())
     windows = (
         hits.join(lengths, "hash")
         .select(
-            "doc_key", "length", "size",
+            "doc_key", "length",
             F.greatest(F.lit(0), F.least("at", F.col("size") - F.col("length"))).alias("start"),
         )
         .distinct()
     )
-
-    def held(chosen: DataFrame) -> DataFrame:
-        """The shingles in each window."""
-        end = F.col("start") + F.col("length") - 1
-        cut = chosen.withColumn(
-            "bucket",
-            F.explode(F.sequence(F.floor(F.col("start") / span), F.floor(end / span))),
+    chosen = durable(_possible(windows, hits, item_marks, max(longest, 1), unknown, percent))
+    # The shingles of each window are cut from its document's, which are computed once.
+    listed_windows = _small(chosen.groupBy("doc_key").agg(F.collect_list(F.struct("start", "length")).alias("windows")))
+    held = (
+        docs.join(listed_windows, "doc_key")
+        .withColumn("words", _words(F.col("text")))
+        .select("doc_key", "doc_id", _shingles(F.col("words")).alias("hashes"), "windows")
+        .select("doc_key", "doc_id", "hashes", F.explode_outer("windows").alias("at"))
+        .select(
+            "doc_key", "doc_id", "at.start", "at.length", F.slice("hashes", F.col("at.start") + 1, F.col("at.length")).alias("hashes")
         )
-        inside = (F.col("at") >= F.col("start")) & (F.col("at") <= end)
-        return cut.join(rows, ["doc_key", "bucket"]).filter(inside)
-
-    window = ["doc_key", "start", "length"]
-    marked = durable(_sums(held(windows.select(*window)), window, lane))
-    weighed_items = items.join(weighed, "hash").withColumnRenamed("size", "length")
-    item_marks = durable(_sums(weighed_items, ["item_key", "item_id", "length"], lane))
+    )
+    held = durable(held.dropDuplicates(window))
+    shingles = held.select("doc_id", *window, F.explode_outer("hashes").alias("hash")).join(_small(weighed), "hash", "left")
+    shingles = shingles.withColumn("weight", F.coalesce("weight", unknown))
+    marked = durable(_sums(shingles, window, lane))
     pairs = durable(within_radius(marked, item_marks, radius, blocks))
     in_window = (
-        held(pairs.select(*window).distinct())
+        shingles.join(_small(durable(pairs.select(*window).distinct())), window, "left_semi")
         .groupBy(*window, "doc_id", "hash", "weight")
         .agg(F.count(F.lit(1)).alias("n"))
     )
