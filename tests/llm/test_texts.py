@@ -313,3 +313,18 @@ def test_neighbours(spark):
     assert neighbours.nearest(table.filter("false"), every=20, k=10).count() == 0
     few = neighbours.nearest(table.filter("vec_id in (0, 3)"), every=20, k=10).collect()
     assert [(r["query_id"], r["vec_id"], r["rank"]) for r in few] == [(0, 3, 1)]
+
+
+def test_numerals_are_no_letters():
+    assert language._WORD.findall("½ ² Ⅷ ٣ x² naïve 二 ab_c1d") == ["x", "naïve", "二", "ab", "c", "d"]
+    for c in "½²₃①":
+        assert c.isalnum() and not c.isalpha() and not language._WORD.search(c)
+
+
+def test_texts_are_judged_in_bounded_parts(monkeypatch):
+    monkeypatch.setattr(language, "TOGETHER", 100)
+    lengths = np.array([0, 30, 60, 20, 500, 0, 10, 99, 100])
+    parts = language._parts(lengths)
+    assert [a for a, _ in parts] == sorted({a for a, _ in parts}) and sum(n for _, n in parts) == len(lengths)
+    assert all(lengths[a : a + n].sum() < 100 or lengths[a + 1 : a + n].sum() < 100 for a, n in parts)
+    assert language._parts(np.zeros(0, np.int64)) == []
