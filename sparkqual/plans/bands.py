@@ -1,7 +1,7 @@
 """Exact quantiles of many columns: sketches narrow a wanted rank to a band, and only bands are sorted.
 
 A sketch sees a sample of the rows, as it only steers: what lies below and in a band is counted over
-all rows, and a band that doesn't hold its rank is opened.
+all rows, and a band that doesn't hold its rank is drawn again, wider.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from .longform import agg_width, quoted, union_all
 
 # Relative accuracy of a sketch, and rows of a sample that it is taken from (expected).
 ACCURACY, SAMPLE = 2000, 200_000
+# Margins are widened up to this factor where a sketch missed.
+MOST_CARE = 16
 # Tables of fewer rows are grouped as they are.
 SMALL = 10_000
 # A band of more rows is narrowed again, unless all of them have one value.
@@ -29,6 +31,7 @@ class _Band:
         self.low: float | None = None
         self.high: float | None = None
         self.below, self.inside, self.n = 0, rows, rows
+        self.care = 1
 
     @property
     def position(self) -> float:
@@ -49,7 +52,7 @@ class _Band:
         """Ranks, as shares of the band, that very likely enclose the wanted one."""
         wanted = (self.position - self.below) / max(1, self.inside - 1)
         seen = max(1, min(self.inside, SAMPLE))
-        margin = 2 / ACCURACY + 2 / math.sqrt(seen) * (self.inside > SAMPLE) + 1 / seen
+        margin = self.care * (2 / ACCURACY + 2 / math.sqrt(seen) * (self.inside > SAMPLE) + 1 / seen)
         return wanted - margin, wanted + margin
 
     def is_right(self) -> bool:
@@ -76,6 +79,7 @@ def _narrow(numbers: DataFrame, bands: Sequence[_Band]) -> None:
         ends = [min(1.0, max(0.0, r)) for r in band.ranks()]
         stats.setdefault(str(band.at), {})[f"_{k}"] = F.percentile_approx(value, F.array(*[F.lit(e) for e in ends]), ACCURACY)
     found = _by_band(some, stats)
+    before = [(b.low, b.high) for b in bands]
     for k, band in enumerate(bands):
         low, high = band.ranks()
         marks = found[f"_{k}"]
@@ -83,12 +87,13 @@ def _narrow(numbers: DataFrame, bands: Sequence[_Band]) -> None:
             band.low = band.low if low <= 0 else marks[0]
             band.high = band.high if high >= 1 else marks[1]
     _count(numbers, bands)
-    # A sketch that broke its promise costs time, not exactness.
-    wrong = [b for b in bands if not b.is_right()]
-    for band in wrong:
-        band.low = band.high = None
+    # A sketch that missed costs time, not exactness: the bounds before it hold, the next ones are wider.
+    wrong = [(b, ends) for b, ends in zip(bands, before, strict=True) if not b.is_right()]
+    for band, ends in wrong:
+        band.low, band.high = ends
+        band.care *= 2
     if wrong:
-        _count(numbers, wrong)
+        _count(numbers, [b for b, _ in wrong])
 
 
 def _by_band(numbers: DataFrame, stats: dict[str, dict[str, Column]]) -> dict[str, object]:
@@ -130,9 +135,12 @@ def band_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]
     if not wide and rows:
         _count(numbers, bands)
     while wide:
-        before = [b.inside for b in wide]
+        before = [(b.inside, b.care) for b in wide]
         _narrow(numbers, wide)
-        wide = [b for b, size in zip(wide, before, strict=True) if b.inside > BAND_ROWS and b.inside < size and b.low != b.high]
+        wide = [
+            b for b, (size, care) in zip(wide, before, strict=True)
+            if b.inside > BAND_ROWS and (b.inside < size or care < b.care <= MOST_CARE) and b.low != b.high
+        ]
     numbered = [(k, b) for k, b in enumerate(bands) if b.n]
     frames = []
     step = max(1, agg_width(df) // 2)
