@@ -5,9 +5,11 @@
    with one anchor form a run, about one for each 40 bytes.
 2. Runs go to buckets by their anchor's hash, packed by task and bucket. Of equal runs all but
    the first are repeats; a run whose anchor no other run shares has none.
+   Runs are equal if their anchors and fingerprints (64 bits each) are.
 3. Only runs that share an anchor but differ are left open. Their bytes are fetched, and the
    strings in them are sorted by deep-shallow sorting: equal strings end up next to each other,
-   and all but the first of them are repeats.
+   and all but the first of them are repeats. The strings of an anchor with more than HOT_RUNS open
+   runs are grouped by 128-bit digests instead, so that no task has to sort all of them.
 4. The repeats of a document are merged and cut out of its text.
 """
 
@@ -29,8 +31,9 @@ from sparkqual.plans.durable import durable
 LENGTH = 100
 # Bytes of the grams an anchor is chosen from.
 GRAM = 16
-# Bytes of text a task works on at a time, and of packed runs it holds.
-CHUNK, HELD = 1 << 20, 8 << 20
+# Bytes of text a task works on at a time (each takes about a hundred bytes of memory), bytes of packed
+# runs it holds, and documents it takes from a batch.
+CHUNK, HELD, SOME = 1 << 19, 8 << 20, 500
 # Documents whose runs make up a bucket (expected), and open runs of a sorting group.
 BUCKET_DOCS, GROUP_RUNS = 2000, 4000
 # A bucket of more bytes is worked on row by row instead of in one task.
@@ -70,9 +73,17 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def runs_of(raw: list[bytes], docs: list[int], length: int) -> np.ndarray:
+def overlapping(raw: bytes, length: int) -> list[tuple[int, bytes]]:
+    """(place, bytes) of the parts of a text; each string of `length` bytes is in exactly one."""
+    if len(raw) <= CHUNK:
+        return [(0, raw)]
+    return [(at, raw[at : at + CHUNK + length - 1]) for at in range(0, len(raw) - length + 1, CHUNK)]
+
+
+def runs_of(raw: list[bytes], docs: list[int], length: int, places: list[int] | None = None) -> np.ndarray:
     """Runs of strings of `length` bytes with one anchor: key, fingerprint of all their bytes, document,
-    first start, number of strings, distance from the first start to the anchor."""
+    first start, number of strings, distance from the first start to the anchor. `places` tells where
+    each part of a text begins in it."""
     data = np.frombuffer(b"".join(raw), np.uint8)
     sizes = np.array([len(r) for r in raw], np.int64)
     gram = min(GRAM, length)
@@ -106,6 +117,8 @@ def runs_of(raw: list[bytes], docs: list[int], length: int) -> np.ndarray:
     # Empty documents share a start with the next one; the run belongs to the last that starts there.
     out["key"], out["n"] = least[first], last - first
     out["doc"], out["start"] = np.asarray(docs, np.int64)[number], first - begins[number]
+    if places is not None:
+        out["start"] += np.asarray(places, np.int64)[number]
     powers, backs = _powers_to(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
@@ -151,6 +164,14 @@ def settle(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs[same & later], runs[~same]
 
 
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows as Python values, some at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SOME):
+            some = batch.slice(at, SOME)
+            yield from zip(*(c.to_pylist() for c in some.columns), strict=True)
+
+
 _PACKED = "bucket int, runs binary, repeats boolean"
 
 
@@ -158,25 +179,25 @@ def _pack(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        for batch in batches:
-            raw, docs, fill = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                one = text.encode("utf-8", "replace")
-                if len(one) < length:
-                    continue
-                raw.append(one)
+        raw, docs, places, fill = [], [], [], 0
+        for doc, text in _rows_of(batches):
+            whole = text.encode("utf-8", "replace")
+            if len(whole) < length:
+                continue
+            for place, part in overlapping(whole, length):
+                raw.append(part)
                 docs.append(doc)
-                fill += len(one)
+                places.append(place)
+                fill += len(part)
                 if fill >= CHUNK:
-                    held.append(runs_of(raw, docs, length))
+                    held.append(runs_of(raw, docs, length, places))
                     size += held[-1].nbytes
-                    raw, docs, fill = [], [], 0
-            if raw:
-                held.append(runs_of(raw, docs, length))
-                size += held[-1].nbytes
-            if size >= HELD:
-                yield pack(np.concatenate(held))
-                held, size = [], 0
+                    raw, docs, places, fill = [], [], [], 0
+                if size >= HELD:
+                    yield pack(np.concatenate(held))
+                    held, size = [], 0
+        if raw:
+            held.append(runs_of(raw, docs, length, places))
         if held:
             yield pack(np.concatenate(held))
 
@@ -383,28 +404,40 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return ranges
 
 
+def _kept(text: str, ranges: list) -> tuple[int, int, int, bytes]:
+    """(bytes, removed bytes, spans, kept bytes) of a text."""
+    raw = text.encode("utf-8", "replace")
+    kept, at, removed, spans = [], 0, 0, 0
+    stop = -1
+    for r in sorted(ranges, key=lambda r: r["start"]):
+        if r["start"] > stop:
+            spans += 1
+        if r["start"] > at:
+            kept.append(raw[at : r["start"]])
+        removed += max(0, r["stop"] - max(r["start"], at))
+        at = stop = max(at, r["stop"])
+    kept.append(raw[at:])
+    return len(raw), removed, spans, b"".join(kept)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for doc, text, ranges in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-            raw = text.encode("utf-8", "replace")
-            kept, at, removed, spans = [], 0, 0, 0
-            stop = -1
-            for r in sorted(ranges or (), key=lambda r: r["start"]):
-                if r["start"] > stop:
-                    spans += 1
-                if r["start"] > at:
-                    kept.append(raw[at : r["start"]])
-                removed += max(0, r["stop"] - max(r["start"], at))
-                at = stop = max(at, r["stop"])
-            kept.append(raw[at:])
-            for column, value in zip(out, (doc, len(raw), removed, spans, b"".join(kept)), strict=True):
-                column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(out, kinds, strict=True)],
-            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
-        )
+    kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
+    out: list[tuple] = []
+    size = 0
+
+    def rows() -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds.values(), strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, names=list(kinds))
+
+    for doc, text, ranges in _rows_of(batches):
+        out.append((doc, *_kept(text, ranges or ())))
+        size += out[-1][1] + 100
+        if size >= CHUNK:
+            yield rows()
+            size = 0
+    if out:
+        yield rows()
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
