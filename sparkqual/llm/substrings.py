@@ -46,18 +46,22 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RUN = np.dtype([("key", "<u8"), ("print", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("n", "<i4"), ("lead", "<i4")])
 
 _COLUMNS = {"key": "<u8", "print": "<u8", "doc": "<i8", "start": "<u4", "n": "<u2", "lead": "<u2"}
-_WIDTH = sum(np.dtype(t).itemsize for t in _COLUMNS.values())
+# Where strings are short, a byte does for the last two.
+_NARROW = _COLUMNS | {"n": "<u1", "lead": "<u1"}
 
 
 def dump(runs: np.ndarray) -> bytes:
     """Runs as bytes. Texts are shorter than 4 GB, and runs no longer than a string."""
-    return b"".join(runs[c].astype(t).tobytes() for c, t in _COLUMNS.items())
+    narrow = int(max(runs["n"].max(initial=0), runs["lead"].max(initial=0)) < 256)
+    columns = _NARROW if narrow else _COLUMNS
+    return bytes([narrow]) + b"".join(runs[c].astype(t).tobytes() for c, t in columns.items())
 
 
 def load(packed: bytes) -> np.ndarray:
-    n, at = len(packed) // _WIDTH, 0
+    columns = _NARROW if packed[0] else _COLUMNS
+    n, at = (len(packed) - 1) // sum(np.dtype(t).itemsize for t in columns.values()), 1
     runs = np.zeros(n, _RUN)
-    for c, t in _COLUMNS.items():
+    for c, t in columns.items():
         runs[c] = np.frombuffer(packed, t, n, at)
         at += n * np.dtype(t).itemsize
     return runs

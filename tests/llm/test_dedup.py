@@ -210,7 +210,7 @@ def cut_cases(prose):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("way", ["packed", "by row", "by string", "small chunks"])
+@pytest.mark.parametrize("way", ["packed", "by row", "by string", "small chunks", "cut texts"])
 def test_remove_repeats(docs_of, prose, monkeypatch, way):
     if way == "by row":
         monkeypatch.setattr(substrings, "BUCKET_BYTES", 0)
@@ -219,11 +219,23 @@ def test_remove_repeats(docs_of, prose, monkeypatch, way):
     if way == "small chunks":
         for name in ("BUCKET_DOCS", "GROUP_RUNS"):
             monkeypatch.setattr(substrings, name, 2)
+    if way == "cut texts":
+        monkeypatch.setattr(substrings, "CHUNK", 333)
+        monkeypatch.setattr(substrings, "SOME", 3)
     rows = cut_cases(prose)
     found = substrings.remove_repeats(docs_of(rows[::-1])).collect()
     assert {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in found} == brute_cut(rows, 100)
 
 
+def test_texts_are_cut_without_loss():
+    raw = bytes(range(256)) * 9000
+    parts = substrings.overlapping(raw, 100)
+    assert max(len(p) for _, p in parts) < substrings.CHUNK + 100
+    starts = [at + k for at, p in parts for k in range(len(p) - 99)]
+    assert starts == list(range(len(raw) - 99))
+    assert all(raw[at : at + len(p)] == p for at, p in parts)
+
+
 @pytest.mark.parametrize("length", [7, 20, 33])
 def test_other_lengths(docs_of, prose, length):
     rows = [(k, t[:200] if t else t) for k, t in cut_cases(prose)]
@@ -239,3 +251,15 @@ def test_repeated_and_null_ids(docs_of, prose):
     assert {r[2] for r in found if r[0] in (1, 3, None)} == {0}
     assert [r[2] for r in found if r[0] == 2] == [len(a)]
     assert substrings.remove_repeats(docs_of([])).collect() == []
+
+
+@pytest.mark.parametrize("top", [1, 85, 255, 256, 40_000])
+def test_runs_are_packed_and_unpacked(top):
+    rng = np.random.default_rng(top)
+    runs = np.zeros(50, substrings._RUN)
+    for column in ("key", "print"):
+        runs[column] = rng.integers(0, 2**63, 50)
+    runs["doc"], runs["start"] = rng.integers(-(2**63), 2**63 - 1, 50), rng.integers(0, 2**31, 50)
+    runs["n"], runs["lead"] = rng.integers(0, top + 1, 50), rng.integers(0, top + 1, 50)
+    assert (substrings.load(substrings.dump(runs)) == runs).all()
+    assert len(substrings.load(substrings.dump(runs[:0]))) == 0
