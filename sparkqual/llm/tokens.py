@@ -11,17 +11,26 @@ from __future__ import annotations
 import gc
 import os
 import re
+from array import array
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 
-# Entries of one worker's cache; beyond it the cache starts anew.
-CACHE = 1_200_000
+# Chunks and words that a worker keeps (about 200 bytes each). The first ones are kept, as most of what
+# comes later comes once; where more than this share of chunks is unknown, the cache starts anew.
+CACHE, UNKNOWN = 500_000, 0.3
 
 _LATIN = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ɏ]*")
 _LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
+# Bytes as the characters that byte-level vocabularies write them with: printable ones stand for themselves,
+# the others follow from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_HIDDEN = [b for b in range(256) if b not in _PRINTED]
+_BYTES = {b: b for b in _PRINTED} | {b: 256 + n for n, b in enumerate(_HIDDEN)}
 _WORDS = re.compile(rf" ?[{_LATIN}]+| ?[0-9]+| ?[.,;:!?]+|\n(?!\n)")
+_LETTERS = re.compile(rf" ?[{_LATIN}]+")
 
 
 class Encoder:
@@ -37,23 +46,42 @@ class Encoder:
         self.whole: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.unknown = 0.0
 
     def _library(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(c.ids, "<u4").tobytes() for c in coded]
 
+    def _model(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters (perhaps after a space), which no rule before the model changes or splits."""
+        tokenize, space = self.tokenizer.model.tokenize, chr(_BYTES[ord(" ")])
+        written = [
+            w.replace(" ", space) if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in words
+        ]
+        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in written]
+
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks; where a chunk is made of plain words, each word is coded once."""
-        if self.lower:
-            return self._library(chunks)
-        parts = []
+        plain = [c for c in chunks if _LETTERS.fullmatch(c)]
+        ids = dict(zip(plain, self._model(plain), strict=True))
+        parts = {}
         for chunk in chunks:
-            found = _WORDS.findall(chunk)
-            parts.append(found if sum(map(len, found)) == len(chunk) else [chunk])
-        words = self.words
-        missing = list({w for found in parts for w in found if w not in words})
-        words.update(zip(missing, self._library(missing), strict=True))
-        return [b"".join([words[w] for w in found]) for found in parts]
+            if chunk not in ids:
+                found = _WORDS.findall(chunk)
+                parts[chunk] = found if sum(map(len, found)) == len(chunk) else [chunk]
+        words = {w: self.words.get(w) for found in parts.values() for w in found}
+        missing = [w for w, known in words.items() if known is None]
+        letters = [w for w in missing if _LETTERS.fullmatch(w)]
+        others = [w for w in missing if not _LETTERS.fullmatch(w)]
+        coded = dict(zip(letters + others, self._model(letters) + self._library(others), strict=True))
+        words.update(coded)
+        self._keep(self.words, coded)
+        ids.update((chunk, b"".join([words[w] for w in found])) for chunk, found in parts.items())
+        return [ids[c] for c in chunks]
+
+    def _keep(self, cache: dict[str, bytes], coded: dict[str, bytes]) -> None:
+        room = CACHE - len(self.whole) - len(self.spaced) - len(self.words)
+        cache.update(coded if len(coded) <= room else islice(coded.items(), max(0, room)))
 
     def _split(self, text: str) -> list[str] | None:
         """Chunks that are coded alike wherever they stand, or None if the text has none."""
@@ -65,7 +93,7 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.spaced) + len(self.words) > CACHE:
+        if self.unknown > UNKNOWN and len(self.whole) + len(self.spaced) + len(self.words) >= CACHE:
             self.whole, self.spaced, self.words = {}, {}, {}
         collect = gc.isenabled()
         gc.disable()  # the cache holds no cycles, and searching it for some takes long
@@ -94,13 +122,16 @@ class Encoder:
                 new.update([chunks[k] for k in missing[found[0] is None and not self.lower :]])
             coded.append(found)
             gaps.append(missing)
+        fresh = []
         for words, cache, before in ((list(first), self.whole, ""), (list(new), main, space)):
-            cache.update(zip(words, self._chunks([before + w for w in words]), strict=True))
+            fresh.append(dict(zip(words, self._chunks([before + w for w in words]), strict=True)))
+            self._keep(cache, fresh[-1])
         out = []
         for n, (chunks, found, missing) in enumerate(zip(split, coded, gaps, strict=True)):
             for k in missing:
-                found[k] = (main if k or self.lower else self.whole)[chunks[k]]
+                found[k] = fresh[1 if k or self.lower else 0][chunks[k]]
             out.append(odd_ids[n] if chunks is None else b"".join(found))
+        self.unknown = sum(map(len, gaps)) / max(1, sum(map(len, coded)))
         return out
 
 

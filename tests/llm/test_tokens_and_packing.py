@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from sparkqual.llm import packing, range_coder, token_files
+from sparkqual.llm import packing, range_coder, token_files, tokens
 from sparkqual.llm.tokens import Encoder
 
 ODD = [
@@ -144,29 +144,72 @@ def test_range_coder_learns_and_checks():
 def test_blocks_are_independent():
     a, b = (np.random.default_rng(k).integers(0, 60, 1024).astype("<u4") for k in (1, 2))
     alone, both = range_coder.encode(b), range_coder.encode(np.concatenate([a, b]))
-    assert alone[14 + 12 :] == both[-len(alone[14 + 12 :]) :]
+    assert alone[14 + 16 :] == both[-len(alone[14 + 16 :]) :]
 
 
-def test_token_files(spark, docs_of, prose, monkeypatch):
-    monkeypatch.setattr(token_files, "PART_DOCS", 4)
-    rows = [(k * 3, t) for k, t in enumerate([None, *ODD, prose(3000, 1), prose(10, 2)])]
-    path = token_files.new_folder(spark)
-    token_files.write(docs_of(rows[::-1] + [(6, "again")]), path)
-    found = sorted((tuple(r) for r in token_files.read(spark, path).collect()), key=lambda r: r[1])
-    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    at = 0
-    for doc, start, ids in found:
-        assert start == at
-        at += len(ids) // 4
-    assert [r[0] for r in found] == sorted(r[0] for r in found)
-    by_id = {r[0]: bytes(r[2]) for r in found if r[0] != 6}
-    for doc, text in rows:
-        if doc != 6:
-            want = np.array([*library.encode(text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
-            assert zlib.crc32(by_id[doc]) == zlib.crc32(want)
-
-
-def test_token_files_of_nothing(spark, docs_of):
+def every_change(data, read):
+    """Every byte changed in two ways, and every end cut off, is told as damage."""
+    for at in range(len(data)):
+        for flip in (0x01, 0xFF):
+            broken = bytearray(data)
+            broken[at] ^= flip
+            with pytest.raises(ValueError):
+                read(bytes(broken))
+        with pytest.raises(ValueError):
+            read(data[:at])
+
+
+def test_no_damage_goes_unseen():
+    every_change(token_files.segment([(1, b"\0\0\0\0")]), token_files.read_segment)
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 30, 120):
+        every_change(range_coder.encode(rng.integers(0, 9, n).astype("<u4")), range_coder.decode)
+    data = token_files.segment([(None, b"\7\0\0\0" * 1100), (-(1 << 63), b"\1\0\0\0" * 1000)])
+    for at in range(0, len(data), 7):
+        broken = bytearray(data)
+        broken[at] ^= 0x10
+        with pytest.raises(ValueError):
+            token_files.read_segment(bytes(broken))
+
+
+def test_damaged_code_ends(monkeypatch):
+    """Also without checksums of the code, the decoder ends: with an error, or with ids whose checksum fails."""
+    monkeypatch.setattr(range_coder.zlib, "crc32", lambda *_: 0)
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 40, 1500):
+        ids = rng.integers(0, 9, n).astype("<u4")
+        data = range_coder.encode(ids)
+        begin = 14 + 16 * -(-n // range_coder.BLOCK)
+        for at in range(begin, len(data), max(1, n // 40)):
+            for flip in (0x01, 0x80, 0xFF):
+                broken = bytearray(data)
+                broken[at] ^= flip
+                try:
+                    range_coder.decode(bytes(broken))
+                except ValueError:
+                    pass
+
+
+def test_least_and_null_ids_differ(spark, docs_of):
     path = token_files.new_folder(spark)
-    token_files.write(docs_of([]), path)
-    assert token_files.read(spark, path).count() == 0
+    token_files.write(docs_of([(None, "none"), (-(1 << 63), "least"), (0, "zero")]), path)
+    found = sorted((r["start"], r["doc_id"]) for r in token_files.read(spark, path).collect())
+    assert [d for _, d in found] == [None, -(1 << 63), 0]
+
+
+def test_cache_is_bounded_and_follows_the_texts(monkeypatch, prose):
+    monkeypatch.setattr(tokens, "CACHE", 150)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        library = Tokenizer.from_file(public_tokenizers.path(name))
+        code = tokens.Encoder(name)
+        for seed in range(12):
+            texts = [prose(60, seed + k, 2000) + ". Foo, bar" for k in range(3)]
+            want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+            assert code.ids(texts) == want
+            assert len(code.whole) + len(code.spaced) + len(code.words) <= 150
+        # Texts of other words push out what is kept.
+        texts = [f"{prose(30, 99, 50)} {k}" for k in range(3)]
+        for _ in range(2):
+            code.ids(["änders Ümlaute çedille naïve " * 3])
+            code.ids(texts)
+        assert code.unknown < 0.3
