@@ -8,9 +8,9 @@ with the highest sum of scores less a penalty for each change of language.
 from __future__ import annotations
 
 import re
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +45,34 @@ _STARTS = np.array([s for s, _ in SCRIPTS])
 _NAMES = sorted({name for _, name in SCRIPTS})
 _SCRIPT = np.array([_NAMES.index(name) for _, name in SCRIPTS])
 
-# Numerals such as a half or a superscript two are word characters, but no letters.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha())
-_WORD = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_RUN = re.compile(r"[^\W\d_]+")
 _EDGE = "\x02"
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters."""
+    found = _RUN.findall(text)
+    # Numerals such as a half or a superscript two are word characters, but no letters.
+    if not all(map(str.isalpha, found)):
+        found = [w for run in found for w in ([run] if run.isalpha() else _letters(run))]
+    return found
+
+
+def _letters(run: str) -> list[str]:
+    return ["".join(g) for is_letter, g in groupby(run, str.isalpha) if is_letter]
+
+
+def places_of(text: str) -> Iterator[tuple[int, int]]:
+    """(first, after the last) code point of each of `words_of(text)`."""
+    for run in _RUN.finditer(text):
+        at = run.start()
+        for is_letter, g in groupby(run[0], str.isalpha):
+            n = sum(1 for _ in g)
+            if is_letter:
+                yield at, at + n
+            at += n
+
+
 def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(slots of all trigrams, first trigram of each word, script of each word's first letter)."""
     joined = _EDGE + _EDGE.join(words) + _EDGE
@@ -74,7 +96,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scripts: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = _WORD.findall(text.lower())
+            words = words_of(text.lower())
             if not words:
                 continue
             slots, _, script = _trigrams(words)
@@ -264,7 +286,7 @@ def detect(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
             return [("und", 0.0, [])] * len(found)
         if len(scorer.at) > CACHE:
             scorer.reset()
-        split = [_WORD.findall(t.lower()) for t in found]
+        split = [words_of(t.lower()) for t in found]
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         words = [w for ws in split for w in ws]
         if not words:
@@ -286,10 +308,10 @@ def detect(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     def spans_of(text: str, path: np.ndarray, names: list[str]) -> list[dict]:
         changes = np.flatnonzero(np.diff(path)) + 1
         if not len(changes):
-            start = _WORD.search(text).start()
-            end = len(text) - next(k for k, c in enumerate(reversed(text)) if _WORD.fullmatch(c))
+            start = next(places_of(text))[0]
+            end = len(text) - next(k for k, c in enumerate(reversed(text)) if c.isalpha())
             return [{"start": start, "end": end, "lang": names[path[0]]}]
-        places = [m.span() for m in _WORD.finditer(text)]
+        places = list(places_of(text))
         firsts = [0, *changes.tolist()]
         lasts = [*(changes - 1).tolist(), len(path) - 1]
         # Lower-casing can split a word in rare scripts; the last place then stands for the rest.
