@@ -478,6 +478,32 @@ def test_prediction_keeps_rows_and_learns(spark):
         learn.prepare(spark.range(500).withColumn("t", F.col("id")), "t")
 
 
+def test_fits_share_out_the_rows(spark, monkeypatch):
+    """No task of a fit holds more than its share of the rows, however few files they are stored in."""
+    held = []
+
+    class Seen(Exception):
+        pass
+
+    def watched(self, rows):
+        held.append(rows.select("_features", "_label").rdd.mapPartitions(lambda r: [sum(1 for _ in r)]).collect())
+        raise Seen
+
+    monkeypatch.setattr(learn.RandomForestClassifier, "fit", watched)
+    monkeypatch.setattr(learn, "TASK_BYTES", 40 * (200 + 2 * 8 + 4 * 50), raising=False)
+    data = [(i % 50, "u" if i % 2 else "v", "hi" if i % 50 > 25 else "lo") for i in range(400)]
+    df = spark.createDataFrame(data, "n int, w string, target string").coalesce(1)
+    for run in (
+        lambda: learn.feature_importance(df, "target", trees=50),
+        lambda: learn.predict(df, "target"),
+        lambda: learn.compare_models(df, "target", names=["RandomForest_Classifier"]),
+    ):
+        with pytest.raises(Seen):
+            run()
+    assert sum(held[0]) == sum(held[1]) == sum(held[2]) > 250
+    assert max(held[0]) <= 45 and max(held[1] + held[2]) <= 65
+
+
 def test_report_for_one_term(spark):
     df = spark.createDataFrame([(1.0,), (None,), (5.0,)], "p double")
     got = {r["item"]: r["value"] for r in reports.report(df, {"Price": "p"}, {"Price": ["ValueStatistics"]}).collect()}
