@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from sparkqual.llm.tables import texts
+from sparkqual.llm.workers import enter
 
 # Documents of each language a model is fitted on (expected; all of a language that has fewer).
 SAMPLE = 3000
@@ -92,6 +93,7 @@ def _trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, slot, n, script) of a task's texts; a slot of -1 counts letters of a script."""
+    enter("language.train")
     total: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -269,6 +271,7 @@ def detect(docs: DataFrame, model: Model, switch: float = SWITCH) -> DataFrame:
     item = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("language.detect")
         scorer = Scorer(model)
         for batch in batches:
             for k, n in _parts(pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False)):

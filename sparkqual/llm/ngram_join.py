@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sparkqual.llm.components import components
 from sparkqual.llm.shingles import mix, shingle_sets
 from sparkqual.llm.tables import stored, texts
+from sparkqual.llm.workers import enter
 from sparkqual.plans.durable import durable
 
 # Words of the bitmap that bounds differences; sets of more than LONG shingles have a longer one too.
@@ -77,6 +78,7 @@ def shingle_counts(docs: DataFrame, width: int) -> np.ndarray:
     shift = np.uint64(64 - slots.bit_length() + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngram_join.counts")
         total = np.zeros(slots, np.int32)
         for batch in batches:
             for _, found in _sets(batch, 0, width):
@@ -126,6 +128,7 @@ def summaries(docs: DataFrame, width: int, percent: int) -> DataFrame:
         return s[np.argsort(rank, kind="stable")[:size]].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngram_join.summaries")
         for batch in batches:
             for k, found in _sets(batch, 1, width):
                 maps = np.stack([_bitmap(s, BITMAP) for s in found])
@@ -230,6 +233,7 @@ def similar_to(query: np.ndarray, candidates: list[np.ndarray], percent: int) ->
 
 def _decide(percent: int):
     def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
+        enter("ngram_join.decide")
         held = {k: np.asarray(s, np.int64) for k, s in zip(sets["class"], sets["shingles"], strict=True)}
         found = []
         for q, group in pairs.groupby("q", sort=False):
@@ -246,6 +250,7 @@ def _set_table(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(class, shingles) of the classes in `wanted` (class, doc_id), from their documents' texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("ngram_join.sets")
         for batch in batches:
             for k, found in _sets(batch, 1, width):
                 ends = np.cumsum([0, *map(len, found)]).astype(np.int32)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sparkqual.llm.tables import texts
+from sparkqual.llm.workers import enter
 
 KINDS = ("assign", "access", "hex", "markov")
 # Characters a token can have; 0 stands for any other, thus for a token's end.
@@ -152,6 +153,7 @@ def scan(docs: DataFrame, ratio: np.ndarray | None = None, threshold: float = TH
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("secrets.scan")
         for batch in batches:
             found = [
                 [{"kind": k, "start": a, "end": b} for k, a, b, _ in spans_of(t, ratio, threshold)]
@@ -183,6 +185,7 @@ def redact(docs: DataFrame, mask: str = "[secret]", ratio: np.ndarray | None = N
         return "".join([*parts, text[at:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("secrets.redact")
         for batch in batches:
             at = batch.schema.get_field_index("text")
             was = batch.column(at).to_pylist()

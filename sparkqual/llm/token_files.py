@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from sparkqual.llm.range_coder import decode, encode
 from sparkqual.llm.tables import texts
 from sparkqual.llm.tokens import encoder
+from sparkqual.llm.workers import enter
 from sparkqual.plans.durable import checkpoint_root
 
 # Tokens of a segment (one document more at most), documents of a part (expected).
@@ -115,6 +116,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("token_files.read")
         for batch in batches:
             for first, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 docs, null, tokens, ids = read_segment(data.as_py())

@@ -17,6 +17,8 @@ from itertools import islice
 import numpy as np
 import public_tokenizers
 
+from sparkqual.llm.workers import kept
+
 # Chunks and words that a worker keeps (about 200 bytes each). The first ones are kept, as most of what
 # comes later comes once; where more than this share of chunks is unknown, the cache starts anew.
 CACHE, UNKNOWN = 500_000, 0.3
@@ -135,11 +137,6 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(name: str) -> Encoder:
-    """One encoder for each worker process."""
-    if name not in _encoders:
-        _encoders[name] = Encoder(name)
-    return _encoders[name]
+    """A worker process's encoder, with its cache, until the worker runs another step."""
+    return kept(f"encoder {name}", lambda: Encoder(name))

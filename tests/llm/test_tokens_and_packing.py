@@ -1,15 +1,17 @@
 from __future__ import annotations
 
+import weakref
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from sparkqual.llm import packing, range_coder, token_files, tokens
+from sparkqual.llm import language, ngram_join, packing, range_coder, token_files, tokens
 from sparkqual.llm.tokens import Encoder
 
 ODD = [
@@ -213,3 +215,17 @@ def test_cache_is_bounded_and_follows_the_texts(monkeypatch, prose):
             code.ids(["änders Ümlaute çedille naïve " * 3])
             code.ids(texts)
         assert code.unknown < 0.3
+
+
+def test_a_worker_keeps_one_steps_tables():
+    """Workers are used again: a later step finds no memory taken by an earlier step's encoder."""
+    code = tokens.encoder("word_bpe_49k.json")
+    assert tokens.encoder("word_bpe_49k.json") is code
+    left = weakref.ref(code)
+    del code
+    list(language._count(iter([])))
+    assert left() is None
+    left = weakref.ref(tokens.encoder("byte_bpe_50k.json"))
+    assert left() is tokens.encoder("byte_bpe_50k.json")
+    ngram_join._decide(80)(pd.DataFrame({"q": [], "c": [], "apart": []}), pd.DataFrame({"class": [], "shingles": []}))
+    assert left() is None
