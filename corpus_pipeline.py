@@ -1,7 +1,8 @@
 """A training corpus from raw documents: five stages, each on all that its predecessor kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and
-reread as the next one's `docs`. All but the last return the columns of documents.
+reread as the next one's `docs`. All but the last return the columns of documents. Stages with steps in
+Python set the session's limit of bytes in a batch, if it has none: their results are read after they return.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sparkqual.llm import decontaminate, language, ngram_join, packing, secrets
 from sparkqual.llm.tables import free_name, held_out, table
+from sparkqual.llm.workers import small_batches
 from sparkqual.plans.durable import durable
 
 # A document is kept if this share of its letters is in one language.
@@ -32,6 +34,7 @@ def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Scores are learned from the labelled documents that are not held out.
     """
+    small_batches(spark)
     model = language.train(docs.filter(~held_out()))
     name = free_name(docs, "_key")
     keyed = docs.withColumn(name, _key())
@@ -53,6 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows with a null id take no part and stay; of rows with the kept id, all with that id stay but
     repeated texts, which count once.
     """
+    small_batches(spark)
     found = ngram_join.ngram_join(docs, SHINGLE, SIMILAR)
     name, text = free_name(docs, "_key"), free_name(docs, "_text")
     gone = durable(found.filter("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct())
@@ -73,11 +77,13 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps all documents, with every secret replaced by `[secret]`."""
+    small_batches(spark)
     return secrets.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens."""
+    small_batches(spark)
     pieces = packing.pack(docs)
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"

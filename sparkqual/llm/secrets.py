@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ THRESHOLD = 12.0
 # Every character counts as seen this often by either model, and a character's successors are
 # smoothed with this many that follow the model's shares of all characters.
 PRIOR, SMOOTHING = 0.5, 20.0
+# Texts that a worker holds as strings at once; results leave it in batches of as many.
+_TEXTS = 200
 
 _STATE = np.zeros(256, np.int64)
 _STATE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, STATES)
@@ -66,13 +69,18 @@ def _pairs(text: str) -> np.ndarray:
     return np.bincount(states[:-1] * STATES + states[1:], minlength=STATES * STATES)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(k, _TEXTS) for k in range(0, batch.num_rows, _TEXTS))
+
+
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(pair, random, ordinary) of a task's texts."""
+    enter("secrets.train")
     random, ordinary = np.zeros(STATES * STATES, np.int64), np.zeros(STATES * STATES, np.int64)
     for batch in batches:
-        for k in range(0, batch.num_rows, 200):
+        for part in _slices(batch):
             rest, values = [], []
-            for text in batch.column(0).slice(k, 200).to_pylist():
+            for text in part.column(0).to_pylist():
                 spans, at = base_spans(text), 0
                 for _, start, end, value in spans:
                     rest.append(text[at : max(at, start)])
@@ -154,7 +162,7 @@ def scan(docs: DataFrame, ratio: np.ndarray | None = None, threshold: float = TH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("secrets.scan")
-        for batch in batches:
+        for batch in chain.from_iterable(map(_slices, batches)):
             found = [
                 [{"kind": k, "start": a, "end": b} for k, a, b, _ in spans_of(t, ratio, threshold)]
                 for t in batch.column(1).to_pylist()
@@ -186,7 +194,7 @@ def redact(docs: DataFrame, mask: str = "[secret]", ratio: np.ndarray | None = N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enter("secrets.redact")
-        for batch in batches:
+        for batch in chain.from_iterable(map(_slices, batches)):
             at = batch.schema.get_field_index("text")
             was = batch.column(at).to_pylist()
             now = [clean(t) for t in was]

@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from test_dedup import brute_components, edited
 from test_texts import ENGLISH, GERMAN, brute_leaks, plain_spans, shuffled
@@ -13,6 +14,7 @@ from test_tokens_and_packing import check_packed
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from sparkqual.llm import secrets
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +89,29 @@ def test_nothing_left(spark, corpus, tmp_path):
     spark.createDataFrame([(1, None, None, None, None, None, None)], schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_workers_get_and_give_few_texts_at_once(spark, docs_of):
+    """Neither an executor nor its workers hold the texts of a whole task."""
+    text = "word " * 1000
+    docs = docs_of([(k, text) for k in range(1500)]).coalesce(1)
+    stage = dict(corpus_pipeline.STAGES)
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit, None)
+    try:
+        spark.conf.unset(limit)
+        assert stage["secrets"](spark, docs, "").count() == 1500
+        got = [r["n"] for r in docs.mapInArrow(rows, "n long").collect()]
+        assert sum(got) == 1500 and max(got) * len(text) < 4 << 20
+        spark.conf.set(limit, "64m")
+        given = [r["n"] for r in secrets.redact(docs).mapInArrow(rows, "n long").collect()]
+        assert sum(given) == 1500
+        stage["secrets"](spark, docs, "")
+        assert spark.conf.get(limit) == "64m"
+    finally:
+        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)

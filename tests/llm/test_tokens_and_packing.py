@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from sparkqual.llm import language, ngram_join, packing, range_coder, token_files, tokens
+from sparkqual.llm import language, ngram_join, packing, range_coder, secrets, token_files, tokens
 from sparkqual.llm.tokens import Encoder
 
 ODD = [
@@ -229,3 +229,6 @@ def test_a_worker_keeps_one_steps_tables():
     assert left() is tokens.encoder("byte_bpe_50k.json")
     ngram_join._decide(80)(pd.DataFrame({"q": [], "c": [], "apart": []}), pd.DataFrame({"class": [], "shingles": []}))
     assert left() is None
+    left = weakref.ref(tokens.encoder("byte_bpe_50k.json"))
+    list(secrets._pair_counts(iter([])))
+    assert left() is None
