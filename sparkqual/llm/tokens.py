@@ -11,8 +11,8 @@ from __future__ import annotations
 import gc
 import os
 import re
-from array import array
-from itertools import islice
+from itertools import accumulate, chain, islice, pairwise
+from operator import attrgetter
 
 import numpy as np
 import public_tokenizers
@@ -25,6 +25,13 @@ CACHE, UNKNOWN = 500_000, 0.3
 
 _LATIN = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ɏ]*")
+# What a lower-casing vocabulary splits such a text into, once lower-cased (letters may leave the range above).
+_OTHER = r"\x00-\x40\x5b-\x60\x7b-©«-´¶-¹»-¿×÷"
+_PIECES = re.compile(rf"[^{_OTHER}]+|'(?:[stmd]|re|ve|ll)|[0-9²³¹¼-¾]|[!-/:-@\[-`{{-~¡-©«-±´¶-¸»¿×÷]+")
+# The kind of each character up to U+00FF: space, letter, digit, mark.
+_KINDS = np.array(
+    [0 if chr(c).isspace() else 1 if chr(c).isalpha() else 2 if chr(c).isnumeric() else 3 for c in range(256)], np.uint8
+)
 _LOOSE_SPACE = re.compile(r" (?=\s|\Z)")
 # Bytes as the characters that byte-level vocabularies write them with: printable ones stand for themselves,
 # the others follow from 256 on.
@@ -33,6 +40,26 @@ _HIDDEN = [b for b in range(256) if b not in _PRINTED]
 _BYTES = {b: b for b in _PRINTED} | {b: 256 + n for n, b in enumerate(_HIDDEN)}
 _WORDS = re.compile(rf" ?[{_LATIN}]+| ?[0-9]+| ?[.,;:!?]+|\n(?!\n)")
 _LETTERS = re.compile(rf" ?[{_LATIN}]+")
+_ID = attrgetter("id")
+
+
+def _pieces(text: str) -> list[str]:
+    """The pieces of a lower-cased text."""
+    try:
+        raw = np.frombuffer(text.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        return _PIECES.findall(text)
+    if len(raw) < 2 or "'" in text:
+        return _PIECES.findall(text)
+    # A space where the kind changes and before each digit; what is between spaces is a piece.
+    kinds = _KINDS.take(raw)
+    edge = kinds[1:] != kinds[:-1]
+    edge |= kinds[1:] == 2
+    place = np.arange(len(raw))
+    place[1:] += np.cumsum(edge)
+    spaced = np.full(int(place[-1]) + 1, ord(" "), np.uint8)
+    spaced[place] = raw
+    return spaced.tobytes().decode("latin-1").split()
 
 
 class Encoder:
@@ -60,7 +87,10 @@ class Encoder:
         written = [
             w.replace(" ", space) if w.isascii() else w.encode().decode("latin-1").translate(_BYTES) for w in words
         ]
-        return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in written]
+        tokens = list(map(tokenize, written))
+        ids = np.fromiter(map(_ID, chain.from_iterable(tokens)), "<u4").tobytes()
+        ends = [0, *accumulate(4 * len(t) for t in tokens)]
+        return [ids[a:b] for a, b in pairwise(ends)]
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks; where a chunk is made of plain words, each word is coded once."""
@@ -90,7 +120,7 @@ class Encoder:
         if "<|" in text or not _PLAIN.fullmatch(text):
             return None
         if self.lower:
-            return text.lower().split()
+            return _pieces(text.lower())
         return None if _LOOSE_SPACE.search(text) else text.split(" ")
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -119,7 +149,7 @@ class Encoder:
                 found[0] = self.whole.get(chunks[0])
                 if found[0] is None:
                     first.add(chunks[0])
-            missing = [k for k, ids in enumerate(found) if ids is None] if None in found else []
+            missing = [] if all(found) else [k for k, ids in enumerate(found) if ids is None]
             if missing:
                 new.update([chunks[k] for k in missing[found[0] is None and not self.lower :]])
             coded.append(found)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 import weakref
 import zlib
 from collections import defaultdict
@@ -232,3 +233,51 @@ def test_a_worker_keeps_one_steps_tables():
     left = weakref.ref(tokens.encoder("byte_bpe_50k.json"))
     list(secrets._pair_counts(iter([])))
     assert left() is None
+
+
+def test_coding_an_id_takes_little_work():
+    """Both ways together cost at most a few compressions of the same ids (six and more of them before)."""
+    rng = np.random.default_rng(7)
+    ids = np.minimum(rng.zipf(1.2, 1 << 20), 40_000).astype("<u4")
+    work, raw = [], ids.tobytes()
+
+    def seconds(run):
+        begin = time.process_time()
+        run()
+        return time.process_time() - begin
+
+    for _ in range(3):
+        coder = seconds(lambda: range_coder.decode(range_coder.encode(ids)))
+        work.append(coder / seconds(lambda: zlib.compress(raw, 6)))
+    assert min(work) < 4
+
+
+def test_ids_wider_than_a_word_and_many_blocks(monkeypatch):
+    monkeypatch.setattr(range_coder, "LANES", 3)
+    rng = np.random.default_rng(8)
+    for top in (1, 200, 70_000, (1 << 32) - 1):
+        for n in (range_coder.BLOCK * 3, range_coder.BLOCK * 7 + 5):
+            ids = rng.integers(0, top, n, endpoint=True).astype("<u4")
+            ids[::2] = ids[0]
+            assert np.array_equal(range_coder.decode(range_coder.encode(ids)), ids)
+
+
+def test_marks_beside_known_words_are_not_coded_anew(monkeypatch):
+    """A lower-casing vocabulary codes words and runs of marks once, however they are joined."""
+    code, asked = Encoder("word_bpe_49k.json"), []
+    model, library = code._model, code._library
+    monkeypatch.setattr(code, "_model", lambda words: asked.extend(words) or model(words))
+    monkeypatch.setattr(code, "_library", lambda words: asked.extend(words) or library(words))
+    code.ids(["alpha beta *** ### 7"])
+    del asked[:]
+    text = "alpha*** (beta) ###alpha 7beta### Alpha###7***"
+    assert code.ids([text]) == [np.array(code.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()]
+    assert sorted(asked) == ["(", ")"]
+
+
+def test_pieces_follow_the_library():
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    marks = [chr(c) for c in range(0x20, 0x250) if tokens._PLAIN.fullmatch(chr(c))]
+    found = [f"a{m}b{m}{m}!{m}7{m}Z{m}" for m in marks] + ["it's 'tis x''s !'re we'll'd 12½ ȺƏ's ½''ve"]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in found]
+    assert Encoder("word_bpe_49k.json").ids(found) == want
