@@ -119,16 +119,21 @@ class _Reader:
 
 def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number, new) of each id in its row: ids are numbered in the order they first occur."""
-    rows = np.arange(len(ids))[:, None]
-    order = np.argsort(ids, axis=1, kind="stable")
-    ranked = ids[rows, order]
-    head = np.ones(ids.shape, bool)
-    head[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
-    place = np.maximum.accumulate(np.where(head, np.arange(ids.shape[1]), 0), axis=1)
-    first = np.empty(ids.shape, np.int64)
-    first[rows, order] = order[rows, place]
-    new = first == np.arange(ids.shape[1])
-    return (np.cumsum(new, axis=1) - 1)[rows, first], new
+    numbers, new = np.empty(ids.shape, np.int16), np.empty(ids.shape, bool)
+    steps = np.arange(ids.shape[1])
+    for k in range(0, len(ids), 64):  # some rows at a time stay near the processor
+        some = ids[k : k + 64]
+        order = np.argsort(some, axis=1, kind="stable")
+        ranked = np.take_along_axis(some, order, axis=1)
+        head = np.ones(some.shape, bool)
+        head[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+        first = np.empty(some.shape, np.int64)
+        place = np.maximum.accumulate(np.where(head, steps, 0), axis=1)
+        np.put_along_axis(first, order, np.take_along_axis(order, place, axis=1), axis=1)
+        new[k : k + 64] = first == steps
+        seen = np.cumsum(new[k : k + 64], axis=1, dtype=np.int16) - np.int16(1)
+        numbers[k : k + 64] = np.take_along_axis(seen, first, axis=1)
+    return numbers, new
 
 
 def _run(coder: _Writer | _Reader, lengths: np.ndarray, numbers: np.ndarray, new: np.ndarray | None) -> np.ndarray:
@@ -164,8 +169,8 @@ def _run(coder: _Writer | _Reader, lengths: np.ndarray, numbers: np.ndarray, new
             at = coder.target(slice(n), total, unit)
             kind = np.bitwise_count((at * _ONES + _GUARDS - sums) & _FIRST_GUARDS).astype(np.int64)
         else:
-            number = numbers[t, :n]
-            kind = 2 + new[t, :n]
+            number = numbers[t, :n].astype(np.int64)
+            kind = 2 + new[t, :n].astype(np.int64)
             kind[(guess1 == number) & (level1 > 0)] = 1
             kind[(guess2 == number) & (level2 > 0)] = 0
         shift = kind << 4
@@ -173,8 +178,7 @@ def _run(coder: _Writer | _Reader, lengths: np.ndarray, numbers: np.ndarray, new
         coder.interval(slice(n), ((sums >> shift) & 0xFFFF) - width, width, unit)
         seen, rest = np.flatnonzero(kind == 2), np.flatnonzero(kind > 1)
         if new is None:
-            number = numbers[t, :n]
-            np.copyto(number, np.where(kind == 0, guess2, np.where(kind == 1, guess1, used[:n])))
+            number = np.where(kind == 0, guess2, np.where(kind == 1, guess1, used[:n]))
         if len(seen):
             counted = tally[seen]
             unit = np.floor(coder.range[seen] / counted)
@@ -183,6 +187,8 @@ def _run(coder: _Writer | _Reader, lengths: np.ndarray, numbers: np.ndarray, new
             else:
                 below, count = _place(tree, at_tree[seen], number[seen])
             coder.interval(seen, below, count, unit)
+        if new is None:
+            numbers[t, :n] = number
         if len(rest):
             own = number[rest]
             node = _NODE.take(own, axis=1) + at_tree[rest]
@@ -295,10 +301,12 @@ def _decoded(payloads: list[bytes], lengths: np.ndarray, size: int) -> np.ndarra
     whole[:, :size] = np.frombuffer(fresh, np.uint8).reshape(-1, size)
     table = np.zeros((len(payloads), BLOCK), "<u4")
     table[np.arange(BLOCK) < count[:, None]] = whole.reshape(-1).view("<u4")
-    numbers = np.zeros((BLOCK, len(payloads)), np.int64)
+    numbers = np.zeros((BLOCK, len(payloads)), np.int16)
     coder = _Reader([np.frombuffer(p, "<u2", offset=b) for p, b in zip(payloads, begin.tolist(), strict=True)])
     with np.errstate(divide="ignore", invalid="ignore"):  # damage is told from the quotient
         used = _run(coder, lengths, numbers, None)
     if np.any(used != count):
         raise ValueError("a block is damaged")
-    return np.take_along_axis(table, np.ascontiguousarray(numbers.T), axis=1)
+    for k in range(0, len(table), 64):
+        table[k : k + 64] = np.take_along_axis(table[k : k + 64], numbers[:, k : k + 64].T.astype(np.int64), axis=1)
+    return table
