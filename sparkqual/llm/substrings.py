@@ -29,11 +29,13 @@ from sparkqual.llm.tables import texts
 from sparkqual.plans.durable import durable
 
 LENGTH = 100
-# Bytes of the grams an anchor is chosen from.
-GRAM = 16
+# Bytes of the grams an anchor is chosen from; where strings are shorter than two grams, half a string.
+# Grams of 16 bytes, two or three words, come up again by chance the more often the larger the table is, and
+# each run of such an anchor is left open; those of 32 hardly do.
+GRAM = 32
 # Bytes of text a task works on at a time (each takes about a hundred bytes of memory), bytes of packed
 # runs it holds, and documents it takes from a batch.
-CHUNK, HELD, SOME = 1 << 19, 8 << 20, 500
+CHUNK, HELD, SOME = 1 << 17, 8 << 20, 500
 # Documents whose runs make up a bucket (expected), and open runs of a sorting group.
 BUCKET_DOCS, GROUP_RUNS = 2000, 4000
 # A bucket of more bytes is worked on row by row instead of in one task.
@@ -77,6 +79,17 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _grams(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the `gram` bytes from each place on, where so many follow."""
+    have = min(gram, 8)
+    out = words_at(data)[: len(data) - have + 1] >> np.uint64(64 - 8 * have)
+    while have < gram:
+        step = min(have, gram - have)
+        out = out[: len(out) - step] * _ODD + mix(out[step:])
+        have += step
+    return mix(out)
+
+
 def overlapping(raw: bytes, length: int) -> list[tuple[int, bytes]]:
     """(place, bytes) of the parts of a text; each string of `length` bytes is in exactly one."""
     if len(raw) <= CHUNK:
@@ -90,14 +103,10 @@ def runs_of(raw: list[bytes], docs: list[int], length: int, places: list[int] |
     each part of a text begins in it."""
     data = np.frombuffer(b"".join(raw), np.uint8)
     sizes = np.array([len(r) for r in raw], np.int64)
-    gram = min(GRAM, length)
+    gram = min(GRAM, (length + 1) // 2)
     if len(data) < length:
         return np.zeros(0, _RUN)
-    words = words_at(data)
-    if gram == GRAM:
-        grams = mix(words[: len(data) - 15] * _ODD + mix(words[8 : len(data) - 7]))
-    else:
-        grams = mix(words[: len(data) - gram + 1] >> np.uint64(8 * max(0, 8 - gram)))
+    grams = _grams(data, gram)
     least = _sliding_min(grams, length - gram + 1)
     begins = np.cumsum(sizes) - sizes
     # Strings that lie in one document.
@@ -157,9 +166,24 @@ def _powers_to(n: int) -> np.ndarray:
     return _powers
 
 
+def _shared(key: np.ndarray) -> np.ndarray:
+    """Which of the sorted keys are there more than once."""
+    out = np.zeros(len(key), bool)
+    same = key[1:] == key[:-1]
+    out[1:] |= same
+    out[:-1] |= same
+    return out
+
+
 def settle(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(repeats, rest): runs equal to an earlier one, and the others."""
-    order = np.lexsort((runs["start"], runs["doc"], runs["print"], runs["key"]))
+    order = np.argsort(runs["key"], kind="stable")
+    key = runs["key"][order]
+    shared = _shared(key)
+    # Only runs of an anchor that others have, too, are sorted further.
+    few = order[shared]
+    some = runs[few]
+    order[shared] = few[np.lexsort((some["start"], some["doc"], some["print"], some["key"]))]
     runs = runs[order]
     same = np.zeros(len(runs), bool)
     same[1:] = (runs["key"][1:] == runs["key"][:-1]) & (runs["print"][1:] == runs["print"][:-1])
@@ -168,6 +192,20 @@ def settle(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return runs[same & later], runs[~same]
 
 
+def spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, stop) of ranges, those that meet or overlap made one; in order."""
+    order = np.lexsort((start, doc))
+    doc, start, stop = doc[order], start[order], stop[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = doc[1:] != doc[:-1]
+    # Texts are shorter than 4 GB, so no stop reaches over the next document.
+    wide = (np.cumsum(new) - 1) << 33
+    reach = np.maximum.accumulate(stop + wide) - wide
+    new[1:] |= start[1:] > reach[:-1]
+    heads = np.flatnonzero(new)
+    return doc[heads], start[heads], reach[np.append(heads[1:], len(doc)) - 1] if len(doc) else reach
+
+
 def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Rows as Python values, some at a time."""
     for batch in batches:
@@ -241,11 +279,7 @@ def _rows(runs: np.ndarray, open_: bool) -> pd.DataFrame:
 def _merge_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     """Repeats among a bucket's runs, and open runs: first of their kind, with others of the same anchor."""
     repeats, rest = settle(np.concatenate([load(r) for r in rows["runs"]]))
-    key = rest["key"]
-    shared = np.zeros(len(rest), bool)
-    shared[1:] |= key[1:] == key[:-1]
-    shared[:-1] |= key[1:] == key[:-1]
-    return pd.concat([_rows(repeats, False), _rows(rest[shared], True)])
+    return pd.concat([_rows(repeats, False), _rows(rest[_shared(rest["key"])], True)])
 
 
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -255,6 +289,19 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield _rows(runs, False).drop(columns="open").assign(print=runs["print"].copy().view(np.int64))
 
 
+def _settled(length: int):
+    """The bytes that packed repeats cover."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for packed in batch["runs"]:
+                runs = load(packed)
+                doc, start, stop = spans(runs["doc"], runs["start"], runs["start"] + runs["n"] + (length - 1))
+                yield pd.DataFrame({"doc": doc, "start": start, "stop": stop})
+
+    return run
+
+
 def _merge_rows(packed: DataFrame) -> DataFrame:
     """As `_merge_bucket`, but row by row: for buckets too large for one task."""
     runs = packed.mapInPandas(_unpack, "key long, doc long, start long, n int, lead int, print long")
@@ -275,20 +322,29 @@ _CONTEXT = "key long, doc long, start long, lead int, bytes binary"
 def _contexts(length: int):
     """The bytes of open runs, from their documents' texts."""
 
+    def rows(out: list[list]) -> pa.RecordBatch:
+        kinds = {"key": pa.int64(), "doc": pa.int64(), "start": pa.int64(), "lead": pa.int32(), "bytes": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds.values(), strict=True)], names=list(kinds))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [[] for _ in range(5)], 0
         for batch in batches:
-            for k in range(batch.num_rows):
-                doc, text, runs = (batch.column(c)[k].as_py() for c in range(3))
-                raw = text.encode("utf-8", "replace")
-                cut = [raw[r["start"] : r["start"] + r["n"] + length - 1] for r in runs]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r["key"] for r in runs], pa.int64()), pa.array([doc] * len(runs), pa.int64()),
-                        pa.array([r["start"] for r in runs], pa.int64()), pa.array([r["lead"] for r in runs], pa.int32()),
-                        pa.array(cut, pa.binary()),
-                    ],
-                    names=["key", "doc", "start", "lead", "bytes"],
-                )
+            texts_, runs = batch.column(1), batch.column(2)
+            key, start, n, lead = (runs.values.field(c).to_numpy(zero_copy_only=False) for c in ("key", "start", "n", "lead"))
+            ends = start + n + (length - 1)
+            edges = runs.offsets.to_numpy()
+            for k, doc in enumerate(batch.column(0).to_pylist()):
+                raw = texts_[k].as_py().encode("utf-8", "replace")
+                own = slice(edges[k], edges[k + 1])
+                cut = [raw[a:b] for a, b in zip(start[own].tolist(), ends[own].tolist(), strict=True)]
+                for column, values in zip(out, (key[own].tolist(), [doc] * len(cut), start[own].tolist(), lead[own].tolist(), cut), strict=True):
+                    column += values
+                size += sum(map(len, cut)) + 100 * len(cut)
+                if size >= CHUNK:
+                    yield rows(out)
+                    out, size = [[] for _ in range(5)], 0
+        if out[0]:
+            yield rows(out)
 
     return run
 
@@ -382,9 +438,9 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if not large.isEmpty():
         merged = merged.unionByName(_merge_rows(dealt.join(large, "bucket", "left_semi")))
     merged = durable(merged)
-    settled = packed.filter("repeats").mapInPandas(_unpack, "key long, doc long, start long, n int, lead int, print long")
+    settled = packed.filter("repeats").mapInPandas(_settled(length), "doc long, start long, stop long")
     stop = (F.col("start") + F.col("n") + (length - 1)).alias("stop")
-    ranges = settled.select("doc", "start", stop).unionByName(merged.filter("not open").select("doc", "start", stop))
+    ranges = settled.unionByName(merged.filter("not open").select("doc", "start", stop))
     open_ = merged.filter("open")
     fetched = (
         open_.groupBy("doc")
@@ -408,20 +464,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return ranges
 
 
-def _kept(text: str, ranges: list) -> tuple[int, int, int, bytes]:
-    """(bytes, removed bytes, spans, kept bytes) of a text."""
-    raw = text.encode("utf-8", "replace")
-    kept, at, removed, spans = [], 0, 0, 0
-    stop = -1
-    for r in sorted(ranges, key=lambda r: r["start"]):
-        if r["start"] > stop:
-            spans += 1
-        if r["start"] > at:
-            kept.append(raw[at : r["start"]])
-        removed += max(0, r["stop"] - max(r["start"], at))
-        at = stop = max(at, r["stop"])
-    kept.append(raw[at:])
-    return len(raw), removed, spans, b"".join(kept)
+def _kept(raw: bytes, starts: list[int], stops: list[int]) -> tuple[int, int, int, bytes]:
+    """(bytes, removed bytes, spans, kept bytes) of a text without spans that neither meet nor overlap."""
+    kept = b"".join(raw[a:b] for a, b in zip([0, *stops], [*starts, len(raw)], strict=True))
+    return len(raw), len(raw) - len(kept), len(starts), kept
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,12 +480,22 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
-    for doc, text, ranges in _rows_of(batches):
-        out.append((doc, *_kept(text, ranges or ())))
-        size += out[-1][1] + 100
-        if size >= CHUNK:
-            yield rows()
-            size = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, SOME):
+            docs, texts_, ranges = batch.slice(at, SOME).columns
+            # Where a list is null it has no values.
+            flat, lengths = ranges.flatten(), ranges.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            start, stop = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "stop"))
+            row, start, stop = spans(np.repeat(np.arange(len(lengths)), lengths), start, stop)
+            edges = np.searchsorted(row, np.arange(len(lengths) + 1)).tolist()
+            start, stop = start.tolist(), stop.tolist()
+            for k, (doc, text) in enumerate(zip(docs.to_pylist(), texts_.to_pylist(), strict=True)):
+                own = slice(edges[k], edges[k + 1])
+                out.append((doc, *_kept(text.encode("utf-8", "replace"), start[own], stop[own])))
+                size += out[-1][1] + 100
+                if size >= CHUNK:
+                    yield rows()
+                    size = 0
     if out:
         yield rows()
 

@@ -86,35 +86,45 @@ def sort_equal(data: np.ndarray, starts: np.ndarray, length: int, group: np.ndar
         open_ = np.flatnonzero(sizes[part] > 1) if n else np.zeros(0, np.int64)
         if not len(open_):
             return order, np.cumsum(bounds) - 1
-        key = words[starts[order[open_]] + depth]
-        if length - depth < ROUND:
-            key = key >> np.uint64(8 * (ROUND - length + depth))
+        key = _word(words, starts[order[open_]], length, depth)
         inner = np.lexsort((key, part[open_]))
         order[open_] = order[open_][inner]
         key, own = key[inner], part[open_]
         bounds[open_[1:]] |= (key[1:] != key[:-1]) & (own[1:] == own[:-1])
         depth += ROUND
     if depth < length:
+        _pairs(words, starts, length, depth, order, bounds)
         _deep(data.tobytes(), starts, length, depth, order, bounds)
     return order, np.cumsum(bounds) - 1
 
 
+def _word(words: np.ndarray, starts: np.ndarray, length: int, depth: int) -> np.ndarray:
+    """Eight bytes of each string from `depth` on, fewer at its end."""
+    key = words[starts + depth]
+    return key >> np.uint64(8 * (ROUND - length + depth)) if length - depth < ROUND else key
+
+
+def _pairs(words: np.ndarray, starts: np.ndarray, length: int, depth: int, order: np.ndarray, bounds: np.ndarray) -> None:
+    """Order the parts of two strings that agree to `depth`, all of them at once."""
+    heads = np.flatnonzero(bounds)
+    left = heads[np.diff(heads, append=len(bounds)) == 2]
+    while depth < length and len(left):
+        x, y = (_word(words, starts[order[left + k]], length, depth) for k in (0, 1))
+        bounds[left[x != y] + 1] = True
+        swapped = left[y < x]
+        order[swapped], order[swapped + 1] = order[swapped + 1], order[swapped]
+        left = left[x == y]
+        depth += ROUND
+
+
 def _deep(raw: bytes, starts: np.ndarray, length: int, depth: int, order: np.ndarray, bounds: np.ndarray) -> None:
-    """Order the parts whose strings agree to `depth`, each by a blind trie."""
+    """Order the parts of more strings that agree to `depth`, each by a blind trie."""
     heads = np.flatnonzero(bounds)
-    ends = np.append(heads[1:], len(bounds))
-    for a, b in zip(heads.tolist(), ends.tolist(), strict=True):
-        if b - a < 2:
-            continue
+    sizes = np.diff(heads, append=len(bounds))
+    heads, sizes = heads[sizes > 2], sizes[sizes > 2]
+    for a, b in zip(heads.tolist(), (heads + sizes).tolist(), strict=True):
         members = order[a:b].tolist()
         places = starts[order[a:b]].tolist()
-        if b - a == 2:
-            x, y = raw[places[0] + depth : places[0] + length], raw[places[1] + depth : places[1] + length]
-            if x != y:
-                bounds[a + 1] = True
-                if y < x:
-                    order[a], order[a + 1] = members[1], members[0]
-            continue
         trie = BlindTrie()
         for member, place in zip(members, places, strict=True):
             trie.add(raw[place + depth : place + length], member)

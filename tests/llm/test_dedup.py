@@ -253,6 +253,41 @@ def test_repeated_and_null_ids(docs_of, prose):
     assert substrings.remove_repeats(docs_of([])).collect() == []
 
 
+def test_phrases_that_recur_by_chance_leave_few_runs_open():
+    rng = random.Random(5)
+    phrases = ["".join(rng.choices("abcdefghij ", k=24)) for _ in range(1000)]
+    texts = ["".join(rng.choices(phrases, k=100)).encode() for _ in range(100)]
+    runs = substrings.runs_of(texts, list(range(100)), 100)
+    _, rest = substrings.settle(runs)
+    _, counts = np.unique(rest["key"], return_counts=True)
+    assert counts[counts > 1].sum() < 0.05 * len(runs)
+
+
+def test_settled_runs():
+    rng = np.random.default_rng(3)
+    runs = np.zeros(400, substrings._RUN)
+    for column, most in (("key", 60), ("print", 3), ("doc", 5), ("start", 9)):
+        runs[column] = rng.integers(0, most, 400)
+    repeats, rest = substrings.settle(runs)
+    first = {}
+    for r in runs:
+        kind, place = (int(r["key"]), int(r["print"])), (int(r["doc"]), int(r["start"]))
+        first[kind] = min(place, first.get(kind, place))
+    assert {(int(r["key"]), int(r["print"])): (int(r["doc"]), int(r["start"])) for r in rest} == first and len(rest) == len(first)
+    later = sorted(r.item() for r in runs if first[int(r["key"]), int(r["print"])] != (r["doc"], r["start"]))
+    assert sorted(r.item() for r in repeats) == later
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(-2, 2), st.integers(0, 30), st.integers(1, 9)), max_size=20))
+def test_spans(ranges):
+    doc, start, size = (np.array([r[k] for r in ranges], np.int64) for k in range(3))
+    found = list(zip(*(c.tolist() for c in substrings.spans(doc, start, start + size)), strict=True))
+    covered = {(d, k) for d, s, n in ranges for k in range(s, s + n)}
+    assert {(d, k) for d, s, e in found for k in range(s, e)} == covered
+    assert found == sorted(found) and all(a[0] != b[0] or a[2] < b[1] for a, b in zip(found, found[1:]))
+
+
 @pytest.mark.parametrize("top", [1, 85, 255, 256, 40_000])
 def test_runs_are_packed_and_unpacked(top):
     rng = np.random.default_rng(top)
